@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["cleaning"]
+THEMES = ["cleaning", "featuring", "evaluation"]
 
 
 def load() -> None:

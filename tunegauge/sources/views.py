@@ -235,7 +235,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
 
     def visit(text: str) -> None:
         for name, body in known.items():
-            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text, re.IGNORECASE):
+            if name not in needed and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", text):
                 visit(body)
                 if name not in needed:
                     needed.append(name)
