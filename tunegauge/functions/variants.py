@@ -109,44 +109,55 @@ def base_title(title: str | Column) -> Column:
 
 def album_flags(album_title: str | Column, album_type: str | Column) -> Column:
     """Struct of six flags about the album a track comes from."""
-    text = words_only(F.lower(F.coalesce(col(album_title), F.lit(""))))
+    text = album_words(album_title)
     kind = F.lower(F.trim(F.coalesce(col(album_type), F.lit(""))))
     flags = {name: has_words(text, words) for name, words in ALBUM_TERMS.items()}
     flags["compilation_like"] = (kind == "compilation") | flags["compilation_like"]
     return F.struct(*[flag.alias(name) for name, flag in flags.items()])
 
 
-def contextual_track_type(title: str | Column, album_title: str | Column, album_type: str | Column) -> Column:
+def album_words(album_title: str | Column) -> Column:
+    return words_only(F.lower(F.coalesce(col(album_title), F.lit(""))))
+
+
+def track_type_of_words(title_words: Column, album_title_words: Column) -> Column:
+    """Struct(track_type, source) from already normalised titles: the title decides first, then the album."""
+    steps = [(has_words(title_words, TITLE_TERMS[k]), k, "track_title") for k in TYPE_DECISION]
+    steps += [(has_words(album_title_words, ALBUM_TERMS[k]), k, "album_context") for k in TYPE_DECISION]
+    kind, source = F.lit("studio"), F.lit("default")
+    for condition, name, origin in reversed(steps):
+        kind = F.when(condition, name).otherwise(kind)
+        source = F.when(condition, origin).otherwise(source)
+    return F.struct(kind.alias("track_type"), source.alias("source"))
+
+
+def contextual_track_type(title: str | Column, album_title: str | Column) -> Column:
     """Struct(track_type, source): the title decides first, then the album, else the track counts as studio."""
-    text = full_title(title)
-    album = words_only(F.lower(F.coalesce(col(album_title), F.lit(""))))
-    steps = [(has_words(text, TITLE_TERMS[k]), k, "track_title") for k in TYPE_DECISION]
-    steps += [(has_words(album, ALBUM_TERMS[k]), k, "album_context") for k in TYPE_DECISION]
-    result = F.struct(F.lit("studio").alias("track_type"), F.lit("default").alias("source"))
-    for condition, kind, source in reversed(steps):
-        result = F.when(condition, F.struct(F.lit(kind).alias("track_type"), F.lit(source).alias("source"))).otherwise(
-            result
-        )
-    return result
+    return track_type_of_words(full_title(title), album_words(album_title))
 
 
-def album_canonicality(album_title: str | Column, album_type: str | Column) -> Column:
-    """Struct(canonicality_score, canonicality_tags, is_editorial_context) of an album."""
-    text = words_only(F.lower(F.coalesce(col(album_title), F.lit(""))))
+def canonicality_of_words(album_title_words: Column, album_type: str | Column) -> Column:
+    """Struct(canonicality_score, canonicality_tags, is_editorial_context) from a normalised album title."""
     kind = F.lower(F.trim(F.coalesce(col(album_type), F.lit(""))))
     points, tag = F.lit(0), F.lit("unknown_type")
     for name, value in TYPE_POINTS.items():
         points = F.when(kind == name, value).otherwise(points)
         tag = F.when(kind == name, name).otherwise(tag)
-    hits = [(has_words(text, words), value, label) for label, value, words in TITLE_PENALTIES]
+    hits = [(has_words(album_title_words, words), value, label) for label, value, words in TITLE_PENALTIES]
     for hit, value, _ in hits:
         points = points + F.when(hit, value).otherwise(0)
     tags = F.array_compact(F.array(tag, *[F.when(hit, F.lit(label)) for hit, _, label in hits]))
+    editorial = kind == "compilation"
+    for hit, _, label in hits:
+        if label in EDITORIAL_TAGS:
+            editorial = editorial | hit
     return F.struct(
-        points.alias("canonicality_score"),
-        tags.alias("canonicality_tags"),
-        F.arrays_overlap(tags, F.array(*[F.lit(t) for t in EDITORIAL_TAGS])).alias("is_editorial_context"),
-    )
+        points.alias("canonicality_score"), tags.alias("canonicality_tags"), editorial.alias("is_editorial_context"))
+
+
+def album_canonicality(album_title: str | Column, album_type: str | Column) -> Column:
+    """Struct(canonicality_score, canonicality_tags, is_editorial_context) of an album."""
+    return canonicality_of_words(album_words(album_title), album_type)
 
 
 def simple_track_type(title: str | Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +26,19 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int = 1) -> Da
 
 
 def rank_per_group(
-    df: DataFrame, keys: list[str], order: list, name: str = "rank", hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list, name: str = "rank", hot_rows: int = HOT_ROWS, largest: int | None = None
 ) -> DataFrame:
     """Add the position 1.. of each row in its group, by ascending ``order`` expressions that end in a unique key.
 
     Groups up to ``hot_rows`` rows use one window. Larger groups are range-partitioned on (keys, order), so that one
     group spreads over many tasks; a row's rank is then its position in its task plus the sizes of the tasks before.
-    Keys must not be NULL.
+    Keys must not be NULL. ``largest`` is a known upper bound of the group size; without it the groups are counted,
+    and the frame is kept on disk meanwhile, so that it is not computed twice.
     """
     window = Window.partitionBy(*keys).orderBy(*_columns(order))
+    if largest is not None and largest <= hot_rows:
+        return df.withColumn(name, F.row_number().over(window))
+    df = df.persist(StorageLevel.DISK_ONLY)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     hot = sizes.collect()  # at most (all rows / hot_rows) keys
     if not hot:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["cleaning", "featuring", "evaluation"]
+THEMES = ["cleaning", "featuring", "evaluation", "matching"]
 
 
 def load() -> None:
