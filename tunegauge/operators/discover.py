@@ -6,7 +6,7 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunegauge.operators.evaluate import regime_thresholds
@@ -67,7 +67,7 @@ def permutation_importance(df: DataFrame, columns: list[str], score, key: str, s
     """Rise of the MAE when one feature is shuffled among rows: (feature, mae_base, mae_shuffled, importance).
 
     ``score(frame) -> frame with y, pred``. A column is shuffled by pairing two hash orders of the rows, each
-    numbered by range partitions, so no task sees all rows.
+    numbered by hash prefixes, so no task sees all rows.
     """
     base = score(df).agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("m")).first()["m"]
     rows = []
@@ -81,15 +81,11 @@ def permutation_importance(df: DataFrame, columns: list[str], score, key: str, s
         rows, "feature string, mae_base double, mae_shuffled double, importance double")
 
 
-def _numbered(df: DataFrame, order, key: str, parts: int = 256) -> DataFrame:
-    """Number rows 0.. by hash order: hash ranges are evenly filled, so each range is one window of known offset."""
-    width = 2**64 // parts
-    bucket = F.floor((order.cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")) / F.lit(width)).cast("int")
-    tagged = df.withColumns({"_bucket": bucket, "_hash": order})
+def _numbered(df: DataFrame, order, key: str, bits: int = 10) -> DataFrame:
+    """Number rows 0.. by hash order: the leading bits of a hash fill evenly, so each prefix is one window of known offset."""
+    tagged = df.withColumn("_hash", order).withColumn("_bucket", F.shiftright("_hash", 64 - bits))
     sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` + 1 rows
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** bits rows
     offsets = sizes.select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     position = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", key))
     return tagged.withColumn("_rn", position).join(F.broadcast(offsets), "_bucket").withColumn(

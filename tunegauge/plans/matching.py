@@ -112,8 +112,10 @@ def _(v):
 @query("contextual_track_type", f"""
 SELECT track_key, {TYPE_SQL} AS track_type, {SOURCE_SQL} AS source FROM full_catalog""", M)
 def _(v):
-    kind = variants.contextual_track_type("title", "album_title")
-    return full_catalog(v).select("track_key", kind.alias("k")).select("track_key", "k.*")
+    worded = full_catalog(v).select(
+        "track_key", variants.full_title("title").alias("n"), variants.album_words("album_title").alias("a"))
+    kind = variants.track_type_of_words(F.col("n"), F.col("a"))
+    return worded.select("track_key", kind.alias("k")).select("track_key", "k.*")
 
 
 @query("album_flags", f"""
@@ -129,7 +131,8 @@ SELECT album_id, {CANON_SQL} AS canonicality_score, array_to_string({TAGS_SQL},
  list_has_any({TAGS_SQL}, ['compilation', 'compilation_title', 'regional_variant']) AS is_editorial_context
 FROM (SELECT *, {norm('title')} AS an, type AS album_type FROM albums)""")
 def _(v):
-    return v.albums.select("album_id", variants.album_canonicality("title", "type").alias("c")).select(
+    worded = v.albums.select("album_id", variants.album_words("title").alias("w"), "type")
+    return worded.select("album_id", variants.canonicality_of_words(F.col("w"), "type").alias("c")).select(
         "album_id", "c.canonicality_score", F.array_join("c.canonicality_tags", ",").alias("canonicality_tags"),
         "c.is_editorial_context")
 
@@ -146,10 +149,12 @@ def _(v):
 SELECT base AS variant_group_key, {TYPE_SQL} AS track_type, {has('n', 'feat|ft|featuring')} AS is_featured_variant, n AS normalized_title, count(*) AS n_tracks
 FROM full_catalog GROUP BY ALL""", M)
 def _(v):
+    # titles repeat, so rows are counted per (title, album title) before any text is normalised
+    counted = full_catalog(v).groupBy("title", "album_title").agg(F.count(F.lit(1)).alias("m"))
     kind = variants.contextual_track_type("title", "album_title")
     keys = variants.variant_key(F.col("title"), kind["track_type"])
-    return full_catalog(v).select(*keys).groupBy(
-        "variant_group_key", "track_type", "is_featured_variant", "normalized_title").agg(F.count(F.lit(1)).alias("n_tracks"))
+    return counted.select(*keys, "m").groupBy(
+        "variant_group_key", "track_type", "is_featured_variant", "normalized_title").agg(F.sum("m").alias("n_tracks"))
 
 
 @query("is_non_studio", """

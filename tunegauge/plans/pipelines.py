@@ -1,0 +1,460 @@
+"""Queries: payloads, sources and sinks, run comparison, scenarios, models, discovery and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tunegauge.functions.scalars import recency_weight, regime_label
+from tunegauge.operators import diff, discover, evaluate, features, lookup, models, payload, scenario, split, stats
+from tunegauge.plans.cleaning import EXTRA, rounded
+from tunegauge.plans.evaluation import EVAL, METRIC_NAMES, scored, with_target
+from tunegauge.plans.registry import query
+from tunegauge.session import shared_folder
+from tunegauge.sources import io
+from tunegauge.streaming import ingest
+
+
+# ---- landed JSON -------------------------------------------------------------------------------------------------------
+
+def landed_pages(v):
+    """One landed page per order: its tracks in one of two spellings."""
+    key = F.split("row_key", "-")
+    rows = v.tracks.select(
+        key[0].cast("bigint").alias("page"), F.col("row_key").alias("id"), "song_name", "mode", "song_popularity",
+        key[1].cast("bigint").alias("number"), "album_release_date", "time_signature")
+    flip = F.col("mode") == 1
+    item = F.struct(
+        "id", F.when(flip, F.col("song_name")).alias("trackTitle"), F.when(~flip, F.col("song_name")).alias("name"),
+        F.when(flip, F.col("number")).alias("trackNumber"), F.when(~flip, F.col("number")).alias("track_number"),
+        F.when(F.col("time_signature") != 5, F.col("song_popularity").cast("bigint")).alias("popularity"),
+        F.when(flip, F.col("album_release_date")).alias("releaseDate"),
+        F.when(~flip & (F.col("time_signature") != 4), F.col("album_release_date")).alias("release_date"),
+        F.when(flip, "single").alias("albumType"), F.when(F.col("time_signature") == 2, "compilation").alias("album_type"),
+        F.when(flip, F.concat(F.lit('{"isrc":"C'), "id", F.lit('"}'))).otherwise(F.concat(F.lit("C"), "id")).alias("isrc"))
+    pages = rows.groupBy("page").agg(F.collect_list(item).alias("i"))  # the lines of one order
+    body = F.when(F.col("page") % 2 == 0, F.to_json(F.struct(F.col("i").alias("content")))).otherwise(
+        F.to_json(F.struct(F.col("i").alias("items"))))
+    return pages.select("page", body.alias("body"))
+
+
+ITEMS = """
+SELECT CAST(split_part(row_key, '-', 1) AS BIGINT) AS page, row_key AS id, song_name AS title, CAST(split_part(row_key, '-', 2) AS BIGINT) AS track_number,
+ CASE WHEN time_signature <> 5 THEN CAST(song_popularity AS BIGINT) ELSE 0 END AS popularity,
+ CASE WHEN mode = 1 OR time_signature <> 4 THEN substring(album_release_date, 1, 4) ELSE '0000' END AS year,
+ CASE WHEN mode = 1 THEN 'Single' WHEN time_signature = 2 THEN 'Compilation' ELSE 'Unknown' END AS type, concat('C', row_key) AS isrc FROM tracks"""
+
+
+@query("normalize_response", ITEMS)
+def _(v):
+    return payload.normalized_items(landed_pages(v), "body", ["page"])
+
+
+@query("union_pages", "SELECT page, id, title, popularity FROM items", {"items": ITEMS})
+def _(v):
+    pages = landed_pages(v)
+    repeated = pages.unionByName(pages)
+    return payload.union_pages(repeated, ["page"]).select("page", "id", "title", "popularity")
+
+
+@query("export_report", """
+SELECT row_key, to_json({'metadata': {'track': song_name, 'artist': artist_name, 'forecast': song_popularity, 'regime': 'Cold Start'},
+ 'simulation': {'anti_sabotage': mode = 1, 'simulated_features': {'key': key, 'time_signature': time_signature}}}) AS report FROM tracks""")
+def _(v):
+    rows = v.tracks.select(
+        "row_key", F.col("song_name").alias("title"), F.col("artist_name").alias("artist"),
+        F.col("song_popularity").alias("forecast"), F.lit("Cold Start").alias("regime"),
+        (F.col("mode") == 1).alias("anti_sabotage"), "key", "time_signature")
+    return payload.report_json(rows, "row_key", ["key", "time_signature"]).withColumn("report", F.col("report").cast("string"))
+
+
+def answers(v, changed: bool = False):
+    """Resolver answers as JSON, one per distinct (artist, title); ``changed`` alters some fields of some answers."""
+    best = v.tracks.groupBy("artist_name", "song_name").agg(
+        F.max(F.struct("song_popularity", "row_key", "album_release_year", "mode")).alias("b")
+    ).select(F.concat_ws(" - ", "artist_name", "song_name").alias("case_key"), "artist_name", "song_name", "b.*")
+    bump = F.when(F.col("mode") == 1, 1).otherwise(0) if changed else F.lit(0)
+    album = F.when((F.col("song_popularity") % 10 == 0) & F.lit(changed), F.lit(None)).otherwise(F.lit("Album"))
+    audio = F.struct(F.lit(0.5).alias("energy"), F.lit(0.1).alias("liveness"), F.lit(120.0).alias("tempo"))
+    body = F.struct(
+        F.lit(True).alias("success"),
+        F.struct(
+            F.col("song_name").alias("title"), F.col("artist_name").alias("artist"), album.alias("album"),
+            F.col("album_release_year").cast("int").alias("original_release_year"),
+            (F.col("song_popularity") + bump).alias("real_market_popularity"), F.col("row_key").alias("rb_track_id"),
+            F.concat(F.lit("C"), "row_key").alias("isrc"), F.lit(False).alias("is_partial"), audio.alias("audio_features"),
+            F.array(F.struct(F.col("artist_name").alias("name"), F.lit("x").alias("id"))).alias("collaborators"),
+            F.array("row_key", "song_name").alias("raw_alternatives"),
+        ).alias("inference_payload"))
+    return best.select("case_key", F.to_json(body).alias("body"))
+
+
+BEST = """
+SELECT concat(artist_name, ' - ', song_name) AS case_key, artist_name, song_name, unnest(max({'p': song_popularity, 'row_key': row_key, 'y': album_release_year, 'mode': mode}))
+FROM tracks GROUP BY artist_name, song_name"""
+SUMMARY = """
+SELECT case_key, 'true' AS success, 'false' AS is_artist_only_fallback, song_name AS title, artist_name AS artist, 'Album' AS album,
+ CAST(CAST(y AS INT) AS VARCHAR) AS original_release_year, CAST(p AS VARCHAR) AS real_market_popularity, row_key AS rb_track_id, concat('C', row_key) AS isrc,
+ 'false' AS is_partial, 2 AS raw_alternatives_count, 1 AS collaborators_count,
+ concat('album,artist,audio_features,collaborators,is_partial,isrc,', CASE WHEN y IS NOT NULL THEN 'original_release_year,' ELSE '' END, 'raw_alternatives,rb_track_id,real_market_popularity,title') AS payload_keys,
+ 'energy,liveness,tempo' AS audio_features_keys, 'id,name' AS collaborator_keys, p, mode FROM best"""
+
+
+@query("payload_summary", "SELECT * EXCLUDE (p, mode) FROM summary", {"best": BEST, "summary": SUMMARY})
+def _(v):
+    return payload.payload_summary(answers(v), "case_key")
+
+
+@query("expected_flags", """
+SELECT case_key, p > 50 AS matches_expected_track, p > 50 AS has_expected_audio_features FROM summary""", {"best": BEST, "summary": SUMMARY})
+def _(v):
+    summary = payload.payload_summary(answers(v), "case_key")
+    expected = v.tracks.groupBy("artist_name", "song_name").agg(
+        F.max(F.struct("song_popularity", "row_key")).alias("b")
+    ).where("b.song_popularity > 50").select(
+        F.concat_ws(" - ", "artist_name", "song_name").alias("case_key"), F.col("b.row_key").alias("expected_rb_track_id"),
+        F.lit("energy,liveness,tempo").alias("expected_audio_features_keys"))
+    return payload.expected_flags(summary, expected, "case_key")
+
+
+DIFF = """
+SELECT case_key, 'missing_case' AS kind, '' AS field, 'critical' AS severity, NULL AS baseline, NULL AS current FROM summary WHERE p = 99
+UNION ALL SELECT case_key, 'extra_case', '', 'warning', NULL, NULL FROM summary WHERE p = 98
+UNION ALL SELECT case_key, 'changed', 'real_market_popularity', 'warning', CAST(p AS VARCHAR), CAST(p + 1 AS VARCHAR) FROM summary WHERE mode = 1 AND p NOT IN (98, 99)
+UNION ALL SELECT case_key, 'changed', 'album', 'critical', 'Album', NULL FROM summary WHERE p % 10 = 0
+UNION ALL SELECT case_key, 'changed', 'payload_keys', 'warning', payload_keys, replace(payload_keys, 'album,', '') FROM summary WHERE p % 10 = 0"""
+
+
+def run_differences(v):
+    old = payload.payload_summary(answers(v), "case_key").where("real_market_popularity <> '98'")
+    keep = answers(v).join(answers(v, True).withColumnRenamed("body", "new"), "case_key")
+    popularity = F.get_json_object("body", "$.inference_payload.real_market_popularity")
+    new = payload.payload_summary(keep.where(popularity != "99").select("case_key", F.col("new").alias("body")), "case_key")
+    return diff.full_outer_compare(old, new, ["case_key"])
+
+
+@query("full_outer_compare", "SELECT * FROM diffs", {"best": BEST, "summary": SUMMARY, "diffs": DIFF})
+def _(v):
+    return run_differences(v)
+
+
+@query("field_diff", """
+SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning,
+ count(*) FILTER (WHERE severity = 'info') AS info, 'failed' AS verdict FROM diffs""", {"best": BEST, "summary": SUMMARY, "diffs": DIFF})
+def _(v):
+    return diff.verdict(run_differences(v))
+
+
+# ---- sources and sinks -------------------------------------------------------------------------------------------------
+
+RAW = "row_key AS spotify_id, song_name, artist_name, album_release_date, album_release_year, song_popularity, energy, tempo"
+
+
+@query("read_raw_csv", f"SELECT {RAW} FROM tracks")
+def _(v):
+    folder = shared_folder(v.spark, "raw-csv")
+    raw = v.tracks.withColumnRenamed("row_key", "spotify_id").withColumn("album_release_month", F.lit(None).cast("double"))
+    io.write_csv(raw.drop("track_id"), folder)
+    read = io.read_raw_csv(v.spark, folder)
+    return read.select(
+        "spotify_id", "song_name", "artist_name", "album_release_date", "album_release_year",
+        F.col("song_popularity").cast("int").alias("song_popularity"), "energy", "tempo")
+
+
+@query("write_parquet", "SELECT row_key, song_popularity, album_release_year FROM tracks WHERE album_release_year >= 1998")
+def _(v):
+    folder = shared_folder(v.spark, "parquet")
+    rows = v.tracks.select("row_key", "song_popularity", "album_release_year")
+    # one file set per year: rows are brought together by year and a spread within it, so no year is one task
+    spread = rows.repartition("album_release_year", F.pmod(F.xxhash64("row_key"), F.lit(8)))
+    io.write_parquet(spread, folder, ["album_release_year"])
+    return io.read_parquet(v.spark, folder).where("album_release_year >= 1998").select(
+        "row_key", "song_popularity", F.col("album_release_year").cast("double").alias("album_release_year"))
+
+
+@query("write_keyed_json", "SELECT artist_name, listeners FROM artists")
+def _(v):
+    folder = shared_folder(v.spark, "keyed-json")
+    io.write_keyed_json(v.artists.select("artist_name", "listeners"), folder)
+    return v.spark.read.schema("artist_name string, listeners bigint").json(folder)
+
+
+@query("write_checkpointed", "SELECT artist_name, song_name, 'found' AS status FROM (SELECT DISTINCT artist_name, song_name FROM tracks)")
+def _(v):
+    folder = shared_folder(v.spark, "enrichment")
+    work = v.tracks.select("artist_name", "song_name").distinct()
+
+    def enrich(todo):
+        return todo.withColumn("status", F.lit("found"))
+
+    io.append_pending(work.where("artist_name < 'Supplier#000000005'"), folder, ["artist_name", "song_name"], enrich)
+    io.append_pending(work, folder, ["artist_name", "song_name"], enrich)  # a restart goes on with the rest
+    return v.spark.read.parquet(folder)
+
+
+@query("save_model", """
+SELECT row_key, pred FROM scored""", EVAL)
+def _(v):
+    folder = shared_folder(v.spark, "models")
+    rows = with_target(v).select("row_key", "split", "energy", "y")
+    prepared = models.Protocol(["energy"]).prepare(rows.where("split = 'train'"))
+    fitted = models.linear().fit(prepared.transform(rows.where("split = 'train'")))
+    models.save_models(v.spark, {"line": fitted}, {"features": ["energy"], "thresholds": [8.81, 13.09]}, folder)
+    from pyspark.ml.regression import LinearRegressionModel
+
+    assert models.load_metadata(v.spark, folder)["features"] == ["energy"]
+    loaded = LinearRegressionModel.load(f"{folder}/models/line")
+    return loaded.transform(prepared.transform(rows)).select("row_key", F.round("pred", 6).alias("pred"))
+
+
+# ---- scenarios ---------------------------------------------------------------------------------------------------------
+
+@query("scenario_cross_join", """
+SELECT row_key, scenario, coalesce(o_listeners, listeners_log) AS listeners_log, coalesce(o_energy, energy) AS energy FROM (
+ SELECT row_key, round(ln(1 + coalesce(listeners, 0)), 9) AS listeners_log, energy FROM tracks LEFT JOIN artists USING (artist_name)),
+ (VALUES ('Cold Start', 5e0, NULL), ('Mainstream', 16e0, NULL), ('loud', NULL, 1e0)) s(scenario, o_listeners, o_energy)""")
+def _(v):
+    rows = rounded(lookup.join_listeners(v.tracks, v.artists).select("row_key", "listeners_log", "energy"), ["listeners_log"], 9)
+    return scenario.scenario_grid(rows, {
+        "Cold Start": {"listeners_log": scenario.TIERS["Cold Start"]["listeners_log"]},
+        "Mainstream": {"listeners_log": scenario.TIERS["Mainstream"]["listeners_log"]}, "loud": {"energy": 1.0}})
+
+
+@query("scenario_features", """
+SELECT row_key, energy, coalesce(CASE WHEN tempo > 0 THEN tempo END, (SELECT quantile_cont(tempo, 5e-1) FROM tracks WHERE tempo > 0)) AS tempo,
+ 0e0 AS absent, 0e0 AS tag_pop FROM tracks""")
+def _(v):
+    rows = v.tracks.select("row_key", "energy", F.when(F.col("tempo") > 0, F.col("tempo")).alias("tempo"), F.lit(1).alias("tag_pop"))
+    state = features.MedianImputer(columns=["tempo"]).fit(rows).fitted()
+    return scenario.scenario_features(rows, ["energy", "tempo", "absent", "tag_pop"], ["row_key"], True, "median", state)
+
+
+@query("semi_join_active", """
+SELECT row_key, unnest(list_filter([CASE WHEN acousticness > 0 THEN {'feature': 'acousticness', 'importance': 2e-1} END, CASE WHEN danceability > 0 THEN {'feature': 'danceability', 'importance': 3e-1} END,
+ CASE WHEN key > 0 THEN {'feature': 'key', 'importance': 5e-1} END], lambda x: x IS NOT NULL), recursive := true) FROM tracks""")
+def _(v):
+    return scenario.active_importances(v.tracks, "row_key", {"acousticness": 0.2, "danceability": 0.3, "key": 0.5})
+
+
+# ---- models ------------------------------------------------------------------------------------------------------------
+
+MODEL_COLUMNS = ["energy", "danceability", "valence", "tempo", "acousticness", "liveness", "total_available_markets", "key"]
+
+
+def model_frame(v):
+    rows = lookup.join_listeners(with_target(v), v.artists)
+    return rows.select(
+        "row_key", "split", "y", "album_release_year", "listeners_log", *MODEL_COLUMNS, "loudness", "instrumentalness",
+        recency_weight("album_release_year", 2001).alias("weight"))
+
+
+def metrics_of(v, estimators, standardize=False):
+    protocol = models.Protocol(MODEL_COLUMNS, standardize)
+    return rounded(models.benchmark_models(estimators, model_frame(v), protocol), METRIC_NAMES)
+
+
+@query("linear_regression")
+def _(v):
+    return metrics_of(v, {"linear": models.linear(), "linear_weighted": models.linear("weight")})
+
+
+@query("huber_regression")
+def _(v):
+    return metrics_of(v, {"huber": models.huber("weight", maxIter=30)})
+
+
+@query("random_forest")
+def _(v):
+    return metrics_of(v, {"forest": models.forest(trees=10, depth=6), "forest_weighted": models.forest("weight", 10, 6)})
+
+
+@query("gradient_boosting")
+def _(v):
+    return metrics_of(v, {"squared": models.boosted(trees=5, depth=4), "absolute": models.boosted(loss="absolute", trees=5, depth=4)})
+
+
+@query("tweedie_sweep")
+def _(v):
+    return metrics_of(v, {f"tweedie_{p}": models.tweedie(p) for p in (1.0, 1.2, 1.5, 1.8)}, True)
+
+
+@query("benchmark_models")
+def _(v):
+    return metrics_of(v, {"linear": models.linear(), "huber": models.huber(maxIter=20), "forest": models.forest(trees=8, depth=5)})
+
+
+@query("hurdle")
+def _(v):
+    frame = model_frame(v)
+    vectors = models.Protocol(MODEL_COLUMNS).prepare(frame.where("split = 'train'")).transform(frame)
+    fitted = models.hurdle_fit(vectors, "weight", models.forest("weight", 8, 5))
+    out = models.hurdle_score(vectors, *fitted)
+    both = stats.union_all([
+        models.hurdle_predict(out, 0.32).select(F.lit("zero_rule").alias("model"), "split", "y", "pred"),
+        models.hurdle_keep(out, 0.5).select(F.lit("keep_rule").alias("model"), "split", "y", "pred")])
+    return rounded(evaluate.full_metrics(both, ["model", "split"]), METRIC_NAMES)
+
+
+@query("ablation")
+def _(v):
+    blocks = {"base": ["energy", "tempo"], "mood": ["danceability", "valence"], "reach": ["total_available_markets"]}
+    return rounded(models.ablation(blocks, {"linear": models.linear()}, model_frame(v)), METRIC_NAMES)
+
+
+@query("lambda_sweep")
+def _(v):
+    frame = model_frame(v)
+    grid = [0.0, 0.05, 0.2]
+    frame = frame.withColumns({f"w{i}": recency_weight("album_release_year", 2001, lam) for i, lam in enumerate(grid)})
+    estimators = {f"lambda_{lam}": models.linear(f"w{i}") for i, lam in enumerate(grid)}
+    return rounded(models.benchmark_models(estimators, frame, models.Protocol(MODEL_COLUMNS)), METRIC_NAMES)
+
+
+@query("holdout_search")
+def _(v):
+    grid = [{"trees": 4, "depth": 3}, {"trees": 8, "depth": 3}, {"trees": 4, "depth": 5}]
+    out = models.holdout_search(lambda **g: models.forest(**g), grid, model_frame(v), models.Protocol(MODEL_COLUMNS))
+    return rounded(out, ["mae", "rmse", "r2"])
+
+
+@query("refit_and_test")
+def _(v):
+    frame = model_frame(v)
+    refit = split.refit_union(frame).withColumn("split", F.lit("train"))
+    rows = refit.unionByName(frame.where("split = 'test'"))
+    estimators = {"challenger": models.forest("weight", 8, 6), "baseline_huber": models.huber("weight", maxIter=20)}
+    _, out = models.fit_and_score(estimators, rows, models.Protocol(MODEL_COLUMNS), ["split"])
+    clipped = evaluate.clip_metrics(out.where("split = 'test'"), ["model"])
+    return rounded(clipped, [c for c in clipped.columns if c != "model"])
+
+
+@query("train_experts")
+def _(v):
+    return rounded(evaluate.full_metrics(routed_scores(v), ["regime_id", "split"]), METRIC_NAMES)
+
+
+def routed_scores(v):
+    frame = models.gating_router(model_frame(v))
+    vectors = models.Protocol(MODEL_COLUMNS).prepare(frame.where("split = 'train'")).transform(frame)
+    experts = models.train_experts(vectors, lambda: models.forest(trees=6, depth=5))
+    return models.score_routed(vectors, experts)
+
+
+@query("gating_router", """
+SELECT CASE WHEN listeners_log < 881e-2 THEN 0 WHEN listeners_log < 1309e-2 THEN 1 ELSE 2 END AS regime_id, split, count(*) AS n FROM scored GROUP BY ALL""", EVAL)
+def _(v):
+    return models.gating_router(model_frame(v)).groupBy("regime_id", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("score_routed")
+def _(v):
+    out = routed_scores(v).withColumn("regime", regime_label("listeners_log"))
+    return rounded(evaluate.regime_mae(out.where("split = 'test'")), ["mae", "share_pct", "global_mae"])
+
+
+@query("feature_ab_test")
+def _(v):
+    out = models.feature_ab_test(lambda: models.forest(trees=5, depth=5), MODEL_COLUMNS, ["loudness"], model_frame(v))
+    return rounded(out, ["mae_without", "mae_with", "delta"])
+
+
+@query("importances")
+def _(v):
+    frame = model_frame(v)
+    fitted, _ = models.fit_and_score({"f": models.forest(trees=6, depth=5)}, frame, models.Protocol(MODEL_COLUMNS), ["split"])
+    return rounded(models.importances(fitted["f"], MODEL_COLUMNS, v.spark), ["importance"])
+
+
+@query("permutation_importance")
+def _(v):
+    rows = scored(v).select("row_key", "split", "y", "energy", "tempo")
+    slope, intercept = models.line_fit(rows.where("split = 'train'"), "energy")
+    out = discover.permutation_importance(
+        rows, ["energy", "tempo"], lambda f: models.line_score(f, "energy", slope, intercept), "row_key")
+    return rounded(out, ["mae_base", "mae_shuffled", "importance"])
+
+
+@query("temporal_pipeline_run", """
+SELECT split, count(*) AS n FROM split_tracks GROUP BY split""", EXTRA)
+def _(v):
+    frame = model_frame(v)
+    fitted, out = models.fit_and_score({"line": models.linear("weight")}, frame, models.Protocol(MODEL_COLUMNS), ["split"])
+    run = {"features": MODEL_COLUMNS, "model": "line", "train_end": 1999}
+    models.save_models(v.spark, fitted, run, shared_folder(v.spark, "run"))
+    return evaluate.full_metrics(out, ["split"]).select("split", "n")
+
+
+# ---- discovery ---------------------------------------------------------------------------------------------------------
+
+@query("cluster_rows")
+def _(v):
+    frame = discover.standardized(model_frame(v), ["listeners_log", "energy", "valence"])
+    _, out = discover.cluster_rows(frame, k=4)
+    profile = evaluate.cluster_profile(out, "cluster", "listeners_log", "y")
+    near = out.groupBy("cluster").agg(F.avg("centroid_distance").alias("mean_distance"))
+    return rounded(profile.join(near, "cluster"), ["mean_listeners", "mean_target", "mean_distance"])
+
+
+@query("gaussian_mixture")
+def _(v):
+    frame = discover.standardized(model_frame(v), ["listeners_log", "energy"])
+    _, out = discover.cluster_rows(frame, k=3, method="mixture")
+    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("choose_k")
+def _(v):
+    vectors = discover.array_vectors(v.embeddings, "embedding").persist()
+    return rounded(discover.choose_k(vectors, [2, 3, 4, 5]), ["inertia", "silhouette"], 4)
+
+
+@query("pca_projection")
+def _(v):
+    out, explained = discover.pca_projection(discover.array_vectors(v.embeddings, "embedding"), "features", 2)
+    rows = out.select("vec_id", F.round("pc1", 4).alias("pc1"), F.round("pc2", 4).alias("pc2"))
+    return rows.withColumn("explained", F.lit(round(sum(explained), 6)))
+
+
+@query("regime_discovery")
+def _(v):
+    rows = scored(v)
+    means = rows.where("split = 'train'").agg(F.avg("listeners_log").alias("listeners_log")).first().asDict()
+    out = discover.linear_contributions(rows, {"listeners_log": 1.5}, means)
+    return rounded(discover.regime_discovery(out, "c_listeners_log", "listeners_log"), ["mean"])
+
+
+# ---- streams -----------------------------------------------------------------------------------------------------------
+
+def stream_result(v, stream, name, mode="append"):
+    out, state = shared_folder(v.spark, name), shared_folder(v.spark, f"{name}-state")
+    ingest.run_available(stream, out, state, mode)
+    return v.spark.read.parquet(out)
+
+
+@query("stream_enrichment_ingest", "SELECT DISTINCT user_id, event_type FROM events")
+def _(v):
+    events = ingest.event_stream(v.spark, v.sf_dir)
+    kept = ingest.enrichment_ingest(events, ["user_id", "event_type"], "60 days")
+    return stream_result(v, kept, "ingest").select("user_id", "event_type")
+
+
+@query("stream_ttl_dedup", """
+SELECT user_id, CAST(date_trunc('hour', ts) AS VARCHAR) AS slot_start, CAST(min(ts) AS VARCHAR) AS asked_at, count(*) AS n_served FROM events
+GROUP BY user_id, date_trunc('hour', ts) HAVING date_trunc('hour', min(ts)) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+def _(v):
+    # a slot is final once the watermark (one hour behind the newest event) has passed its end
+    events = ingest.event_stream(v.spark, v.sf_dir)
+    out = stream_result(v, ingest.ttl_dedup(events, ["user_id"], "1 hour"), "ttl")
+    return out.select("user_id", *[F.col(c).cast("string").alias(c) for c in ("slot_start", "asked_at")], "n_served")
+
+
+@query("stream_score", """
+SELECT event_id, CASE WHEN ln(1 + coalesce(listeners, 0)) < 881e-2 THEN 0 WHEN ln(1 + coalesce(listeners, 0)) < 1309e-2 THEN 1 ELSE 2 END AS regime_id,
+ round(greatest(0, least(100, 5 + value / 2)), 6) AS pred FROM events LEFT JOIN artists ON artist_id = user_id""")
+def _(v):
+    events = ingest.event_stream(v.spark, v.sf_dir)
+    scored_rows = ingest.score_stream(
+        events, v.artists, "user_id", lambda f: f.withColumn("pred", F.lit(5.0) + F.col("value") / 2))
+    out = stream_result(v, scored_rows.select("event_id", "regime_id", "pred"), "score")
+    return out.select("event_id", "regime_id", F.round("pred", 6).alias("pred"))
+
+
