@@ -78,26 +78,26 @@ def variant_candidates(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     ``requests``: (request, artist_name, title_query); ``catalog``: one row per album track with (artist_name,
     track_key, title, popularity, album_id, album_title, album_type, album_popularity, album_year).
     """
-    # text is normalised once per row, in a step of its own, and used many times afterwards
-    hits = base_title_join(requests, catalog).withColumns({
-        "normalized_title": full_title("title"), "_album": album_words("album_title"), "_asked": full_title("title_query")})
+    # all text work is done once per catalog row and once per request, before the join multiplies them
+    worded = catalog.withColumns({"normalized_title": full_title("title"), "_album": album_words("album_title")})
     year = F.when(F.col("album_year").rlike("^[0-9]+$"), F.col("album_year")).try_cast("int")
-    rated = hits.withColumns({
+    judged = worded.withColumns({
         "_kind": track_type_of_words(F.col("normalized_title"), F.col("_album")),
         "_canon": canonicality_of_words(F.col("_album"), "album_type"),
         "is_featured_variant": has_words(F.col("normalized_title"), TITLE_TERMS["featured"]),
-        "_asked_featured": has_words(F.col("_asked"), TITLE_TERMS["featured"]),
         "year": F.coalesce(year, F.lit(0)),
     })
-    rated = rated.withColumns({
+    judged = judged.withColumns({
         "track_type": F.col("_kind.track_type"), "track_type_source": F.col("_kind.source"),
         "canonicality_score": F.col("_canon.canonicality_score"), "canonicality_tags": F.col("_canon.canonicality_tags"),
         "is_editorial_context": F.col("_canon.is_editorial_context"),
-    })
+    }).drop("_kind", "_canon", "_album", "album_year")
+    asked = requests.withColumn("_asked", full_title("title_query"))
+    asked = asked.withColumn("_asked_featured", has_words(F.col("_asked"), TITLE_TERMS["featured"]))
     quality = match_quality(
         F.col("normalized_title"), F.col("_asked"), F.col("is_featured_variant"), F.col("_asked_featured"),
         F.col("track_type"), F.col("track_type_source"))
-    return rated.withColumn("match_quality", quality).drop("_kind", "_canon", "_album", "_asked", "_asked_featured")
+    return base_title_join(asked, judged).withColumn("match_quality", quality).drop("_asked", "_asked_featured")
 
 
 def variant_order(unknown_year: int = 9999) -> list[Column]:

@@ -38,9 +38,19 @@ def _spread(value: float | None) -> float:
     return value if value else 1.0
 
 
-def _moments(name: str, prefix: str) -> list[Column]:
+def _partial(name: str, prefix: str) -> list[Column]:
     x = _num(name)
-    return [F.avg(x).alias(f"{prefix}_mean"), F.stddev_pop(x).alias(f"{prefix}_std")]
+    return [F.count(x).alias(f"{prefix}_n"), F.avg(x).alias(f"{prefix}_avg"), F.var_pop(x).alias(f"{prefix}_var")]
+
+
+def _combined(rows: list, prefix: str) -> tuple[float | None, float | None]:
+    """Mean and population deviation of the whole from the per-year counts, means and variances."""
+    parts = [(r[f"{prefix}_n"], r[f"{prefix}_avg"], r[f"{prefix}_var"]) for r in rows if r[f"{prefix}_n"]]
+    total = sum(n for n, _, _ in parts)
+    if not total:
+        return None, None
+    mean = sum(n * m for n, m, _ in parts) / total
+    return mean, (sum(n * (v + (m - mean) ** 2) for n, m, v in parts) / total) ** 0.5
 
 
 def temporal_columns(state: dict, options: dict) -> dict[str, Column]:
@@ -153,7 +163,7 @@ class _FeatureParams(Params):
 
 
 class FeatureEstimator(Estimator, _FeatureParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Configurable feature blocks; ``fit`` reads the training rows once, plus once per year table."""
+    """Configurable feature blocks; ``fit`` reads the training rows once."""
 
     @keyword_only
     def __init__(self, *, blocks=None, options=None):
@@ -163,24 +173,36 @@ class FeatureEstimator(Estimator, _FeatureParams, DefaultParamsReadable, Default
 
     def _fit(self, train: DataFrame) -> "FeatureModel":
         opts, active = self.settings(), self.active_blocks(train)
-        aggs = []
-        if "temporal" in active:
-            aggs += [F.max(_num(YEAR)).alias("current_year"), *_moments(YEAR, "year")]
-        if "non_linear" in active:
-            aggs += _moments("tempo", "tempo")
-        if "market" in active:
-            aggs += _moments("total_available_markets", "markets")
-        state = train.agg(*aggs).first().asDict() if aggs else {}
-        if opts["current_year"] is not None:
-            state["current_year"] = opts["current_year"]
+        sources = {"temporal": (YEAR, "year"), "non_linear": ("tempo", "tempo"), "market": ("total_available_markets", "markets")}
+        wanted = [sources[b] for b in active if b in sources]
+        if "year_meta" in active:
+            wanted.append((opts["target"], "target"))
+        state: dict = {}
+        if wanted:
+            # one pass for all blocks: statistics per calendar year, which the driver adds up
+            year = F.col(YEAR).cast("int") if YEAR in train.columns else F.lit(None).cast("int")
+            aggs = [c for name, prefix in wanted for c in _partial(name, prefix)]
+            rows = train.groupBy(year.alias("_year")).agg(*aggs).collect()
+            for _, prefix in wanted:
+                state[f"{prefix}_mean"], state[f"{prefix}_std"] = _combined(rows, prefix)
+            years = [r["_year"] for r in rows if r["_year"] is not None]
+            state["current_year"] = opts["current_year"] if opts["current_year"] is not None else max(years, default=None)
+            if "year_meta" in active:
+                state["year_means"] = {
+                    str(r["_year"]): self._year_mean(r, state["target_mean"], opts)
+                    for r in rows if r["_year"] is not None and r["target_n"]}
         if "temporal" in active and state["current_year"] is None:
             raise ValueError("no training row has a year; give current_year")
-        if "year_meta" in active:
-            table = smoothed_year_means(train, opts["year_smoothing"], opts["min_year_count"], opts["target"])
-            state["year_means"] = {str(r["year"]): r["year_mean"] for r in table.collect()}
+        if "temporal" in active and state["year_mean"] is None:
+            state["year_mean"] = float(state["current_year"])
         model = FeatureModel(state=json.dumps(state))
         return self._copyValues(model)
 
+    @staticmethod
+    def _year_mean(row, overall: float, opts: dict) -> float:
+        n, mean, k = row["target_n"], row["target_avg"], opts["year_smoothing"]
+        return (mean * n + overall * k) / (n + k) if k > 0 and n < opts["min_year_count"] else mean
+
 
 class FeatureModel(Model, _FeatureParams, DefaultParamsReadable, DefaultParamsWritable):
     """Replays fitted feature blocks on any rows; a narrow projection without shuffles or joins."""

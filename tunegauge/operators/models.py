@@ -76,9 +76,9 @@ class Protocol:
 
 def fit_and_score(estimators: dict[str, Estimator], frame: DataFrame, protocol: Protocol, keep: list[str]):
     """Fit every estimator on ``split = 'train'`` and stack its forecasts for all rows: (model, keep..., y, pred)."""
-    train = frame.where("split = 'train'")
-    prepared = protocol.prepare(train)
-    vectors = prepared.transform(frame).persist()  # reused by every model; spills to disk
+    frame = frame.persist()  # read by the fill, the scaler and every model; spills to disk
+    prepared = protocol.prepare(frame.where("split = 'train'"))
+    vectors = prepared.transform(frame)
     fitted = {name: e.fit(vectors.where("split = 'train'")) for name, e in estimators.items()}
     scored = union_all([
         m.transform(vectors).select(F.lit(name).alias("model"), *keep, "y", "pred") for name, m in fitted.items()

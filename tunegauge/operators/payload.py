@@ -45,32 +45,37 @@ def report_json(scored: DataFrame, key: str, features: list[str]) -> DataFrame:
     return scored.select(key, F.to_json(F.struct(metadata.alias("metadata"), simulation.alias("simulation"))).alias("report"))
 
 
-def sorted_keys(body: Column, path: str) -> Column:
-    """Sorted field names of a JSON object, as one comma-separated text; '' when there is none."""
-    keys = F.json_object_keys(F.get_json_object(body, path))
-    return F.coalesce(F.array_join(F.array_sort(keys), ","), F.lit(""))
+# Payload fields that are compared between runs.
+PAYLOAD_FIELDS = [
+    "title", "artist", "album", "original_release_year", "real_market_popularity", "rb_track_id", "isrc", "is_partial",
+]
+
+
+def _sorted_names(names: Column) -> Column:
+    """Field names as one sorted, comma-separated text; '' when there is none."""
+    return F.coalesce(F.array_join(F.array_sort(names), ","), F.lit(""))
 
 
 def payload_summary(results: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """Flat fields of resolver answers for a comparison of runs."""
-    b = F.col(body)
+    """Flat fields of resolver answers for a comparison of runs. Each answer is parsed once."""
+    shape = "success string, is_artist_only_fallback string, inference_payload map<string,string>"
+    parsed = results.select(key, F.from_json(body, shape).alias("a")).select(
+        key, "a.success", "a.is_artist_only_fallback", F.coalesce("a.inference_payload", F.create_map().cast("map<string,string>")).alias("p"))
 
     def field(name: str) -> Column:
-        return F.get_json_object(b, f"$.inference_payload.{name}")
+        return F.try_element_at("p", F.lit(name))
 
-    alternatives = F.from_json(field("raw_alternatives"), "array<string>")
-    people = F.from_json(field("collaborators"), "array<string>")
-    return results.select(
+    first_person = F.get_json_object(field("collaborators"), "$[0]")
+    return parsed.select(
         key,
-        F.coalesce(F.get_json_object(b, "$.success"), F.lit("false")).alias("success"),
-        F.coalesce(F.get_json_object(b, "$.is_artist_only_fallback"), F.lit("false")).alias("is_artist_only_fallback"),
-        *[field(n).alias(n) for n in (
-            "title", "artist", "album", "original_release_year", "real_market_popularity", "rb_track_id", "isrc", "is_partial")],
-        F.coalesce(F.size(alternatives), F.lit(0)).alias("raw_alternatives_count"),
-        F.coalesce(F.size(people), F.lit(0)).alias("collaborators_count"),
-        sorted_keys(b, "$.inference_payload").alias("payload_keys"),
-        sorted_keys(b, "$.inference_payload.audio_features").alias("audio_features_keys"),
-        sorted_keys(b, "$.inference_payload.collaborators[0]").alias("collaborator_keys"),
+        F.coalesce("success", F.lit("false")).alias("success"),
+        F.coalesce("is_artist_only_fallback", F.lit("false")).alias("is_artist_only_fallback"),
+        *[field(n).alias(n) for n in PAYLOAD_FIELDS],
+        F.coalesce(F.json_array_length(field("raw_alternatives")), F.lit(0)).alias("raw_alternatives_count"),
+        F.coalesce(F.json_array_length(field("collaborators")), F.lit(0)).alias("collaborators_count"),
+        _sorted_names(F.map_keys("p")).alias("payload_keys"),
+        _sorted_names(F.json_object_keys(field("audio_features"))).alias("audio_features_keys"),
+        _sorted_names(F.json_object_keys(first_person)).alias("collaborator_keys"),
     )
 
 

@@ -21,13 +21,9 @@ def exact_percentiles(
     ``by`` must be a small set of groups such as split or regime.
     """
     by = by or []
-    grid = [i / 200 for i in range(1, 200)]
     number = {c: F.col(c).cast("double") for c in columns}
-    sketch = df.agg(
-        *[F.approx_count_distinct(number[c]).alias(f"d__{c}") for c in columns],
-        *[F.percentile_approx(number[c], grid, 10_000).alias(f"b__{c}") for c in columns],
-    ).first()
-    few = [c for c in columns if sketch[f"d__{c}"] <= distinct_limit * 0.9]
+    distinct = df.agg(*[F.approx_count_distinct(number[c]).alias(c) for c in columns]).first()
+    few = [c for c in columns if distinct[c] <= distinct_limit * 0.9]
     many = [c for c in columns if c not in few]
     parts = []
     if few:
@@ -37,9 +33,12 @@ def exact_percentiles(
             for c in few for i, p in enumerate(probs)
         ])
         parts.append(wide.select(*by, F.inline(rows)))
-    for c in many:
-        edges = sorted(set(sketch[f"b__{c}"]))
-        parts.append(_selected(df.select(*by, number[c].alias("value")), c, edges, probs, by))
+    if many:
+        grid = [i / 200 for i in range(1, 200)]
+        sketch = df.agg(*[F.percentile_approx(number[c], grid, 2_000).alias(c) for c in many]).first()
+        for c in many:
+            edges = sorted(set(sketch[c]))
+            parts.append(_selected(df.select(*by, number[c].alias("value")), c, edges, probs, by))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

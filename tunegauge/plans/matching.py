@@ -381,7 +381,8 @@ SELECT request, track_key FROM hits QUALIFY row_number() OVER (PARTITION BY requ
   AND regexp_matches(lower(title), 'live|acoustic|unplugged|demo|remaster|remix|edit|version|mix|best|hits|essential|collection|online|party|nostalgia|throwback') THEN 1 ELSE 0 END,
  popularity DESC, track_key) = 1""", M)
 def _(v):
-    return catalog.canonical_track_choice(hits(v).withColumn("album_given", F.lit(False))).select("request", "track_key")
+    rows = v.album_tracks.select("artist_name", "title", "track_key", "popularity")
+    return match.best_contained(v.requests.drop("artist_name"), rows)
 
 
 @query("oldest_release_year", """

@@ -284,7 +284,7 @@ def _(v):
 
 @query("hurdle")
 def _(v):
-    frame = model_frame(v)
+    frame = model_frame(v).persist()
     vectors = models.Protocol(MODEL_COLUMNS).prepare(frame.where("split = 'train'")).transform(frame)
     fitted = models.hurdle_fit(vectors, "weight", models.forest("weight", 8, 5))
     out = models.hurdle_score(vectors, *fitted)
@@ -333,7 +333,7 @@ def _(v):
 
 
 def routed_scores(v):
-    frame = models.gating_router(model_frame(v))
+    frame = models.gating_router(model_frame(v).persist())
     vectors = models.Protocol(MODEL_COLUMNS).prepare(frame.where("split = 'train'")).transform(frame)
     experts = models.train_experts(vectors, lambda: models.forest(trees=6, depth=5))
     return models.score_routed(vectors, experts)
