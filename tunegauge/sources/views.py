@@ -18,6 +18,18 @@ TABLES = (
 ).split()
 
 
+FACTS = ("lineitem", "events", "documents")
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer tasks than there are cores, such as one file with a single row group.
+
+    Data of many files or row groups, as on a cluster, already fills all cores and is left alone: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Views:
     """Lazy access to tables (``v.lineitem``) and music views (``v.tracks``) of one directory."""
 
@@ -27,7 +39,8 @@ class Views:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread_scan(table) if name in FACTS else table
         raise AttributeError(name)
 
     @cached_property
