@@ -61,16 +61,17 @@ def title_contains_join(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     (title, artist) combinations, by matching titles, or by matching artists.
     """
     asked, rows = _normal_requests(requests), _normal_catalog(catalog)
-    queries = asked.select("q_title", "q_artist").distinct()
-    combos = rows.groupBy("c_title", "c_artist").agg(F.count(F.lit(1)).alias("n"))
+    # the distinct texts are read by several steps, so they are kept (in memory, else on disk) instead of normalised anew
+    queries = asked.select("q_title", "q_artist").distinct().persist()
+    combos = rows.groupBy("c_title", "c_artist").agg(F.count(F.lit(1)).alias("n")).persist()
     titles = combos.groupBy("c_title").agg(F.sum("n").alias("n"))
     artists = combos.groupBy("c_artist").agg(F.sum("n").alias("n"))
     by_title = containment_pairs(
         queries.select(F.col("q_title").alias("needle")), titles.select(F.col("c_title").alias("hay"))
-    ).withColumnsRenamed({"needle": "q_title", "hay": "c_title"})
+    ).withColumnsRenamed({"needle": "q_title", "hay": "c_title"}).persist()
     words = queries.select("q_artist").distinct().select("q_artist", F.explode(tokens("q_artist")).alias("needle"))
     word_pairs = containment_pairs(words, artists.select(F.col("c_artist").alias("hay")))
-    by_artist = words.join(word_pairs, "needle").select("q_artist", F.col("hay").alias("c_artist")).distinct()
+    by_artist = words.join(word_pairs, "needle").select("q_artist", F.col("hay").alias("c_artist")).distinct().persist()
 
     title_cost = by_title.join(titles, "c_title").groupBy("q_title").agg(
         F.count(F.lit(1)).alias("t_pairs"), F.sum("n").alias("t_rows"))
@@ -81,7 +82,7 @@ def title_contains_join(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         "q_title", "q_artist",
         F.when(both <= F.least("t_rows", "a_rows"), "both")
         .when(F.col("t_rows") <= F.col("a_rows"), "title").otherwise("artist").alias("way"),
-    )
+    ).persist()
 
     def way(name: str) -> DataFrame:
         return routed.where(F.col("way") == name).drop("way")
@@ -108,10 +109,10 @@ def best_contained(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     asked, rows = _normal_requests(requests), _normal_catalog(catalog)
     best = rows.groupBy("c_title", "c_artist", is_non_studio("title").cast("int").alias("off")).agg(
-        F.min(F.struct((-F.col("popularity")).alias("p"), "track_key")).alias("b"))
-    words = asked.select("q_title", F.explode(tokens("q_artist")).alias("word"), "request")
+        F.min(F.struct((-F.col("popularity")).alias("p"), "track_key")).alias("b")).persist()
+    words = asked.select("q_title", F.explode(tokens("q_artist")).alias("word"), "request").persist()
     by_title = containment_pairs(
-        asked.select(F.col("q_title").alias("needle")), best.select(F.col("c_title").alias("hay")))
+        words.select(F.col("q_title").alias("needle")), best.select(F.col("c_title").alias("hay")))
     penalty = F.when(is_non_studio("q_title"), 0).otherwise(F.col("off"))
     per_artist = by_title.withColumnsRenamed({"needle": "q_title", "hay": "c_title"}).join(best, "c_title").groupBy(
         "q_title", "c_artist").agg(F.min(F.struct(penalty.alias("off"), "b")).alias("b"))

@@ -64,7 +64,7 @@ def _selected(values: DataFrame, name: str, edges: list[float], probs: list[floa
         F.floor(position).alias("lo"), F.ceil(position).alias("hi"),
     ).where((F.col("before") <= F.col("hi")) & (F.col("before") + F.col("_n") > F.col("lo")))
     target = wanted.select(*by, "bucket").distinct()
-    kept = bucketed.join(F.broadcast(target), [*by, "bucket"], "left_semi")
+    kept = bucketed.join(target, [*by, "bucket"], "left_semi")
     ordered = kept.groupBy(*by, "bucket", "value").agg(F.count(F.lit(1)).alias("m"))
     run = Window.partitionBy(*by, "bucket").orderBy("value")
     ordered = ordered.withColumn("start", F.sum("m").over(run) - F.col("m"))
@@ -73,7 +73,7 @@ def _selected(values: DataFrame, name: str, edges: list[float], probs: list[floa
     def at(rank: str):
         return F.max(F.when((start <= F.col(rank)) & (F.col(rank) < start + F.col("m")), F.col("value")))
 
-    found = ordered.join(F.broadcast(wanted), [*by, "bucket"]).groupBy(*by, "prob", "pos", "lo").agg(
+    found = ordered.join(wanted, [*by, "bucket"]).groupBy(*by, "prob", "pos", "lo").agg(
         at("lo").alias("v_lo"), at("hi").alias("v_hi")
     )
     value = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["cleaning", "featuring", "evaluation", "matching", "pipelines"]
+THEMES = ["cleaning", "featuring", "evaluation", "matching", "modeling"]
 
 
 def load() -> None:

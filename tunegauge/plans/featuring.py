@@ -92,7 +92,7 @@ def _(v):
     return rounded(features.year_trend(means), ["year_mean", "year_trend"])
 
 
-@query("feature_pipeline", f"""
+@query("feature_blocks", f"""
 SELECT split, count(*) AS n, round(avg(age), 4) AS age, round(avg(year_zscore), 4) AS year_zscore, round(avg(vibe), 4) AS vibe,
  round(avg(log_duration), 3) AS log_duration, round(avg(tempo_zscore), 3) AS tempo_zscore, CAST(sum(markets_bucket) AS BIGINT) AS markets_bucket,
  round(avg(m.year_mean), 3) AS year_popularity_mean, round(avg(m.year_mean - p.year_mean), 3) AS year_trend FROM (

@@ -373,7 +373,7 @@ def _(v):
     return rounded(out, ["mae_base", "mae_shuffled", "importance"])
 
 
-@query("temporal_pipeline_run", """
+@query("temporal_run", """
 SELECT split, count(*) AS n FROM split_tracks GROUP BY split""", EXTRA)
 def _(v):
     frame = model_frame(v)
