@@ -117,3 +117,11 @@ def test_best_release_rules(spark):
     assert got[2]["release_title"] == "c" and got[2]["track_number"] is None
     assert got[3]["release_title"] == "e" and got[4]["found"] is False
     assert got[5]["release_type"] == "Compilation"
+
+
+def test_missing_popularity_never_wins(spark):
+    rows = spark.createDataFrame(
+        [("k1", "Ann", "Song", None), ("k2", "Ann", "Song", 3)], "track_key string, artist_name string, title string, popularity int")
+    asks = spark.createDataFrame([("r", "Ann", "ann", "song")], "request string, artist_name string, artist_query string, title_query string")
+    assert match.best_contained(asks.drop("artist_name"), rows).first()["track_key"] == "k2"
+    assert match.deep_scan_best(asks.drop("artist_query"), rows).first()["track_key"] == "k2"

@@ -202,3 +202,10 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert run() == [7]
     land("b", [(3, "2024-01-01 00:02:00", 7, "x", 1.0, "{}"), (4, "2024-01-01 00:03:00", 8, "x", 1.0, "{}")])
     assert run() == [7, 8]
+
+
+def test_champion_passes_over_untested_runs(spark):
+    runs = spark.createDataFrame(
+        [("baseline_a", None, 5.0), ("b", None, None), ("c", None, 4.0)], "tag string, mae_val double, mae_test double")
+    row = evaluate.champion_select(runs, False).first()
+    assert row["best_tag"] == "c" and row["champion"] == "c"

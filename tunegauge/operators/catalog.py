@@ -27,6 +27,11 @@ def catalog_dedup(albums: DataFrame) -> DataFrame:
     return top_per_group(keyed, ["artist_id", "_title"], [F.col("popularity").desc(), "album_id"]).drop("_title")
 
 
+def known(popularity: str) -> Column:
+    """A missing popularity counts as 0."""
+    return F.coalesce(F.col(popularity), F.lit(0))
+
+
 def sortable_year(year: Column) -> Column:
     return F.when(year.rlike("^[0-9]+$"), year).otherwise("0000")
 
@@ -34,7 +39,7 @@ def sortable_year(year: Column) -> Column:
 def catalog_order(albums: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Position of each album in its artist's catalog, newest first; unknown years last."""
     year = sortable_year(F.col("year")).cast("int")
-    order = [-year, -F.col("popularity"), F.col("album_id")]
+    order = [-year, -known("popularity"), F.col("album_id")]
     return rank_per_group(albums, ["artist_id"], order, "position", hot_rows)
 
 
@@ -104,7 +109,7 @@ def variant_order(unknown_year: int = 9999) -> list[Column]:
     """Best variant first, as ascending expressions that end in a unique key."""
     return [
         rank_in(F.col("match_quality"), MATCH_RANK), rank_in(F.col("track_type"), TYPE_RANK),
-        -F.col("canonicality_score"), -F.col("popularity"), -F.col("album_popularity"),
+        -F.col("canonicality_score"), -known("popularity"), -known("album_popularity"),
         F.when(F.col("year") > 0, F.col("year")).otherwise(unknown_year), F.col("track_key"),
     ]
 
@@ -131,7 +136,7 @@ def menu_best_version(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     keyed = rows.withColumn("_title", normalize_basic_text("title"))
     best = top_per_group(keyed, ["request", "_title", "album_title"], [F.col("popularity").desc(), "track_key"])
     return rank_per_group(
-        best.drop("_title"), ["request"], [-F.col("popularity"), F.col("track_key")], "position", hot_rows)
+        best.drop("_title"), ["request"], [-known("popularity"), F.col("track_key")], "position", hot_rows)
 
 
 def menu_projection(variants: DataFrame) -> DataFrame:
@@ -215,14 +220,14 @@ def best_artist_in_track(tracks: DataFrame) -> DataFrame:
     solo = (F.size("artists") == 1).cast("int")
     options = F.transform("_names", lambda n, i: F.struct(
         token_score(F.col("_q"), n["c"], F.col("_qt"), n["ct"]).alias("score"), (i == 0).cast("int").alias("is_primary"),
-        solo.alias("is_solo"), F.col("popularity").alias("popularity"), (-i).alias("o"), n["artist"].alias("artist")))
+        solo.alias("is_solo"), known("popularity").alias("popularity"), (-i).alias("o"), n["artist"].alias("artist")))
     best = worded.withColumn("_b", F.array_max(options)).where("_b IS NOT NULL")
     return best.select("request", "track_key", "_b.score", "_b.is_primary", "_b.is_solo", "_b.popularity", "_b.artist")
 
 
 def best_artist(track_bests: DataFrame, min_score: int = 80) -> DataFrame:
     """Best artist per request over its tracks; requests below ``min_score`` stay unresolved."""
-    key = F.struct(-F.col("score"), -F.col("is_primary"), -F.col("is_solo"), -F.col("popularity"), "track_key", "artist")
+    key = F.struct(-F.col("score"), -F.col("is_primary"), -F.col("is_solo"), -known("popularity"), "track_key", "artist")
     return track_bests.groupBy("request").agg(F.min(F.struct(key.alias("k"), "score", "artist", "track_key")).alias("b")).select(
         "request", "b.artist", "b.score", "b.track_key").where(F.col("score") >= min_score)
 

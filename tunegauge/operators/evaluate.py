@@ -240,9 +240,9 @@ def champion_select(results: DataFrame, clip: bool) -> DataFrame:
     tag = F.col("tag")
     mode = tag.contains("clip") if clip else ~tag.contains("clip")
     baseline = F.lower(tag).contains("baseline")
-    key = F.struct("mae_test", "tag")
+    key, tested = F.struct("mae_test", "tag"), F.col("mae_test").isNotNull()
     best = results.where(mode & F.col("mae_val").isNull()).agg(
-        F.min(F.when(baseline, key)).alias("b"), F.min(F.when(~baseline, key)).alias("c")
+        F.min(F.when(baseline & tested, key)).alias("b"), F.min(F.when(~baseline & tested, key)).alias("c")
     ).where("c IS NOT NULL")
     gap = F.col("c.mae_test") - F.col("b.mae_test")
     return best.select(

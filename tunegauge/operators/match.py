@@ -109,7 +109,7 @@ def best_contained(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     asked, rows = _normal_requests(requests), _normal_catalog(catalog)
     best = rows.groupBy("c_title", "c_artist", is_non_studio("title").cast("int").alias("off")).agg(
-        F.min(F.struct((-F.col("popularity")).alias("p"), "track_key")).alias("b")).persist()
+        F.min(F.struct((-F.coalesce("popularity", F.lit(0))).alias("p"), "track_key")).alias("b")).persist()
     words = asked.select("q_title", F.explode(tokens("q_artist")).alias("word"), "request").persist()
     by_title = containment_pairs(
         words.select(F.col("q_title").alias("needle")), best.select(F.col("c_title").alias("hay")))
@@ -168,7 +168,7 @@ def deep_scan_best(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     asked = requests.select("request", "artist_name", F.lower("title_query").alias("q_title"))
     best = catalog.groupBy("artist_name", F.lower("title").alias("c_title")).agg(
-        F.min(F.struct((-F.col("popularity")).alias("p"), "track_key")).alias("b"))
+        F.min(F.struct((-F.coalesce("popularity", F.lit(0))).alias("p"), "track_key")).alias("b"))
     q_titles, c_titles = asked.select("q_title").distinct(), best.select("c_title").distinct()
     inside = containment_pairs(q_titles.select(F.col("q_title").alias("needle")), c_titles.select(F.col("c_title").alias("hay")))
     around = containment_pairs(c_titles.select(F.col("c_title").alias("needle")), q_titles.select(F.col("q_title").alias("hay")))

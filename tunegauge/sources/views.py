@@ -65,7 +65,8 @@ class Views:
             suffix = F.when(line == number, text).otherwise(suffix)
         return self.lines.select(
             F.concat_ws("-", okey.cast("string"), line.cast("string"), F.col("l_partkey").cast("string"),
-                        F.col("l_suppkey").cast("string")).alias("row_key"),
+                        F.col("l_suppkey").cast("string"),
+                        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")).alias("row_key"),
             F.concat(F.lit("T"), okey.cast("string")).alias("track_id"),
             F.concat("p_name", suffix).alias("song_name"),
             F.col("s_name").alias("artist_name"),
@@ -188,7 +189,8 @@ class Views:
 
 VIEW_SQL = {
     "tracks": """
-SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS row_key,
+SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
+  CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)) AS row_key,
   concat('T', CAST(l_orderkey AS VARCHAR)) AS track_id,
   concat(p_name, CASE l_linenumber WHEN 1 THEN ' (Live)' WHEN 2 THEN ' (feat. Guest)' WHEN 3 THEN ' - Remix' WHEN 4 THEN ' [Acoustic]' WHEN 5 THEN ' - Remastered 2011' ELSE '' END) AS song_name,
   s_name AS artist_name,
