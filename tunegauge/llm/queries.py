@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunegauge.llm import shards, simhash
-from tunegauge.llm.tables import table
+from tunegauge.llm import shards, simhash, warc
+from tunegauge.llm.tables import share_code, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        share_code(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -33,3 +37,11 @@ def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.uniform_shuffle(rows, 24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op5_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to",
+        F.octet_length("payload").cast("long").alias("stored_bytes"), F.sha1("payload").alias("stored_sha1"),
+    )
