@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunegauge.llm import shards, simhash, warc
+from tunegauge.llm import licences, shards, simhash, toxicity, warc
 from tunegauge.llm.tables import share_code, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,24 @@ def op5_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to",
         F.octet_length("payload").cast("long").alias("stored_bytes"), F.sha1("payload").alias("stored_sha1"),
     )
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scanned(table(spark, sf_dir, "documents"))
+    base = F.filter("finds", lambda f: f["kind"] == "base")
+    labels = F.transform(base, lambda f: f["label"])
+    more = F.transform(F.filter("finds", lambda f: f["kind"] == "notice"), lambda f: f["label"])
+    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda f: f["word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda f: f["word"])).alias("last_word"),
+        joined(labels).alias("base_labels"), joined(F.concat(labels, more, "licences")).alias("labels"), "score",
+    )
