@@ -1,7 +1,7 @@
 """Toxicity by character n-grams: presence features scaled by naive Bayes log-count ratios under a linear classifier.
 
-The ratios are counted over all labelled rows given, in Spark. The linear weights are fitted by full-batch gradient steps on a
-bounded sample of these rows (``sample_rows``), which the tasks hashed into feature lists. Scoring needs no shuffle.
+The ratios are counted over all labelled rows given, in Spark; only n-grams whose ratio stands out stay features. The linear
+weights are fitted on a bounded sample of these rows (``sample_rows``). Scoring needs no shuffle.
 """
 
 from __future__ import annotations
@@ -17,126 +17,117 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tunegauge.llm.tables import slices, stored
 
-#: Features are hashed into this many buckets.
-BUCKETS = 1 << 18
+#: n-grams are hashed into this many buckets.
+BUCKETS = 1 << 20
 LENGTHS = (4, 5, 6)
-MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of a long text that are hashed at a time; pieces overlap by the longest n-gram.
-PIECE = 1 << 20
+MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+#: Characters of a long text that are hashed at a time; pieces overlap by the longest n-gram.
+PIECE = 1 << 18
 
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of the character n-grams, over UTF-8 bytes with A-Z lowered and white space runs as one blank."""
-    data = np.frombuffer(b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + b" ", dtype=np.uint8)
-    seen = np.zeros(BUCKETS, dtype=bool)
-    for start in range(0, len(data), PIECE):
-        part = data[start : start + PIECE + max(LENGTHS) - 1].astype(np.uint64)
+def ngrams(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of the character n-grams, repeats included; case is folded and a run of white space is one blank."""
+    plain = " " + " ".join((text or "").lower().split()) + " "
+    for start in range(0, len(plain), PIECE):
+        part = plain[start : start + PIECE + max(LENGTHS) - 1]
+        part = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         value = part
         for n in range(2, max(LENGTHS) + 1):
             if len(part) < n:
                 break
-            value = (value[: len(part) - n + 1] << np.uint64(8)) | part[n - 1 :]
+            value = value[: len(part) - n + 1] * STEP + part[n - 1 :]
             if n in LENGTHS:
-                seen[((value + np.uint64(n)) * MIX) >> np.uint64(46)] = True
-    return np.flatnonzero(seen)
+                yield ((value + np.uint64(n)) * MIX >> np.uint64(44)).astype(np.int32)
 
 
 @dataclass
 class Model:
-    """``weights``: log-count ratio times linear weight of each bucket."""
+    """``weights``: log-count ratio times linear weight of each bucket; most are zero."""
 
     weights: np.ndarray
     bias: float
 
     def score(self, text: str | None) -> float:
-        z = float(self.weights[features(text)].sum()) + self.bias
+        found = [at[self.weights[at] != 0] for at in ngrams(text)]
+        z = self.bias + (float(self.weights[np.unique(np.concatenate(found))].sum()) if found else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def ratios(rows: DataFrame, text: str, label: str, smoothing: float = 1.0) -> np.ndarray:
-    """Naive Bayes log-count ratio of each bucket, counted over all rows (at most BUCKETS numbers reach the driver)."""
+def ratios(rows: DataFrame, least: float) -> np.ndarray:
+    """Naive Bayes log-count ratio of each bucket over all rows (text, label), zero where it is below ``least`` deviations."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, BUCKETS), dtype=np.int64)
+        n, seen = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(BUCKETS, dtype=bool)
         for batch in slices(batches):
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n[y, features(t)] += 1
-        at = np.flatnonzero(n.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["bucket", "clean", "toxic"])
+                for at in ngrams(t):
+                    seen[at] = True
+                at = np.flatnonzero(seen)
+                n[y, at] += 1
+                seen[at] = False
+        at = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], names=["bucket", "clean", "toxic"]
+        )
 
-    found = rows.select(text, label).mapInArrow(count, "bucket long, clean long, toxic long")
-    found = found.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    n = np.full((2, BUCKETS), smoothing)
-    n[:, found["bucket"].to_numpy()] += np.vstack([found["clean"].to_numpy(), found["toxic"].to_numpy()])
-    n /= n.sum(axis=1, keepdims=True)
-    return np.log(n[1]) - np.log(n[0])
+    found = rows.mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket")
+    found = found.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    total = rows.agg(F.sum(1 - F.col("label")), F.sum("label")).first()
+    n = np.vstack([found["clean"].to_numpy(), found["toxic"].to_numpy()]) + 1.0
+    ratio = np.log(n[1] / (total[1] + 2)) - np.log(n[0] / (total[0] + 2))
+    ratio[np.abs(ratio) < least * np.sqrt(1 / n[0] + 1 / n[1])] = 0
+    out = np.zeros(BUCKETS)
+    out[found["bucket"].to_numpy()] = ratio
+    return out
 
 
-def fit(rows: DataFrame, text: str, label: str, sample_rows: int = 6_000, steps: int = 200, penalty: float = 1e-4) -> Model:
-    """A model from labelled rows (label 0 or 1). Rows without a label are left out; without rows of both kinds the score is 0.5.
+def fit(rows: DataFrame, sample_rows: int = 50_000, least: float = 4.0, passes: int = 30) -> Model:
+    """A model from rows (text, label 0 or 1). Without rows of both kinds every score is 0.5.
 
-    The linear part is fitted on about ``sample_rows`` rows, chosen by a hash of the text; both classes weigh the same.
+    n-grams whose log-count ratio lies fewer than ``least`` standard deviations from zero are left out. The linear part is
+    fitted on about ``sample_rows`` rows, chosen by a hash of the text; a task gets only their few chosen n-grams.
     """
-    rows = rows.filter(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    rows = rows.filter(F.col("label").isin(0, 1)).select("text", F.col("label").cast("int").alias("label"))
     total = rows.groupBy("label").count().collect()
     if len(total) < 2:
         return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0)
-    ratio = ratios(rows, "text", "label")
+    ratio = ratios(rows, least)
     share = min(1.0, sample_rows / sum(r["count"] for r in total))
     chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    held = rows.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [features(t).astype(np.int32) for t in batch.column(0).to_pylist()]
+            found = [np.unique(np.concatenate([at[held.value[at] != 0] for at in ngrams(t)] or [[]])) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = _gradient_steps(batches, ratio, steps, penalty)
+        labels, lists = [], []
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            lists += [x.values.to_numpy() for x in batch.column(1)]
+        weights, bias = gradient_steps(np.array(labels, dtype=float), lists, held.value, passes)
         at = np.flatnonzero(weights)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[bias, weights[at]].astype(np.float64))], names=["bucket", "weight"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[bias, weights[at]])], names=["bucket", "weight"])
 
     found = chosen.mapInArrow(hashed, "label int, at array<int>").repartition(1).mapInArrow(train, "bucket int, weight double").toArrow()
-    weights, bias = np.zeros(BUCKETS), 0.0
-    for b, w in zip(found["bucket"].to_numpy(), found["weight"].to_numpy()):
-        if b < 0:
-            bias = float(w)
-        else:
-            weights[b] = w
-    return Model((weights * ratio).astype(np.float32), bias)
-
-
-def _gradient_steps(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, steps: int, penalty: float) -> tuple[np.ndarray, float]:
-    """Adam on the class-balanced logistic loss of presence features times their ratio, mini-batches of 64 rows."""
-    labels, lists = [], []
-    for batch in batches:
-        labels += batch.column(0).to_pylist()
-        lists += [x.values.to_numpy() for x in batch.column(1)]
-    y, n = np.array(labels, dtype=float), len(labels)
-    w, b = np.zeros(BUCKETS), 0.0
-    if n == 0 or y.min() == y.max():
-        return w, b
-    balance = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
-    rng = np.random.default_rng(0)
-    squares = np.full(BUCKETS, 1e-8)
-    b_square = 1e-8
-    batch_rows = 64
-    for _ in range(max(1, steps * batch_rows // n)):
-        order = rng.permutation(n)
-        for start in range(0, n, batch_rows):
-            part = order[start : start + batch_rows]
-            flat = np.concatenate([lists[i] for i in part])
-            row = np.repeat(np.arange(len(part)), [len(lists[i]) for i in part])
-            x = ratio[flat]
-            z = np.bincount(row, x * w[flat], minlength=len(part)) + b
-            g = balance[part] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-            at, inverse = np.unique(flat, return_inverse=True)
-            grad = np.bincount(inverse, x * g[row], minlength=len(at)) + penalty * w[at]
-            squares[at] += grad**2
-            w[at] -= 0.05 * grad / np.sqrt(squares[at])
-            b_square += g.sum() ** 2
-            b -= 0.05 * g.sum() / np.sqrt(b_square)
+    bucket, weight = found["bucket"].to_numpy(), found["weight"].to_numpy()
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    weights[bucket[bucket >= 0]] = weight[bucket >= 0]
+    return Model((weights * ratio).astype(np.float32), float(weight[bucket < 0].sum()))
+
+
+def gradient_steps(y: np.ndarray, lists: list[np.ndarray], ratio: np.ndarray, passes: int) -> tuple[np.ndarray, float]:
+    """Normalized gradient steps on the logistic loss, row by row, over presence features times their ratio."""
+    w, b, rng = np.zeros(BUCKETS), -2.0, np.random.default_rng(0)
+    values = [ratio[at].astype(float) for at in lists]
+    for _ in range(passes):
+        for i in rng.permutation(len(y)):
+            at, x = lists[i], values[i]
+            size = 1 + x @ x
+            step = 1 / (1 + np.exp(-np.clip(x @ w[at] + b, -30, 30))) - y[i]
+            w[at] -= 0.4 * step * x / size + 5e-5 * w[at]
+            b -= 0.05 * step / size
     return w, b
 
 
@@ -156,10 +147,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """(doc_id, text, label) of the labelled documents. A repeated label row counts once, ids with two labels not at all."""
+    """(text, label) of the labelled documents. A repeated label row counts once, ids with two labels not at all."""
     once = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id)
     once = once.agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other").select(doc_id, "label")
-    return stored(docs.select(doc_id, "text").join(once, doc_id), "labelled")
+    return stored(docs.select(doc_id, "text").join(once, doc_id).select("text", "label"), "labelled")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -172,5 +163,5 @@ def classified(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFr
 
     Input columns of these names are replaced. Repeated documents get a row each; an empty table gives no rows.
     """
-    model = fit(labelled(docs.filter(~held_out()), labels), "text", "label")
+    model = fit(labelled(docs.filter(~held_out()), labels))
     return score(docs, model).withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= least).cast("int"))
