@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunegauge.llm import licences, shards, simhash, toxicity, warc
+from tunegauge.llm import licences, packing, shards, simhash, toxicity, warc
 from tunegauge.llm.tables import share_code, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scanned(table(spark, sf_dir, "documents"))
