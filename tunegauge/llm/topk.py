@@ -119,30 +119,35 @@ def top_k(
     blocks = max(1, -(-counts[1] // block_rows))
     deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "at"), F.lit(n)).cast("int")
     held = rows.select("vec_id", "v", "dim", "at", deal("row", shards).alias("shard"))
-    asked = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "v", "dim", "at", deal("query", blocks).alias("block"))
-    key = ["dim", "shard", "block"]
+    asked = rows.filter("asks").select(
+        F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.col("dim").alias("length"), F.col("at").alias("asked"),
+        deal("query", blocks).alias("in_block"),
+    )
     found_schema = "query_id long, asked long, vec_id long, at long, score long"
 
     def meet(one: pa.Table, two: pa.Table) -> pa.Table:
         kinds = [("query_id", pa.int64()), ("asked", pa.int64()), ("vec_id", pa.int64()), ("at", pa.int64()), ("score", pa.int64())]
         if not one.num_rows or not two.num_rows:
             return pa.table({c: pa.array([], t) for c, t in kinds})
-        matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        ids, at, asks, own = (t[c].to_numpy() for t, c in ((one, "vec_id"), (one, "at"), (two, "query_id"), (two, "at")))
-        found = search(matrix(one), ids, at, matrix(two), own, two["least"].to_pylist(), k)
+        matrix = lambda c: c.combine_chunks().flatten().to_numpy().reshape(len(c), -1)
+        ids, at, asks, own = (t[c].to_numpy() for t, c in ((one, "vec_id"), (one, "at"), (two, "query_id"), (two, "asked")))
+        found = search(matrix(one["v"]), ids, at, matrix(two["query"]), own, two["least"].to_pylist(), k)
         n, m = (np.array([f[i] for f in found], dtype=np.int64) for i in (0, 1))
         scores = [max(-(2**63), min(2**63 - 1, f[2])) for f in found]
         return pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds, (asks[n], own[n], ids[m], at[m], scores))})
 
     def wave(asked: DataFrame, first: bool) -> DataFrame:
-        home = F.col("shard") == F.col("block") % shards
+        def meets(shard: str, block: str):
+            home = F.col(shard) == F.col(block) % shards
+            return home if first else ~home
+
         all_blocks, all_shards = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (blocks, shards))
-        left = held.withColumn("block", all_blocks).filter(home if first else ~home)
-        right = asked.withColumn("shard", all_shards).filter(home if first else ~home)
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, found_schema)
+        left = held.withColumn("block", all_blocks).filter(meets("shard", "block")).groupBy("dim", "shard", "block")
+        right = asked.withColumn("in_shard", all_shards).filter(meets("in_shard", "in_block")).groupBy("length", "in_shard", "in_block")
+        return left.cogroup(right).applyInArrow(meet, found_schema)
 
     first = stored(wave(asked.withColumn("least", F.lit(None).cast("long")), True), "first-wave")
-    least = first.groupBy("asked").agg(F.when(F.count("*") >= k, F.min("score")).alias("least")).withColumnRenamed("asked", "at")
-    found = first.unionByName(wave(asked.join(least, "at", "left"), False)) if shards > 1 else first
+    least = first.groupBy("asked").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    found = first.unionByName(wave(asked.join(least, "asked", "left"), False)) if shards > 1 else first
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "at")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
