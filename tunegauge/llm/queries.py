@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunegauge.llm import decontaminate, licences, packing, pii, shards, simhash, topk, toxicity, warc
+from tunegauge.llm import decontaminate, licences, maxent, packing, pii, shards, simhash, topk, toxicity, warc
 from tunegauge.llm.tables import share_code, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,13 @@ def op5_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    found = maxent.scores(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
