@@ -309,8 +309,12 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redacted(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """``docs`` with spans masked in ``text``; a null text stays null, other columns stay as they are."""
+def redacted(docs: DataFrame, field: Field, text: str = "text", length: str | None = None) -> DataFrame:
+    """``docs`` with spans masked in ``text``; a null text stays null, other columns stay as they are.
+
+    A long column ``length``, if named, becomes the length of texts that changed.
+    """
+    size_at = docs.columns.index(length) if length else None
     at, held = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,6 +325,9 @@ def redacted(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
             new = [None if g is None else masked(t, s) if s else t for g, t, s in zip(given, texts, spans)]
             columns = list(batch.columns)
             columns[at] = pa.array(new, pa.string())
+            if size_at is not None:
+                old = batch.column(size_at).to_pylist()
+                columns[size_at] = pa.array([n if t == g else len(t) for n, t, g in zip(old, new, given)], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     fields = [StructField(text, StringType()) if f.name == text else f for f in docs.schema.fields]
