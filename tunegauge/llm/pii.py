@@ -34,7 +34,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 NOISE = re.compile(r"[^a-z0-9@]+")
 SHAPES = 1 << 12
-ROUNDS, DAMPING, CERTAIN = 8, 0.3, 0.95
+ROUNDS, DAMPING, CERTAIN = 8, 0.3, 0.9
 
 
 def luhn(digits: str) -> bool:
@@ -213,7 +213,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def learn(nodes: Nodes, steps: int = 150) -> Field:
     """Piecewise training: a multinomial logistic model for nodes, smoothed log ratios of label pairs for links.
 
-    A repeat of a labelled token takes its label with the strength of the pairs seen, of which one agreeing pair is assumed.
+    A repeat of a labelled token takes its label with the strength of the pairs seen, of which a few agreeing pairs are assumed.
     """
     count = len(LABELS)
     weights, bias = np.zeros((3 * SHAPES, count)), np.zeros(count)
@@ -232,7 +232,7 @@ def learn(nodes: Nodes, steps: int = 150) -> Field:
     share /= share.sum()
     for kind in (0, 1):
         pairs = nodes.links[nodes.links[:, 2] == kind] if len(nodes.links) else np.zeros((0, 3), dtype=np.int64)
-        seen = np.outer(share, share) * 4 + (np.eye(count) if kind else 0)
+        seen = np.outer(share, share) * 4 + (3 * np.eye(count) if kind else 0)
         np.add.at(seen, (nodes.seen[pairs[:, 0]], nodes.seen[pairs[:, 1]]), 1.0)
         seen = (seen + seen.T) / 2
         link[kind] = np.log(seen / seen.sum()) - np.log(np.outer(share, share))

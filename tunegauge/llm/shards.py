@@ -82,13 +82,13 @@ def _divided(room: Column, drawn: Column, seed: int, node: Column) -> Column:
 
 
 def communication_matrix(chunks: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(_part, _piece, sends): how many rows each chunk (_part, _piece, n) sends to each shard.
+    """(part, piece, sends): how many rows each chunk (part, piece, n) sends to each shard.
 
     A binary tree halves the list of chunks: at each node the rows of the left half are divided over the places of the
     node, the right half gets the others. The list has one entry per chunk, some rows / chunk_rows in all.
     """
     total = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    nodes = chunks.agg(F.sort_array(F.collect_list(F.struct("_part", "_piece", "n"))).alias("chunks")).filter(F.size("chunks") > 0)
+    nodes = chunks.agg(F.sort_array(F.collect_list(F.struct("part", "piece", "n"))).alias("chunks")).filter(F.size("chunks") > 0)
     nodes = nodes.select(
         "chunks", F.lit(1).cast("long").alias("node"),
         _let(total, lambda n: F.transform(
@@ -107,7 +107,7 @@ def communication_matrix(chunks: DataFrame, shards: int, seed: int) -> DataFrame
                      F.zip_with("room", "sends", lambda a, b: a - b).alias("room")),
         )).alias("x")).select("x.*").filter(F.size("chunks") > 0)
     only = F.element_at("chunks", 1)
-    return nodes.select(only["_part"].alias("_part"), only["_piece"].alias("_piece"), F.col("room").alias("sends"))
+    return nodes.select(only["part"].alias("part"), only["piece"].alias("piece"), F.col("room").alias("sends"))
 
 
 def uniform_shuffle(rows: DataFrame, shards: int, seed: int = 0, chunk_rows: int = 20_000) -> DataFrame:
@@ -117,33 +117,33 @@ def uniform_shuffle(rows: DataFrame, shards: int, seed: int = 0, chunk_rows: int
     ties and repeated rows are spread like others; input columns named shard or slot are replaced. An empty table gives
     no rows. Chunks and the cells that shards are permuted in hold about ``chunk_rows`` rows, whatever the input.
     """
-    names = [c for c in rows.columns if c not in ("shard", "slot")]
-    own = [F.col(f"`{c}`") for c in names]
-    at = F.monotonically_increasing_id()
-    held = rows.select(*own, at.alias("_at"), F.spark_partition_id().alias("_part"))
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    held = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("in"), F.monotonically_increasing_id().alias("at"), F.spark_partition_id().alias("part"),
+    )
     held = stored(held.select(
-        *own, "_part", F.floor((F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)) / chunk_rows).alias("_piece"),
-        F.xxhash64(F.lit(seed), F.lit("send"), "_at").alias("_first"), F.xxhash64(F.lit(seed), F.lit("place"), "_at").alias("_second"),
+        "in", "part", F.floor((F.col("at") - F.shiftleft(F.col("part").cast("long"), 33)) / chunk_rows).alias("piece"),
+        F.xxhash64(F.lit(seed), F.lit("send"), "at").alias("first"), F.xxhash64(F.lit(seed), F.lit("place"), "at").alias("second"),
     ), "chunks")
-    chunks = held.groupBy("_part", "_piece").agg(F.count("*").alias("n"))
+    chunks = held.groupBy("part", "piece").agg(F.count("*").alias("n"))
     matrix = communication_matrix(chunks, shards, seed).select(
-        "_part", "_piece",
+        "part", "piece",
         F.aggregate(
             "sends", F.array().cast("array<long>"),
             lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("long")) + x)),
-        ).alias("_ends"),
+        ).alias("ends"),
     )
-    local = Window.partitionBy("_part", "_piece").orderBy("_first", "_second")
-    sent = held.withColumn("_rank", F.row_number().over(local)).join(matrix, ["_part", "_piece"])
+    local = Window.partitionBy("part", "piece").orderBy("first", "second")
+    sent = held.withColumn("rank", F.row_number().over(local)).join(matrix, ["part", "piece"])
     cells = max(1, -(-held.count() // (shards * chunk_rows)))
     sent = stored(sent.select(
-        *own, F.size(F.filter("_ends", lambda end: end < F.col("_rank"))).alias("shard"),
-        F.floor(F.shiftrightunsigned("_second", 11) * F.lit(2.0**-53) * cells).alias("_cell"), "_second", "_first",
+        "in", F.size(F.filter("ends", lambda end: end < F.col("rank"))).alias("shard"),
+        F.floor(F.shiftrightunsigned("second", 11) * F.lit(2.0**-53) * cells).alias("cell"), "second", "first",
     ), "sent")
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sent.groupBy("shard", "_cell").agg(F.count("*").alias("n"))
-    starts = starts.select("shard", "_cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_second", "_first")) - 1
-    return sent.withColumn("_place", place).join(starts, ["shard", "_cell"]).select(
-        *own, "shard", (F.col("_start") + F.col("_place")).alias("slot")
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sent.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    starts = starts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("second", "first")) - 1
+    return sent.withColumn("place", place).join(starts, ["shard", "cell"]).select(
+        "in.*", "shard", (F.col("start") + F.col("place")).alias("slot")
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tunegauge.llm.components import components
-from tunegauge.llm.tables import slices, stored
+from tunegauge.llm.tables import slices, stored, unused
 
 #: The generator polynomial of the binary Golay code, its length and covering radius.
 GOLAY, LENGTH, RADIUS = 0b101011100011, 23, 3
@@ -47,14 +47,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with a column ``_fp`` (the fingerprint as a signed long)."""
-    at, schema = docs.columns.index(text), StructType([*docs.schema.fields, StructField("_fp", LongType())])
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, seed: int = 42, into: str = "_fp") -> DataFrame:
+    """``docs`` with a column ``into`` (the fingerprint as a signed long)."""
+    at, schema = docs.columns.index(text), StructType([*docs.schema.fields, StructField(into, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t, width, seed) for t in batch.column(at).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
 
@@ -247,10 +247,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     Rows with a null id go last. All columns are kept as they are.
     """
-    names = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias("_row"))
-    rows = stored(fingerprints(rows, text, width, seed), "fingerprinted")
-    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
-    fps = rows.select(key.alias("_key"), "_fp")
-    kept = classes(fps, bits).select(F.col("_least.row").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    fp, row = unused(docs, "_fp", "_row")
+    rows = stored(fingerprints(docs.select(*own, F.monotonically_increasing_id().alias(row)), text, width, seed, fp), "fingerprinted")
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
+    kept = classes(rows.select(key.alias("_key"), F.col(fp).alias("_fp")), bits).select(F.col("_least.row").alias(row)).distinct()
+    return rows.join(kept, row, "left_semi").select(*own)
