@@ -1,8 +1,8 @@
 """Benchmark decontamination over a distributed positional inverted index, with DataFrame functions only.
 
 The index is a stored table of postings (row, word, pos) of the training words that some benchmark item uses, and one entry
-per document that holds its length. A window of consecutive item words is looked up by its rarest word; the lists of its other
-words are then intersected at positions adjusted by their offsets.
+per document that holds its length. A window of consecutive item words is looked up by its rarest words; their lists, and then
+those of its other words, are intersected at positions adjusted by their offsets.
 """
 
 from __future__ import annotations
@@ -58,10 +58,10 @@ def index(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text:
     return stored(kept.select("row", "word", "pos", whole("doc"), whole("digest")), "postings")
 
 
-def pivots(postings: DataFrame, cut: DataFrame, count: int = 1) -> DataFrame:
-    """(window, terms, rare): each different window with its ``count`` rarest words as (n, offset, word), by their posting counts.
+def pivots(postings: DataFrame, cut: DataFrame, count: int = 3) -> DataFrame:
+    """Stored (number, window, terms, rare): each different window with its ``count`` rarest words as (n, offset, word).
 
-    Windows with a word that no document has are left out, as they can't occur.
+    Words are ranked by their posting counts. Windows with a word that no document has are left out, as they can't occur.
     """
     frequency = stored(postings.filter("word <> ''").groupBy("word").agg(F.count("*").alias("n")), "frequencies")
     each = cut.select("window", "terms").distinct()
@@ -69,18 +69,25 @@ def pivots(postings: DataFrame, cut: DataFrame, count: int = 1) -> DataFrame:
     ranked = placed.groupBy("window").agg(
         F.sort_array(F.collect_list(F.struct("n", "offset", "word"))).alias("rare"), F.count("n").alias("known"), F.first("terms").alias("terms"),
     )
-    return stored(ranked.filter(F.col("known") == F.size("terms")).select("window", "terms", F.slice("rare", 1, count).alias("rare")), "pivots")
+    ranked = ranked.filter(F.col("known") == F.size("terms")).select(
+        F.monotonically_increasing_id().alias("number"), "window", "terms", F.slice("rare", 1, count).alias("rare")
+    )
+    return stored(ranked, "pivots")
 
 
 def phrases(postings: DataFrame, cut: DataFrame) -> DataFrame:
-    """(row, start, window, length): where a window's words stand one after the other in a document.
+    """Stored (row, start, window, length): where a window's words stand one after the other in a document.
 
-    Stored. Candidates come from the list of the rarest word; they stay if the lists of all other words have a posting at the
-    adjusted position.
+    The lists of a window's three rarest words are intersected first, at positions adjusted by their offsets; places that all
+    three give stay if the lists of the other words have a posting at the adjusted position too.
     """
-    rare = pivots(postings, cut).select("window", "terms", F.col("rare")[0]["word"].alias("word"), F.col("rare")[0]["offset"].alias("offset"))
-    found = postings.join(sent(rare), "word").select("row", (F.col("pos") - F.col("offset")).alias("start"), "window", "terms")
-    found = stored(found.filter("start >= 0"), "candidates")
+    chosen = pivots(postings, cut)
+    rare = chosen.select("number", F.size("rare").alias("wanted"), F.explode("rare").alias("r"))
+    rare = stored(rare.select("number", "wanted", F.col("r.offset").alias("offset"), F.col("r.word").alias("word")), "rare-words")
+    places = postings.join(sent(rare), "word").select("row", "number", "wanted", (F.col("pos") - F.col("offset")).alias("start"))
+    places = places.filter("start >= 0").groupBy("row", "start", "number", "wanted").agg(F.count("*").alias("n"))
+    found = places.filter("n = wanted").select("row", "start", "number")
+    found = stored(found.join(sent(chosen.select("number", "window", "terms")), "number"), "candidates")
     needed = found.select("row", "start", "window", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "word"))
     needed = needed.withColumn("pos", F.col("start") + F.col("offset"))
     asked = stored(needed.select("row", "pos", "word").distinct(), "asked")
