@@ -83,12 +83,11 @@ def test_token_overlap_join(spark, min_score):
     assert {(r["mention"], r["name"], r["score"]) for r in got.collect()} == wanted
 
 
-@pytest.mark.parametrize("hot_rows", [50, 300, 10_000])
-def test_rank_of_hot_groups(spark, hot_rows):
+def test_rank_of_hot_groups(spark):
     rows = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("g"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("g"),
         (F.xxhash64("id") % 17).alias("score"), "id")
-    got = rank_per_group(rows, ["g"], [-F.col("score"), F.col("id")], "rank", hot_rows)
+    got = rank_per_group(rows, ["g"], [-F.col("score"), F.col("id")], "rank")
     window = Window.partitionBy("g").orderBy(-F.col("score"), F.col("id"))
     wanted = rows.withColumn("rank", F.row_number().over(window))
     assert got.count() == 3000 and got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()

@@ -13,7 +13,7 @@ from tunegauge.functions.variants import (
     is_non_studio, match_quality, rank_in, recording_score, track_type_of_words,
 )
 from tunegauge.operators.match import base_title_join, best_contained, deep_scan_best
-from tunegauge.operators.ranking import HOT_ROWS, rank_per_group, top_per_group
+from tunegauge.operators.ranking import rank_per_group, top_per_group
 
 # Release filters and preference of release kinds.
 PRIMARY_TYPES = ["Album", "EP", "Single"]
@@ -36,11 +36,11 @@ def sortable_year(year: Column) -> Column:
     return F.when(year.rlike("^[0-9]+$"), year).otherwise("0000")
 
 
-def catalog_order(albums: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def catalog_order(albums: DataFrame) -> DataFrame:
     """Position of each album in its artist's catalog, newest first; unknown years last."""
     year = sortable_year(F.col("year")).cast("int")
     order = [-year, -known("popularity"), F.col("album_id")]
-    return rank_per_group(albums, ["artist_id"], order, "position", hot_rows)
+    return rank_per_group(albums, ["artist_id"], order, "position")
 
 
 def type_distribution(albums: DataFrame) -> DataFrame:
@@ -120,23 +120,17 @@ def variant_representative(candidates: DataFrame) -> DataFrame:
     return top_per_group(candidates, keys, variant_order())
 
 
-def largest_variant_group(catalog: DataFrame, artist: str = "artist_name") -> int:
-    """Upper bound of the variants of one request: most catalog rows of one artist with one base title."""
-    sizes = catalog.groupBy(artist, base_title("title").alias("_base")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+def variant_ranking(candidates: DataFrame) -> DataFrame:
+    """Rank of each variant within its request."""
+    return rank_per_group(variant_representative(candidates), ["request"], variant_order(), "rank")
 
 
-def variant_ranking(candidates: DataFrame, largest: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rank of each variant within its request. ``largest`` (see above) saves the pass that looks for hot requests."""
-    return rank_per_group(variant_representative(candidates), ["request"], variant_order(), "rank", hot_rows, largest)
-
-
-def menu_best_version(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def menu_best_version(rows: DataFrame) -> DataFrame:
     """Most popular version per (request, normalised title, album), ranked by popularity within the request."""
     keyed = rows.withColumn("_title", normalize_basic_text("title"))
     best = top_per_group(keyed, ["request", "_title", "album_title"], [F.col("popularity").desc(), "track_key"])
     return rank_per_group(
-        best.drop("_title"), ["request"], [-known("popularity"), F.col("track_key")], "position", hot_rows)
+        best.drop("_title"), ["request"], [-known("popularity"), F.col("track_key")], "position")
 
 
 def menu_projection(variants: DataFrame) -> DataFrame:
@@ -247,17 +241,17 @@ def candidate_scores(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", score)
 
 
-def candidate_score_order(hits: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def candidate_score_order(hits: DataFrame) -> DataFrame:
     return rank_per_group(
-        candidate_scores(hits), ["request"], [-F.col("score"), F.col("track_key")], "position", hot_rows)
+        candidate_scores(hits), ["request"], [-F.col("score"), F.col("track_key")], "position")
 
 
-def prioritise_context(albums: DataFrame, context: str = "context", hot_rows: int = HOT_ROWS) -> DataFrame:
+def prioritise_context(albums: DataFrame, context: str = "context") -> DataFrame:
     """Albums that match a context title first, the rest after; the catalog order is kept within both."""
     hit = two_way_contains(normalize_basic_text("title"), normalize_basic_text(context))
     flagged = albums.withColumn("matches_context", hit)
     order = [F.when(F.col("matches_context"), 0).otherwise(1), F.col("position")]
-    return rank_per_group(flagged, ["artist_id"], order, "scan_position", hot_rows)
+    return rank_per_group(flagged, ["artist_id"], order, "scan_position")
 
 
 def canonical_track_choice(hits: DataFrame) -> DataFrame:

@@ -265,7 +265,9 @@ class MedianImputer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     def _fit(self, train: DataFrame) -> "MedianModel":
         names = self.getOrDefault("columns")
         found = medians(train, names)
-        return MedianModel(columns=names, values=[float(found.get(c) or 0.0) for c in names])
+        if unknown := [c for c in names if c not in found]:
+            raise ValueError(f"no training value to take a median of: {', '.join(unknown)}")
+        return MedianModel(columns=names, values=[float(found[c]) for c in names])
 
 
 class MedianModel(Model, DefaultParamsReadable, DefaultParamsWritable):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import listeners_log
 from tunegauge.functions.text import tag_column
+from tunegauge.operators.quantiles import same
 
 
 def join_model(meta: DataFrame, features: DataFrame, key: str) -> DataFrame:
@@ -73,7 +74,8 @@ def release_features_v2(tracks: DataFrame, releases: DataFrame) -> DataFrame:
 def pending(keys: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     """Keys still to be enriched: never done, or done without a code and not known to be invalid."""
     finished = done.where(F.col("qid").isNotNull() | (F.col("status") == "invalid"))
-    return keys.select(*on).distinct().join(finished, on, "left_anti")
+    finished = finished.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(on)])
+    return keys.select(*on).distinct().join(finished, same(on), "left_anti")
 
 
 def match_codes(candidates: DataFrame, catalog: DataFrame, codes: str = "codes", code: str = "isrc") -> DataFrame:

@@ -2,98 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DISTINCT_LIMIT = 100_000
+from tunegauge.session import written
 
 
-def exact_percentiles(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
-    distinct_limit: int = DISTINCT_LIMIT,
-) -> DataFrame:
-    """Linear-interpolated quantiles as (by..., feature, prob, value); NULLs are left out.
+def same(names: list[str], other: str = "_b"):
+    """Join condition: equal values of ``names`` and of the renamed columns ``other``0.., where NULL equals NULL."""
+    condition = F.lit(True)
+    for i, name in enumerate(names):
+        condition = condition & F.col(name).eqNullSafe(F.col(f"{other}{i}"))
+    return condition
 
-    The built-in ``percentile`` keeps one counter per distinct value in memory, so it serves columns with up to
-    ``distinct_limit`` distinct values (checked with a sketch). Other columns take three cheap passes: a sketch gives
-    bucket edges, bucket counts say which buckets hold the wanted ranks, and only values of those buckets are sorted.
-    ``by`` must be a small set of groups such as split or regime.
-    """
-    by = by or []
-    number = {c: F.col(c).cast("double") for c in columns}
-    distinct = df.agg(*[F.approx_count_distinct(number[c]).alias(c) for c in columns]).first()
-    few = [c for c in columns if distinct[c] <= distinct_limit * 0.9]
-    many = [c for c in columns if c not in few]
-    parts = []
-    if few:
-        wide = df.groupBy(*by).agg(*[F.percentile(number[c], probs).alias(f"p__{c}") for c in few])
-        rows = F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("prob"), F.col(f"p__{c}")[i].alias("value"))
-            for c in few for i, p in enumerate(probs)
-        ])
-        parts.append(wide.select(*by, F.inline(rows)))
-    if many:
-        grid = [i / 200 for i in range(1, 200)]
-        sketch = df.agg(*[F.percentile_approx(number[c], grid, 2_000).alias(c) for c in many]).first()
-        for c in many:
-            edges = sorted(set(sketch[c]))
-            parts.append(_selected(df.select(*by, number[c].alias("value")), c, edges, probs, by))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
 
+def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Linear-interpolated quantiles as (by..., feature, prob, value). NULL and NaN are left out, NULL groups are kept.
 
-def _selected(values: DataFrame, name: str, edges: list[float], probs: list[float], by: list[str]) -> DataFrame:
-    splits = [-float("inf"), *edges, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="value", outputCol="bucket").transform(
-        values.where(F.col("value").isNotNull())
-    )
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    counts = bucketed.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))  # groups x 200 rows
-    counts = counts.select(
-        *by, "bucket", "n",
-        (F.sum("n").over(group.orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(group).alias("total"),
+    One scan counts the different values of all columns; they are range-split by group, column and value, so that no
+    task holds a whole column. Counts per piece say which pieces hold the wanted ranks, and only these are numbered.
+    """
+    by = by or []
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(*by, F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    group = [*by, "feature"]
+    counted = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("m"))
+    ranged = written(counted.repartitionByRange(*group, "value").withColumn("piece", F.spark_partition_id()), "quantiles")
+    pieces = ranged.groupBy(*group, "piece").agg(F.sum("m").alias("n"))
+    whole = Window.partitionBy(*group)
+    pieces = pieces.select(
+        *group, "piece", "n", (F.sum("n").over(whole.orderBy("piece")) - F.col("n")).alias("before"),
+        F.sum("n").over(whole).alias("total"),
     )
     position = F.col("prob") * (F.col("total") - 1)
-    wanted = counts.select(
-        "*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    ).select(
-        *by, "bucket", "prob", "before", F.col("n").alias("_n"), position.alias("pos"),
-        F.floor(position).alias("lo"), F.ceil(position).alias("hi"),
-    ).where((F.col("before") <= F.col("hi")) & (F.col("before") + F.col("_n") > F.col("lo")))
-    target = wanted.select(*by, "bucket").distinct()
-    kept = bucketed.join(target, [*by, "bucket"], "left_semi")
-    ordered = kept.groupBy(*by, "bucket", "value").agg(F.count(F.lit(1)).alias("m"))
-    run = Window.partitionBy(*by, "bucket").orderBy("value")
-    ordered = ordered.withColumn("start", F.sum("m").over(run) - F.col("m"))
-    start = F.col("before") + F.col("start")
+    wanted = pieces.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
+        *[F.col(c).alias(f"_b{i}") for i, c in enumerate(group)], F.col("piece").alias("_piece"), "before", "n", "prob",
+        position.alias("pos"), F.floor(position).alias("lo"), F.ceil(position).alias("hi"),
+    ).where((F.col("before") <= F.col("hi")) & (F.col("before") + F.col("n") > F.col("lo")))
+    found = ranged.join(wanted, same(group) & (F.col("piece") == F.col("_piece")))
+    run = Window.partitionBy(*group, "piece", "prob").orderBy("value")
+    found = found.withColumn("start", F.col("before") + F.sum("m").over(run) - F.col("m"))
 
     def at(rank: str):
-        return F.max(F.when((start <= F.col(rank)) & (F.col(rank) < start + F.col("m")), F.col("value")))
+        return F.max(F.when((F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("start") + F.col("m")), F.col("value")))
 
-    found = ordered.join(wanted, [*by, "bucket"]).groupBy(*by, "prob", "pos", "lo").agg(
-        at("lo").alias("v_lo"), at("hi").alias("v_hi")
-    )
+    found = found.groupBy(*group, "prob", "pos", "lo").agg(at("lo").alias("v_lo"), at("hi").alias("v_hi"))
     value = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))
-    return found.select(*by, F.lit(name).alias("feature"), "prob", value.alias("value"))
+    return found.select(*group, "prob", value.alias("value"))
 
 
 def with_percentiles(
-    stats: DataFrame, df: DataFrame, column: str, named: dict[str, float], by: list[str] | None = None, **options
+    stats: DataFrame, df: DataFrame, column: str, named: dict[str, float], by: list[str] | None = None
 ) -> DataFrame:
     """Add exact quantiles of one column to a small table of statistics with the same groups."""
     by = by or []
-    long = exact_percentiles(df, [column], sorted(set(named.values())), by, **options)
+    long = exact_percentiles(df, [column], sorted(set(named.values())), by)
     wide = long.groupBy(*by).agg(*[
         F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(n) for n, p in named.items()
     ])
     if by:
-        return stats.join(wide, by, "left")
+        wide = wide.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], *named)
+        return stats.join(wide, same(by), "left").select(*stats.columns, *named)
     return stats.select("*", *[wide.select(n).scalar().alias(n) for n in named])
 
 
-def medians(df: DataFrame, columns: list[str], **options) -> dict[str, float]:
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact median per column, as fitted state on the driver (one number per column)."""
-    return {r["feature"]: r["value"] for r in exact_percentiles(df, columns, [0.5], **options).collect()}
+    return {r["feature"]: r["value"] for r in exact_percentiles(df, columns, [0.5]).collect()}

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunegauge.session import cut_lineage
-
-HOT_ROWS = 5_000_000
+from tunegauge.operators.quantiles import same
+from tunegauge.session import written
 
 
 def _columns(order) -> list[Column]:
@@ -25,43 +23,22 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int = 1) -> Da
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def rank_per_group(
-    df: DataFrame, keys: list[str], order: list, name: str = "rank", hot_rows: int = HOT_ROWS, largest: int | None = None
-) -> DataFrame:
+def rank_per_group(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
     """Add the position 1.. of each row in its group, by ascending ``order`` expressions that end in a unique key.
 
-    Groups up to ``hot_rows`` rows use one window. Larger groups are range-partitioned on (keys, order), so that one
-    group spreads over many tasks; a row's rank is then its position in its task plus the sizes of the tasks before.
-    Keys must not be NULL. ``largest`` is a known upper bound of the group size; without it the groups are counted,
-    and the frame is kept on disk meanwhile, so that it is not computed twice.
+    Rows are range-split on (keys, order), so a group of any size spreads over tasks: a row's rank is its position in
+    the group's part of a piece plus what the group has in the pieces before. NULL keys form a group.
     """
-    window = Window.partitionBy(*keys).orderBy(*_columns(order))
-    if largest is not None and largest <= hot_rows:
-        return df.withColumn(name, F.row_number().over(window))
-    df = df.persist(StorageLevel.DISK_ONLY)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = sizes.collect()  # at most (all rows / hot_rows) keys
-    if not hot:
-        return df.withColumn(name, F.row_number().over(window))
-    spark = df.sparkSession
-    hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], df.select(*keys).schema)
-    small = df.join(F.broadcast(hot_keys), keys, "left_anti").withColumn(name, F.row_number().over(window))
-    parts = min(10_000, 2 * sum(r["_n"] for r in hot) // hot_rows + 1)
     columns = df.columns
     with_order = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(_columns(order))])
-    by = [*keys, *[f"_o{i}" for i in range(len(order))]]
-    spread = cut_lineage(
-        with_order.join(F.broadcast(hot_keys), keys, "left_semi")
-        .repartitionByRange(parts, *by)
-        .sortWithinPartitions(*by)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id())
-    )
-    spans = spread.groupBy(*keys, "_part").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    # spans has at most (hot keys + parts) rows
-    ranked = spread.join(F.broadcast(spans), [*keys, "_part"]).withColumn(
-        name, (F.col("_pos") - F.col("_first") + 1 + F.col("_before")).cast("int")
-    )
-    return small.select(*columns, name).unionByName(ranked.select(*columns, name))
+    by = [f"_o{i}" for i in range(len(order))]
+    spread = written(with_order.repartitionByRange(*keys, *by).withColumn("_piece", F.spark_partition_id()), "ranking")
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spread.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    # A piece continues at most one group of the piece before, so there are fewer rows than pieces.
+    continued = spans.withColumn("_before", F.sum("_n").over(before)).where("_before > 0").select(
+        *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_at"), "_before")
+    place = F.row_number().over(Window.partitionBy("_piece", *keys).orderBy(*by))
+    ranked = spread.withColumn("_place", place).join(
+        F.broadcast(continued), same(keys) & (F.col("_piece") == F.col("_at")), "left")
+    return ranked.select(*columns, (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("int").alias(name))

@@ -304,8 +304,7 @@ def _(v):
 @query("variant_ranking", f"""
 SELECT request, track_key, CAST(row_number() OVER (PARTITION BY request ORDER BY {ORDER}) AS INT) AS rank FROM reps""", M)
 def _(v):
-    largest = catalog.largest_variant_group(v.album_tracks)
-    return catalog.variant_ranking(candidates(v), largest).select("request", "track_key", "rank")
+    return catalog.variant_ranking(candidates(v)).select("request", "track_key", "rank")
 
 
 @query("menu_projection", """

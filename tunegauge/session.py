@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "tunegauge") -> SparkSession:
@@ -28,18 +28,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is made and set.
+    Only on one machine (master ``local``) a temporary folder is made and set where the setting is absent; a cluster
+    without it is an error, as its executors can't see the driver's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tunegauge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Materialise a frame in the shared checkpoint folder, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
-    return df.checkpoint()
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, and lost executors cost no recomputation."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunegauge.operators.clean import require_columns
+from tunegauge.operators.quantiles import same
 from tunegauge.schema import RAW_TRACKS, REQUIRED_RAW
 
 
@@ -60,22 +62,23 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 
 def append_pending(work: DataFrame, path: str, keys: list[str], enrich) -> None:
-    """Restart-safe enrichment: enrich the keys that are not yet at ``path`` and append them.
+    """Restart-safe enrichment: enrich the keys that are not yet at ``path`` and append them; NULL is a key like others.
 
     A Parquet append is atomic per job, so a restart finds either all rows of a batch or none.
     """
     spark = work.sparkSession
-    todo = work
+    todo = work.dropDuplicates(keys)
     if _exists(spark, path):
-        todo = work.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+        done = spark.read.parquet(path).select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)])
+        todo = todo.join(done, same(keys), "left_anti")
     write_parquet(enrich(todo), path, mode="append")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
     try:
         spark.read.parquet(path)
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
     return True
