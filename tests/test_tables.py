@@ -198,13 +198,33 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 
     def run():
         stream = ingest.event_stream(spark, f"{source}/*", "*.parquet")
-        ingest.run_available(ingest.enrichment_ingest(stream, ["user_id"], "1 day"), out, state)
-        return sorted(r["user_id"] for r in spark.read.parquet(out).collect())
+        ingest.enrichment_ingest(stream, ["user_id"], ["ts", "event_id"], out, state)
+        return sorted((r["user_id"], r["value"]) for r in spark.read.parquet(out).collect())
 
-    land("a", [(1, "2024-01-01 00:00:00", 7, "x", 1.0, "{}"), (2, "2024-01-01 00:01:00", 7, "x", 2.0, "{}")])
-    assert run() == [7]
+    land("a", [(1, "2024-01-01 00:01:00", 7, "x", 1.0, "{}"), (2, "2024-01-01 00:00:00", 7, "x", 2.0, "{}")])
+    assert run() == [(7, 2.0)]
     land("b", [(3, "2024-01-01 00:02:00", 7, "x", 1.0, "{}"), (4, "2024-01-01 00:03:00", 8, "x", 1.0, "{}")])
-    assert run() == [7, 8]
+    assert run() == [(7, 2.0), (8, 1.0)]
+    assert run() == [(7, 2.0), (8, 1.0)]
+
+
+def test_lookups_wait_for_the_ttl_of_the_last_one(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def land(name, times):
+        rows = [(i, t, 7, "x", 1.0, "{}") for i, t in enumerate(times)]
+        frame = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string")
+        frame.withColumn("t", F.col("t").cast("timestamp_ntz")).withColumnRenamed("t", "ts").coalesce(1).write.parquet(f"{source}/{name}")
+
+    def run():
+        stream = ingest.event_stream(spark, f"{source}/*", "*.parquet")
+        ingest.run_available(ingest.ttl_dedup(stream, ["user_id"], 3600), out, state)
+        return sorted(str(r["asked_at"])[11:16] for r in spark.read.parquet(out).collect())
+
+    land("a", ["2024-01-01 10:01:00", "2024-01-01 09:59:00", "2024-01-01 10:59:00"])
+    assert run() == ["09:59", "10:59"]
+    land("b", ["2024-01-01 11:30:00", "2024-01-01 11:59:00", "2024-01-01 15:00:00"])
+    assert run() == ["09:59", "10:59", "11:59", "15:00"]
 
 
 def test_champion_passes_over_untested_runs(spark):

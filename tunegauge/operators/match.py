@@ -21,25 +21,27 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(last >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
 
 
-def containment_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
-    """All (needle, hay) with ``hay`` containing ``needle``, from columns of these names; empty needles match nothing.
+def containment_pairs(needles: DataFrame, hays: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """All (within..., needle, hay) with ``hay`` containing ``needle``, from columns of these names; empty needles match nothing.
 
     Every text that contains a needle also contains the needle's rarest 3-letter piece, so needles are looked up by
-    that piece only. Needles of one or two letters are looked up whole.
+    that piece only. Needles of one or two letters are looked up whole. Texts meet only where ``within`` is equal.
     """
+    within = within or []
     needle, hay = F.col("needle"), F.col("hay")
-    needles = needles.select("needle").where(needle != "").distinct()
-    hays = hays.select("hay").where(hay != "").distinct()
+    needles = needles.select(*within, "needle").where(needle != "").distinct()
+    hays = hays.select(*within, "hay").where(hay != "").distinct()
     pieces = F.flatten(F.array(*[_grams(hay, n) for n in range(1, GRAM + 1)]))
-    postings = hays.select("hay", F.explode(pieces).alias("gram"))
+    postings = hays.select(*within, "hay", F.explode(pieces).alias("gram"))
     probes = needles.select(
-        "needle", F.explode(F.when(F.length(needle) < GRAM, F.array(needle)).otherwise(_grams(needle, GRAM))).alias("gram")
+        *within, "needle", F.explode(F.when(F.length(needle) < GRAM, F.array(needle)).otherwise(_grams(needle, GRAM))).alias("gram")
     )
-    wanted = postings.join(probes.select("gram").distinct(), "gram", "left_semi")
-    sizes = wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = probes.join(sizes, "gram").groupBy("needle").agg(F.min(F.struct("df", "gram")).alias("r")).select(
-        "needle", F.col("r.gram").alias("gram"))
-    return rarest.join(wanted, "gram").where(hay.contains(needle)).select("needle", "hay")
+    key = [*within, "gram"]
+    wanted = postings.join(probes.select(*key).distinct(), key, "left_semi")
+    sizes = wanted.groupBy(*key).agg(F.count(F.lit(1)).alias("df"))
+    rarest = probes.join(sizes, key).groupBy(*within, "needle").agg(F.min(F.struct("df", "gram")).alias("r")).select(
+        *within, "needle", F.col("r.gram").alias("gram"))
+    return rarest.join(wanted, key).where(hay.contains(needle)).select(*within, "needle", "hay")
 
 
 def _normal_requests(requests: DataFrame) -> DataFrame:
@@ -169,12 +171,15 @@ def deep_scan_best(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     asked = requests.select("request", "artist_name", F.lower("title_query").alias("q_title"))
     best = catalog.groupBy("artist_name", F.lower("title").alias("c_title")).agg(
         F.min(F.struct((-F.coalesce("popularity", F.lit(0))).alias("p"), "track_key")).alias("b"))
-    q_titles, c_titles = asked.select("q_title").distinct(), best.select("c_title").distinct()
-    inside = containment_pairs(q_titles.select(F.col("q_title").alias("needle")), c_titles.select(F.col("c_title").alias("hay")))
-    around = containment_pairs(c_titles.select(F.col("c_title").alias("needle")), q_titles.select(F.col("q_title").alias("hay")))
-    pairs = inside.select(F.col("needle").alias("q_title"), F.col("hay").alias("c_title")).union(
-        around.select("hay", "needle")).distinct()
-    hits = asked.join(pairs, "q_title").join(best, ["artist_name", "c_title"])
+    artist = ["artist_name"]
+    q_titles, c_titles = asked.select(*artist, "q_title").distinct(), best.select(*artist, "c_title").distinct()
+    inside = containment_pairs(
+        q_titles.withColumnRenamed("q_title", "needle"), c_titles.withColumnRenamed("c_title", "hay"), artist)
+    around = containment_pairs(
+        c_titles.withColumnRenamed("c_title", "needle"), q_titles.withColumnRenamed("q_title", "hay"), artist)
+    pairs = inside.select(*artist, F.col("needle").alias("q_title"), F.col("hay").alias("c_title")).union(
+        around.select(*artist, "hay", "needle")).distinct()
+    hits = asked.join(pairs, [*artist, "q_title"]).join(best, [*artist, "c_title"])
     return hits.groupBy("request").agg(F.min("b").alias("b")).select(
         "request", "b.track_key", (-F.col("b.p")).alias("popularity"))
 

@@ -285,11 +285,11 @@ def _(v):
 
 
 @query("market_count", """
-SELECT conv_id, turn, CASE WHEN role = 'user' THEN 18e1 ELSE CAST(len(string_split(text, ',')) AS DOUBLE) END AS markets
-FROM conversations WHERE role = 'user' OR text <> ''""")
+SELECT conv_id, turn, CASE WHEN role = 'user' OR coalesce(text, '') = '' THEN 18e1 ELSE CAST(len(string_split(text, ',')) AS DOUBLE) END AS markets
+FROM conversations""")
 def _(v):
     codes = F.when(F.col("role") == "user", "").otherwise(F.col("text"))
-    return v.conversations.where("role = 'user' OR text <> ''").select(
+    return v.conversations.select(
         "conv_id", "turn", scalars.market_count(codes).alias("markets"))
 
 

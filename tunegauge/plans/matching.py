@@ -267,9 +267,11 @@ def _(v):
 
 
 @query("least_popular_albums", """
-SELECT album_id, title, popularity FROM dedup_albums ORDER BY popularity, album_id LIMIT 5""", {"dedup_albums": BEST_TITLE})
+SELECT artist_id, album_id, title, popularity FROM dedup_albums
+QUALIFY row_number() OVER (PARTITION BY artist_id ORDER BY popularity, album_id) <= 5""", {"dedup_albums": BEST_TITLE})
 def _(v):
-    return catalog.catalog_dedup(v.albums).orderBy("popularity", "album_id").limit(5).select("album_id", "title", "popularity")
+    worst = top_per_group(catalog.catalog_dedup(v.albums), ["artist_id"], ["popularity", "album_id"], 5)
+    return worst.select("artist_id", "album_id", "title", "popularity")
 
 
 @query("best_album_penalised", """

@@ -160,14 +160,14 @@ def _(v):
         F.col("song_popularity").cast("int").alias("song_popularity"), "energy", "tempo")
 
 
-@query("write_parquet", "SELECT row_key, song_popularity, album_release_year FROM tracks WHERE album_release_year >= 1998")
+@query("write_parquet", "SELECT row_key, song_popularity, album_release_year FROM tracks")
 def _(v):
     folder = shared_folder(v.spark, "parquet")
     rows = v.tracks.select("row_key", "song_popularity", "album_release_year")
     # one file set per year: rows are brought together by year and a spread within it, so no year is one task
     spread = rows.repartition("album_release_year", F.pmod(F.xxhash64("row_key"), F.lit(8)))
     io.write_parquet(spread, folder, ["album_release_year"])
-    return io.read_parquet(v.spark, folder).where("album_release_year >= 1998").select(
+    return io.read_parquet(v.spark, folder).select(
         "row_key", "song_popularity", F.col("album_release_year").cast("double").alias("album_release_year"))
 
 
@@ -430,21 +430,27 @@ def stream_result(v, stream, name, mode="append"):
     return v.spark.read.parquet(out)
 
 
-@query("stream_enrichment_ingest", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_enrichment_ingest", """
+SELECT user_id, event_type, event_id, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")
 def _(v):
     events = ingest.event_stream(v.spark, v.sf_dir)
-    kept = ingest.enrichment_ingest(events, ["user_id", "event_type"], "60 days")
-    return stream_result(v, kept, "ingest").select("user_id", "event_type")
+    out, state = shared_folder(v.spark, "ingest"), shared_folder(v.spark, "ingest-state")
+    ingest.enrichment_ingest(events, ["user_id", "event_type"], ["ts", "event_id"], out, state)
+    return v.spark.read.parquet(out).select("user_id", "event_type", "event_id", "value")
 
 
 @query("stream_ttl_dedup", """
-SELECT user_id, CAST(date_trunc('hour', ts) AS VARCHAR) AS slot_start, CAST(min(ts) AS VARCHAR) AS asked_at, count(*) AS n_served FROM events
-GROUP BY user_id, date_trunc('hour', ts) HAVING date_trunc('hour', min(ts)) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+SELECT user_id, CAST(asked_at AS VARCHAR) AS asked_at FROM (
+ WITH RECURSIVE asked(user_id, asked_at) AS (
+  SELECT user_id, min(ts) FROM events GROUP BY user_id
+  UNION ALL
+  SELECT e.user_id, min(e.ts) FROM asked a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.asked_at + INTERVAL 1 HOUR GROUP BY e.user_id
+ ) SELECT * FROM asked)""")
 def _(v):
-    # a slot is final once the watermark (one hour behind the newest event) has passed its end
     events = ingest.event_stream(v.spark, v.sf_dir)
-    out = stream_result(v, ingest.ttl_dedup(events, ["user_id"], "1 hour"), "ttl")
-    return out.select("user_id", *[F.col(c).cast("string").alias(c) for c in ("slot_start", "asked_at")], "n_served")
+    out = stream_result(v, ingest.ttl_dedup(events, ["user_id"], 3600), "ttl")
+    return out.select("user_id", F.col("asked_at").cast("timestamp_ntz").cast("string").alias("asked_at"))
 
 
 @query("stream_score", """

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunegauge.functions.scalars import clip_0_100, listeners_log, regime_id
+from tunegauge.operators.ranking import top_per_group
+from tunegauge.sources.io import append_pending
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -26,19 +31,52 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parqu
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def enrichment_ingest(stream: DataFrame, keys: list[str], late: str = "30 days") -> DataFrame:
-    """First result per key; repeats within the watermark are dropped, so replays are harmless."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def enrichment_ingest(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str) -> None:
+    """Land the first result per key, with all its columns, in a Parquet folder; then stop.
+
+    Each batch is cut to the first row per key by ``order`` and joined against what has landed, so a batch that is
+    replayed after a failure adds nothing and no state is kept. A key that has landed stays as it is. NULL is a key.
+    """
+
+    def land(batch: DataFrame, _: int) -> None:
+        append_pending(top_per_group(batch, keys, order), path, keys, lambda rows: rows)
+
+    query = (
+        stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
 
 
-def ttl_dedup(stream: DataFrame, keys: list[str], ttl: str = "1 hour") -> DataFrame:
-    """At most one lookup per key and ``ttl``: event time is cut into ttl-long slots, the first event of a slot asks.
+def ttl_dedup(stream: DataFrame, keys: list[str], seconds: int = 3600) -> DataFrame:
+    """(keys..., asked_at): events that ask, as the last lookup of their key lies ``seconds`` or more before them.
 
-    Partial aggregation keeps one row per key and slot before the shuffle, and state is dropped with the watermark.
+    The first event of a key asks at once. State is the key's last lookup; it goes once the watermark says that any
+    later event would ask anyway. Of a batch, a task holds the times of one key, in order.
     """
-    slots = stream.withWatermark("ts", ttl).groupBy(*keys, F.window("ts", ttl).alias("slot"))
-    return slots.agg(F.min("ts").alias("asked_at"), F.count(F.lit(1)).alias("n_served")).select(
-        *keys, F.col("slot.start").alias("slot_start"), "asked_at", "n_served")
+    schema = stream.select(*keys, F.col("ts").alias("asked_at")).schema
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        wait = pd.Timedelta(seconds=seconds)
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        asked = []
+        for ts in np.sort(np.concatenate([b["ts"].to_numpy() for b in batches])):
+            if not pd.isna(ts) and (last is None or ts >= last + wait):
+                last = pd.Timestamp(ts)
+                asked.append(last)
+        if last is not None:
+            state.update((int(last.value // 1000),))
+            state.setTimeoutTimestamp(max(int(last.value // 1_000_000) + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+        if asked:
+            yield pd.DataFrame({**{k: [v] * len(asked) for k, v in zip(schema.names, key)}, "asked_at": asked})
+
+    return stream.withWatermark("ts", f"{seconds} seconds").select(*keys, "ts").groupBy(*keys).applyInPandasWithState(
+        decide, schema, "last_asked long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def score_stream(
