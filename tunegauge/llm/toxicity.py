@@ -1,7 +1,7 @@
 """Toxicity by character n-grams: presence features scaled by naive Bayes log-count ratios under a linear classifier.
 
-The ratios are counted over all labelled rows given, in Spark; only n-grams whose ratio stands out stay features. The linear
-weights are fitted on a bounded sample of these rows (``sample_rows``). Scoring needs no shuffle.
+Both are fitted on a bounded sample of labelled documents (``most`` in ``labelled``). Ratios are counted in Spark, and only n-grams
+whose ratio stands out stay features, which leaves little for the one task that fits the weights. Scoring needs no shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from tunegauge.llm.tables import slices, stored
 #: n-grams are hashed into this many buckets.
 BUCKETS = 1 << 20
 LENGTHS = (4, 5, 6)
-MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+MIX, STEP = np.uint32(0x9E3779B1), np.uint32(0x01000193)
 #: Characters of a long text that are hashed at a time; pieces overlap by the longest n-gram.
 PIECE = 1 << 18
 
@@ -30,14 +30,14 @@ def ngrams(text: str | None) -> Iterator[np.ndarray]:
     plain = " " + " ".join((text or "").lower().split()) + " "
     for start in range(0, len(plain), PIECE):
         part = plain[start : start + PIECE + max(LENGTHS) - 1]
-        part = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        part = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         value = part
         for n in range(2, max(LENGTHS) + 1):
             if len(part) < n:
                 break
             value = value[: len(part) - n + 1] * STEP + part[n - 1 :]
             if n in LENGTHS:
-                yield ((value + np.uint64(n)) * MIX >> np.uint64(44)).astype(np.int32)
+                yield ((value + np.uint32(n)) * MIX >> np.uint32(12)).view(np.int32)
 
 
 @dataclass
@@ -47,14 +47,20 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        self.used = self.weights != 0
+
     def score(self, text: str | None) -> float:
-        found = [at[self.weights[at] != 0] for at in ngrams(text)]
+        found = [at[self.used[at]] for at in ngrams(text)]
         z = self.bias + (float(self.weights[np.unique(np.concatenate(found))].sum()) if found else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def ratios(rows: DataFrame, least: float) -> np.ndarray:
-    """Naive Bayes log-count ratio of each bucket over all rows (text, label), zero where it is below ``least`` deviations."""
+def ratios(rows: DataFrame, least: float, deviations: float) -> np.ndarray:
+    """Naive Bayes log-count ratio of each bucket over rows (text, label); zero where it doesn't stand out.
+
+    It stands out if it is ``least`` or more and as many standard deviations away from zero, on either side.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, seen = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(BUCKETS, dtype=bool)
@@ -75,30 +81,31 @@ def ratios(rows: DataFrame, least: float) -> np.ndarray:
     total = rows.agg(F.sum(1 - F.col("label")), F.sum("label")).first()
     n = np.vstack([found["clean"].to_numpy(), found["toxic"].to_numpy()]) + 1.0
     ratio = np.log(n[1] / (total[1] + 2)) - np.log(n[0] / (total[0] + 2))
-    ratio[np.abs(ratio) < least * np.sqrt(1 / n[0] + 1 / n[1])] = 0
+    ratio[np.abs(ratio) < np.maximum(least, deviations * np.sqrt(1 / n[0] + 1 / n[1]))] = 0
     out = np.zeros(BUCKETS)
     out[found["bucket"].to_numpy()] = ratio
     return out
 
 
-def fit(rows: DataFrame, sample_rows: int = 50_000, least: float = 4.0, passes: int = 30) -> Model:
+def fit(rows: DataFrame, sample_rows: int = 20_000, least: float = 1.5, deviations: float = 4.0, passes: int = 30) -> Model:
     """A model from rows (text, label 0 or 1). Without rows of both kinds every score is 0.5.
 
-    n-grams whose log-count ratio lies fewer than ``least`` standard deviations from zero are left out. The linear part is
+    n-grams whose log-count ratio is below ``least`` or fewer than ``deviations`` standard deviations are left out. The linear part is
     fitted on about ``sample_rows`` rows, chosen by a hash of the text; a task gets only their few chosen n-grams.
     """
     rows = rows.filter(F.col("label").isin(0, 1)).select("text", F.col("label").cast("int").alias("label"))
     total = rows.groupBy("label").count().collect()
     if len(total) < 2:
         return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0)
-    ratio = ratios(rows, least)
+    ratio = ratios(rows, least, deviations)
     share = min(1.0, sample_rows / sum(r["count"] for r in total))
     chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
     held = rows.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
+    used = rows.sparkSession.sparkContext.broadcast(ratio != 0)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [np.unique(np.concatenate([at[held.value[at] != 0] for at in ngrams(t)] or [[]])) for t in batch.column(0).to_pylist()]
+            found = [np.unique(np.concatenate([at[used.value[at]] for at in ngrams(t)] or [[]])) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +153,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """(text, label) of the labelled documents. A repeated label row counts once, ids with two labels not at all."""
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic", most: int = 40_000) -> DataFrame:
+    """Stored (text, label) of about ``most`` labelled documents, chosen by a hash of the id, all if there are fewer.
+
+    A repeated label row counts once, ids with two labels and null ids not at all. As the choice is bounded, it is sent to the
+    tasks that read the documents, and no text is shuffled.
+    """
     once = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id)
-    once = once.agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other").select(doc_id, "label")
-    return stored(docs.select(doc_id, "text").join(once, doc_id).select("text", "label"), "labelled")
+    once = stored(once.agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other").select(doc_id, "label"), "labels")
+    share = min(1.0, most / max(1, once.count()))
+    chosen = once.filter(F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < share * 1_000_000)
+    return stored(docs.select(doc_id, "text").join(F.broadcast(chosen), doc_id).select("text", "label"), "labelled")
 
 
 def held_out(doc_id: str = "doc_id"):
