@@ -82,6 +82,12 @@ def pitch_key_name(key: str | Column, mode: str | Column) -> Column:
     return F.when((k >= 0) & (k <= 11), name).otherwise("Unknown")
 
 
+def text_hash(*parts: str | Column) -> Column:
+    """A number below 2^60 from the MD5 of the parts as text; each part carries a mark, so NULL differs from any value."""
+    marked = [F.coalesce(F.concat(F.lit("v"), col(p).cast("string")), F.lit("n")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *marked)), 1, 15), 16, 10).cast("long")
+
+
 def market_count(codes: str | Column, default: float = 180.0) -> Column:
     """Number of comma-separated market codes."""
     text = col(codes)

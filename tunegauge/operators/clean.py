@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunegauge.functions.scalars import default_audio, missing_to_null
-from tunegauge.operators.ranking import top_per_group
+from tunegauge.functions.scalars import default_audio, missing_to_null, text_hash
+from tunegauge.operators.ranking import rank_per_group, top_per_group
 from tunegauge.schema import BYTE_COLS, DROP_FOR_MODELING, FLOAT_COLS, SHORT_COLS, STRICT_15, TARGET
 
 
@@ -157,8 +157,9 @@ def with_default_audio(df: DataFrame, parsed: dict[str, Column], keep: list[str]
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Repeatable sample of ``n`` rows: the smallest seeded hashes of a unique key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """Repeatable sample of ``n`` rows: those with the smallest seeded hashes of a unique key. No task holds the sample."""
+    ranked = rank_per_group(df.withColumn("_hash", text_hash(key, F.lit(seed))), [], ["_hash", key], "_rank")
+    return ranked.where(F.col("_rank") <= n).drop("_hash", "_rank")
 
 
 def anti_leakage_view(df: DataFrame, identifiers: list[str] = DROP_FOR_MODELING) -> DataFrame:

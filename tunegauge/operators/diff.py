@@ -16,13 +16,6 @@ INFO = ["backend_execution_time", "measured_elapsed_seconds"]
 SEVERITY = {f: "critical" for f in CRITICAL} | {f: "warning" for f in WARNING} | {f: "info" for f in INFO}
 
 
-def check_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
-    if repeated:
-        raise ValueError(f"duplicate case in {what}: {[repeated[0][k] for k in keys]}")
-    return df
-
-
 def full_outer_compare(
     baseline: DataFrame, current: DataFrame, keys: list[str], severity: dict[str, str] | None = None,
     check_duplicates: bool = True,
@@ -30,18 +23,21 @@ def full_outer_compare(
     """(keys..., kind, field, severity, baseline, current), one row per difference.
 
     A case missing from the current run is critical, an extra case a warning. Values are compared as text and
-    null-safe. One shuffle per side; the fields of a case are unfolded only after the join.
+    null-safe. One shuffle per side; the fields of a case are unfolded only after the join. A repeated case fails the
+    job that reads the result, or counts as any one of its rows without ``check_duplicates``.
     """
     levels = severity or SEVERITY
     fields = [f for f in levels if f in baseline.columns and f in current.columns]
-    if check_duplicates:
-        check_unique(baseline, keys, "baseline")
-        check_unique(current, keys, "current")
 
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(name))
+    def packed(df: DataFrame, name: str, what: str) -> DataFrame:
+        values = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+        cases = df.groupBy(*keys).agg(F.max(values).alias(name), F.count(F.lit(1)).alias("n"))
+        if not check_duplicates:
+            return cases.drop("n")
+        fault = F.concat(F.lit(f"duplicate case in {what}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+        return cases.select(*keys, F.when(F.col("n") > 1, F.raise_error(fault)).otherwise(F.col(name)).alias(name))
 
-    joined = packed(baseline, "b").join(packed(current, "c"), keys, "full_outer")
+    joined = packed(baseline, "b", "baseline").join(packed(current, "c", "current"), keys, "full_outer")
     both = F.col("b").isNotNull() & F.col("c").isNotNull()
 
     def entry(kind, field, level, old, new):

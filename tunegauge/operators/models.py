@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import clip_0_100, regime_id
@@ -98,13 +98,13 @@ def constant_median(frame: DataFrame) -> DataFrame:
     return frame.withColumn("pred", middle)
 
 
-def line_fit(train: DataFrame, x: str, y: str = "y") -> tuple[float, float]:
-    """Slope and intercept of a one-feature regression: the fitted state is two numbers."""
-    row = train.agg(F.regr_slope(y, x).alias("a"), F.regr_intercept(y, x).alias("b")).first()
-    return row["a"], row["b"]
+def line_fit(train: DataFrame, x: str, y: str = "y") -> tuple[Column, Column]:
+    """Slope and intercept of a one-feature regression, as scalar sub-queries of the job that uses them."""
+    fitted = train.agg(F.struct(F.regr_slope(y, x).alias("a"), F.regr_intercept(y, x).alias("b")).alias("f")).scalar()
+    return fitted["a"], fitted["b"]
 
 
-def line_score(frame: DataFrame, x: str, slope: float, intercept: float, digits: int = 6) -> DataFrame:
+def line_score(frame: DataFrame, x: str, slope: float | Column, intercept: float | Column, digits: int = 6) -> DataFrame:
     return frame.withColumn("pred", F.round(F.lit(intercept) + F.lit(slope) * F.col(x), digits))
 
 

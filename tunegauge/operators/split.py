@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunegauge.functions.scalars import text_hash
+
 
 def random_split(df: DataFrame, key: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
     """Seeded split by the hash of a key: the same rows fall in the same split however the data is partitioned."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
+    bucket = text_hash(key, F.lit(seed)) % 10_000
     return df.withColumn(
         "split",
         F.when(bucket < int(test * 10_000), "test").when(bucket < int((val + test) * 10_000), "val").otherwise("train"),

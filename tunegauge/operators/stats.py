@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunegauge.functions.scalars import text_hash
 from tunegauge.operators.quantiles import exact_percentiles, with_percentiles
 from tunegauge.schema import TARGET
 
@@ -172,13 +173,10 @@ def flag_counts(df: DataFrame, flag: str = "release_year_missing_or_suspect", ye
 
 
 def content_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Hash of a frame that does not depend on row order or partitioning. The sum is a decimal, so it cannot overflow."""
-    names = columns or df.columns
-    # The hash skips NULL, so each column brings a mark that says whether it has a value.
-    marked = [part for c in names for part in (F.col(c).isNull(), F.col(c))]
+    """Hash of a frame that does not depend on row order or partitioning. NULL counts as a value of its column."""
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.xxhash64(*marked).cast("decimal(38,0)")).cast("string").alias("content_hash"),
+        F.sum(text_hash(*(columns or df.columns)).cast("decimal(38,0)")).cast("string").alias("content_hash"),
     )
 
 

@@ -179,7 +179,13 @@ def _(v):
     return v.albums.groupBy(label.alias("type"), F.initcap(kind).alias("artist_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sample_n")
+def hashed(*parts):
+    """SQL of ``text_hash`` over columns."""
+    marked = ", ".join(f"coalesce('v' || CAST({p} AS VARCHAR), 'n')" for p in parts)
+    return f"CAST('0x' || substr(md5(concat_ws('|', {marked})), 1, 15) AS BIGINT)"
+
+
+@query("sample_n", f"SELECT row_key, song_popularity FROM tracks ORDER BY {hashed('row_key', '42')}, row_key LIMIT 500")
 def _(v):
     return clean.sample_n(v.tracks.select("row_key", "song_popularity"), "row_key", 500)
 
@@ -189,7 +195,9 @@ def _(v):
     return clean.anti_leakage_view(v.tracks, ["row_key", "track_id", "song_name", "artist_name", "uri"])
 
 
-@query("random_split")
+@query("random_split", f"""
+SELECT CASE WHEN b < 1500 THEN 'test' WHEN b < 3000 THEN 'val' ELSE 'train' END AS split, count(*) AS n
+FROM (SELECT {hashed('row_key', '42')} % 10000 AS b FROM tracks) GROUP BY 1""")
 def _(v):
     parts = split.random_split(v.tracks, "row_key")
     return parts.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -327,9 +335,12 @@ def _(v):
     return rounded(stats.flag_counts(split_tracks(v)), ["flagged_pct", "missing_year_pct"])
 
 
-@query("content_hash")
+HASHED = ["row_key", "track_id", "song_name", "artist_name", "song_popularity", "album_release_year"]
+
+
+@query("content_hash", f"SELECT count(*) AS n_rows, CAST(sum(CAST({hashed(*HASHED)} AS HUGEINT)) AS VARCHAR) AS content_hash FROM tracks")
 def _(v):
-    return stats.content_hash(v.tracks)
+    return stats.content_hash(v.tracks, HASHED)
 
 
 @query("histogram", """
