@@ -6,10 +6,12 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunegauge.functions.scalars import text_hash
 from tunegauge.operators.evaluate import regime_thresholds
+from tunegauge.operators.ranking import rank_per_group
 
 
 def standardized(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -66,14 +68,14 @@ def linear_contributions(df: DataFrame, coefficients: dict[str, float], means: d
 def permutation_importance(df: DataFrame, columns: list[str], score, key: str, seed: int = 42) -> DataFrame:
     """Rise of the MAE when one feature is shuffled among rows: (feature, mae_base, mae_shuffled, importance).
 
-    ``score(frame) -> frame with y, pred``. A column is shuffled by pairing two hash orders of the rows, each
-    numbered by hash prefixes, so no task sees all rows.
+    ``score(frame) -> frame with y, pred``. A column is shuffled by pairing two hash orders of the rows;
+    numbering them splits by range, so no task sees all rows.
     """
     base = score(df).agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("m")).first()["m"]
     rows = []
     for i, name in enumerate(columns):
-        left = _numbered(df, F.xxhash64(F.col(key), F.lit(seed)), key)
-        right = _numbered(df.select(key, F.col(name).alias("_shuffled")), F.xxhash64(F.col(key), F.lit(seed + i + 1)), key)
+        left = _numbered(df, key, seed)
+        right = _numbered(df.select(key, F.col(name).alias("_shuffled")), key, seed + i + 1)
         mixed = left.join(right.drop(key), "_number").withColumn(name, F.col("_shuffled"))
         value = score(mixed).agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("m")).first()["m"]
         rows.append((name, base, value, value - base))
@@ -81,15 +83,9 @@ def permutation_importance(df: DataFrame, columns: list[str], score, key: str, s
         rows, "feature string, mae_base double, mae_shuffled double, importance double")
 
 
-def _numbered(df: DataFrame, order, key: str, bits: int = 10) -> DataFrame:
-    """Number rows 0.. by hash order: the leading bits of a hash fill evenly, so each prefix is one window of known offset."""
-    tagged = df.withColumn("_hash", order).withColumn("_bucket", F.shiftright("_hash", 64 - bits))
-    sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** bits rows
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    position = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", key))
-    return tagged.withColumn("_rn", position).join(F.broadcast(offsets), "_bucket").withColumn(
-        "_number", F.col("_rn") - 1 + F.col("_before")).drop("_bucket", "_hash", "_rn", "_before")
+def _numbered(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Number rows 1.. in ``_number`` by a seeded hash of the key."""
+    return rank_per_group(df.withColumn("_hash", text_hash(key, F.lit(seed))), [], ["_hash", key], "_number").drop("_hash")
 
 
 def regime_discovery(df: DataFrame, contribution: str, feature: str, k: int = 3, seed: int = 42) -> DataFrame:

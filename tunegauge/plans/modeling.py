@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import recency_weight, regime_label
 from tunegauge.operators import diff, discover, evaluate, features, lookup, models, payload, scenario, split, stats
-from tunegauge.plans.cleaning import EXTRA, rounded
+from tunegauge.plans.cleaning import EXTRA, hashed, rounded
 from tunegauge.plans.evaluation import EVAL, METRIC_NAMES, scored, with_target
 from tunegauge.plans.registry import query
 from tunegauge.session import shared_folder
@@ -364,7 +364,17 @@ def _(v):
     return rounded(models.importances(fitted["f"], MODEL_COLUMNS, v.spark), ["importance"])
 
 
-@query("permutation_importance")
+def shuffled_error(feature, seed):
+    value = "o.energy" if feature == "energy" else "s.energy"
+    return f"""
+SELECT '{feature}' AS feature, avg(abs(s.y - s.pred)) AS mae_base, avg(abs(s.y - round(b + a * {value}, 6))) AS mae_shuffled
+FROM (SELECT *, row_number() OVER (ORDER BY {hashed('row_key', '42')}, row_key) AS n FROM scored) s
+JOIN (SELECT *, row_number() OVER (ORDER BY {hashed('row_key', str(seed))}, row_key) AS n FROM scored) o ON s.n = o.n, line"""
+
+
+@query("permutation_importance", f"""
+SELECT feature, round(mae_base, 6) AS mae_base, round(mae_shuffled, 6) AS mae_shuffled, round(mae_shuffled - mae_base, 6) AS importance
+FROM ({shuffled_error('energy', 43)} UNION ALL {shuffled_error('tempo', 44)})""", EVAL)
 def _(v):
     rows = scored(v).select("row_key", "split", "y", "energy", "tempo")
     slope, intercept = models.line_fit(rows.where("split = 'train'"), "energy")
