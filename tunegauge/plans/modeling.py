@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import recency_weight, regime_label
@@ -432,6 +433,60 @@ def _(v):
     return rounded(discover.regime_discovery(out, "c_listeners_log", "listeners_log"), ["mean"])
 
 
+# ---- facts that hold for any right fit -----------------------------------------------------------------------------------
+# A fit itself is beyond SQL; these say row by row or feature by feature that it is one.
+
+@query("linear_optimum", """
+SELECT unnest(['linear', 'linear_weighted']) AS model, feature, TRUE AS orthogonal
+FROM (SELECT unnest(['intercept', 'energy', 'danceability', 'valence', 'tempo', 'acousticness', 'liveness', 'total_available_markets', 'key']) AS feature)""")
+def _(v):
+    # weighted residuals of a least-squares fit are orthogonal to every input and to the intercept
+    train = model_frame(v).where("split = 'train'")
+    vectors = models.Protocol(MODEL_COLUMNS).prepare(train).transform(train)
+    parts = []
+    for name, weight in (("linear", F.lit(1.0)), ("linear_weighted", F.col("weight"))):
+        out = models.linear("weight" if name == "linear_weighted" else None).fit(vectors).transform(vectors)
+        inputs = {"intercept": F.lit(1.0), **{c: F.col(c) for c in MODEL_COLUMNS}}
+        sums = out.agg(*[
+            F.struct(
+                F.sum(weight * (F.col("y") - F.col("pred")) * x).alias("s"), F.sum(F.abs(weight * F.col("y") * x)).alias("size")
+            ).alias(c) for c, x in inputs.items()])
+        rows = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(c).alias("feature"), F.col(c).alias("f")) for c in inputs])
+        parts.append(sums.select(F.inline(rows)).select(
+            "model", "feature", (F.abs(F.col("f.s")) <= 1e-6 * F.col("f.size")).alias("orthogonal")))
+    return stats.union_all(parts)
+
+
+@query("cluster_nearest", "SELECT row_key, TRUE AS nearest FROM split_tracks", EVAL)
+def _(v):
+    # k-means gives every row the centre nearest to it
+    frame = discover.standardized(model_frame(v), ["listeners_log", "energy", "valence"])
+    model, out = discover.cluster_rows(frame, k=4)
+    values = vector_to_array("features")
+    squares = [
+        F.aggregate(F.zip_with(values, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        for c in model.clusterCenters()]
+    return out.select("row_key", (F.pow("centroid_distance", 2) <= F.least(*squares) + 1e-9).alias("nearest"))
+
+
+@query("importances_share", "SELECT 8 AS features, TRUE AS sum_to_one, TRUE AS none_negative")
+def _(v):
+    fitted, _ = models.fit_and_score({"f": models.forest(trees=6, depth=5)}, model_frame(v), models.Protocol(MODEL_COLUMNS), ["split"])
+    found = models.importances(fitted["f"], MODEL_COLUMNS, v.spark)
+    return found.agg(
+        F.count(F.lit(1)).cast("int").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_to_one"),
+        (F.min("importance") >= 0).alias("none_negative"))
+
+
+@query("pca_uncorrelated", "SELECT count(*) AS n, TRUE AS uncorrelated, TRUE AS first_is_wider FROM embeddings")
+def _(v):
+    # principal components are uncorrelated and come by falling variance
+    out, _ = discover.pca_projection(discover.array_vectors(v.embeddings, "embedding"), "features", 2)
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), (F.abs(F.corr("pc1", "pc2")) < 1e-6).alias("uncorrelated"),
+        (F.var_samp("pc1") >= F.var_samp("pc2")).alias("first_is_wider"))
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------------
 
 def stream_result(v, stream, name, mode="append"):
