@@ -100,6 +100,20 @@ def op5_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op5_warc_source"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(p.h, CAST(5 * (k // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN strlen(html) END AS stored_bytes,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN p.h END AS stored_sha1
+FROM p JOIN g ON p.h = g.h
+"""
+
+
 @query
 def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
