@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from tunegauge.llm.tables import slices, stored
 
 #: The token that ends a text; no word holds white space.
 END = "\n"
+END_BYTES = END.encode()
 HEAD_CLASSES, WIDTH, TAIL_CLASSES = 16, 16, 16
 HEAD, CLASSES = HEAD_CLASSES * WIDTH, HEAD_CLASSES + TAIL_CLASSES
 #: Weight rows of each table; contexts are hashed into them.
@@ -64,14 +66,17 @@ class Lexicon:
 
     def encode(self, texts: list[list[bytes]]):
         """Place in the lexicon (-1: not there), class, slot, hash and document of each token, ends included."""
-        get = self.place.get
-        end = END.encode()
-        flat = [w for t in texts for w in (*t, end)]
-        at = np.array([get(w, -1) for w in flat], dtype=np.int64)
-        kind, slot, code = self.kind[at], self.slot[at], self.hash[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            w = flat[i]
-            kind[i], slot[i], code[i] = tail_class(w), -1, zlib.crc32(w)
+        flat: list[bytes] = []
+        for t in texts:
+            flat += t
+            flat.append(END_BYTES)
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        kind, slot, code = self.kind.take(at, mode="wrap"), self.slot.take(at, mode="wrap"), self.hash.take(at, mode="wrap")
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            rare = [flat[i] for i in missing.tolist()]
+            kind[missing] = [tail_class(w) for w in rare]
+            code[missing] = np.fromiter(map(zlib.crc32, rare), np.uint32, len(rare))
         document = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
         return flat, at, kind, slot, code, document
 
@@ -122,16 +127,16 @@ class Weights:
         return (mixed >> np.uint32(32 - BITS)).astype(np.int64)
 
     def outer_probabilities(self, rows: np.ndarray) -> np.ndarray:
-        z = self.outer[rows[:, 0]]
+        z = self.outer.take(rows[:, 0], axis=0)
         for f in range(1, FEATURES):
-            z += self.outer[rows[:, f]]
+            z += self.outer.take(rows[:, f], axis=0)
         z += self.outer_bias
         return _softmax(z)
 
     def inner_probabilities(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        z = self.inner[rows[:, 0]]
+        z = self.inner.take(rows[:, 0], axis=0)
         for f in range(1, FEATURES):
-            z += self.inner[rows[:, f]]
+            z += self.inner.take(rows[:, f], axis=0)
         z += self.inner_bias[kind]
         return _softmax(z)
 
@@ -159,11 +164,12 @@ class Trainer:
     def _descend(self, name: str, rows: np.ndarray, g: np.ndarray) -> None:
         table, squares = getattr(self.w, name), self.squares[name]
         for f in range(FEATURES):
-            order = np.argsort(rows[:, f], kind="stable")
-            ordered = rows[order, f]
+            row = rows[:, f].astype(np.uint16)  # a radix sort
+            order = np.argsort(row, kind="stable")
+            ordered = row[order]
             first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            total = np.add.reduceat(g[order], first, axis=0)
-            at = ordered[first]
+            total = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+            at = ordered[first].astype(np.int64)
             squares[at] += np.einsum("ij,ij->i", total, total)
             table[at] -= (self.rate / np.sqrt(squares[at]))[:, None] * total
 
@@ -191,7 +197,7 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
         for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 found.update(words(t))
-            found[END.encode()] += batch.num_rows
+            found[END_BYTES] += batch.num_rows
             if len(found) > COUNTED:
                 yield out()
                 found.clear()
@@ -289,7 +295,8 @@ def scores(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
             tail = slot < 0
             local[tail] += base[tail] - mass[kinds[tail]]
             sums = lambda x: np.bincount(document, x, minlength=n)
-            seen = Counter(zip(document[at < 0].tolist(), (flat[i] for i in np.flatnonzero(at < 0).tolist())))
+            missing = np.flatnonzero(at < 0)
+            seen = Counter(zip(document[missing].tolist(), [flat[i] for i in missing.tolist()]))
             owner = [d for d, _ in seen]
             row = batch.column(3)
             none = lambda t: pa.nulls(len(seen), t)
