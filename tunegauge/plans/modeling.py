@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tunegauge.functions.scalars import recency_weight, regime_label
+from tunegauge.functions.scalars import REGIME_LABELS, recency_weight, regime_label
 from tunegauge.operators import diff, discover, evaluate, features, lookup, models, payload, scenario, split, stats
 from tunegauge.plans.cleaning import EXTRA, hashed, rounded
 from tunegauge.plans.evaluation import EVAL, METRIC_NAMES, scored, with_target
@@ -385,13 +385,27 @@ def _(v):
 
 
 @query("temporal_run", """
-SELECT split, count(*) AS n FROM split_tracks GROUP BY split""", EXTRA)
-def _(v):
+SELECT * FROM (WITH w AS (
+ SELECT split, energy AS x, CAST(song_popularity AS DOUBLE) AS y, exp(-5e-2 * greatest(2001 - coalesce(album_release_year, 2001), 0)) AS w FROM split_tracks
+), line AS (
+ SELECT (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) AS a,
+  sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy FROM w WHERE split = 'train'
+), p AS (SELECT split, y, (sy - a * sx) / s + a * x AS pred FROM w, line)
+SELECT split, count(*) AS n, round(avg(abs(y - pred)), 4) AS mae_raw, round(avg(abs(y - greatest(0, least(100, pred)))), 4) AS mae_clip,
+ round(min(pred), 4) AS min_raw, round(max(pred), 4) AS max_raw FROM p GROUP BY split)""", EXTRA)
+def _(v):
+    # prepare, split, weight, fill, fit, save, load, score: raw and clipped errors of the model that was saved
     frame = model_frame(v)
-    fitted, out = models.fit_and_score({"line": models.linear("weight")}, frame, models.Protocol(MODEL_COLUMNS), ["split"])
-    run = {"features": MODEL_COLUMNS, "model": "line", "train_end": 1999}
-    models.save_models(v.spark, fitted, run, shared_folder(v.spark, "run"))
-    return evaluate.full_metrics(out, ["split"]).select("split", "n")
+    train = frame.where("split = 'train'")
+    prepared = models.Protocol(["energy"]).prepare(train)
+    fitted = {"line": models.linear("weight").fit(prepared.transform(train))}
+    folder = shared_folder(v.spark, "run")
+    models.save_models(v.spark, fitted, {"features": ["energy"], "model": "line", "train_end": 1999}, folder)
+    out = fitted["line"].transform(prepared.transform(frame))
+    counts = out.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    errors = evaluate.clip_metrics(out, ["split"]).select(F.col("split").alias("_b0"), "mae_raw", "mae_clip", "min_raw", "max_raw")
+    joined = counts.join(errors, F.col("split").eqNullSafe(F.col("_b0"))).drop("_b0")
+    return rounded(joined, ["mae_raw", "mae_clip", "min_raw", "max_raw"], 4)
 
 
 # ---- discovery ---------------------------------------------------------------------------------------------------------
@@ -519,13 +533,26 @@ def _(v):
 
 
 @query("stream_score", """
-SELECT event_id, CASE WHEN ln(1 + coalesce(listeners, 0)) < 881e-2 THEN 0 WHEN ln(1 + coalesce(listeners, 0)) < 1309e-2 THEN 1 ELSE 2 END AS regime_id,
- round(greatest(0, least(100, 5 + value / 2)), 6) AS pred FROM events LEFT JOIN artists ON artist_id = user_id""")
-def _(v):
-    events = ingest.event_stream(v.spark, v.sf_dir)
-    scored_rows = ingest.score_stream(
-        events, v.artists, "user_id", lambda f: f.withColumn("pred", F.lit(5.0) + F.col("value") / 2))
+SELECT * FROM (WITH experts AS (SELECT regime, regr_slope(y, energy) AS a, regr_intercept(y, energy) AS b FROM scored WHERE split = 'train' GROUP BY regime),
+routed AS (
+ SELECT event_id, value / 100 AS energy, CASE WHEN ln(1 + coalesce(listeners, 0)) < 881e-2 THEN 0 WHEN ln(1 + coalesce(listeners, 0)) < 1309e-2 THEN 1 ELSE 2 END AS regime_id
+ FROM events LEFT JOIN artists ON artist_id = user_id)
+SELECT event_id, regime_id, round(greatest(0, least(100, b + a * energy)), 4) AS pred
+FROM routed LEFT JOIN experts ON regime = ['Cold Start', 'Tipping Point', 'Mainstream'][regime_id + 1])""", EVAL)
+def _(v):
+    # one expert per regime, trained on the training tracks; an event's value stands for the energy of its track
+    train = scored(v).where("split = 'train'")
+    fitted = train.groupBy("regime").agg(F.regr_slope("y", "energy").alias("a"), F.regr_intercept("y", "energy").alias("b")).collect()
+    lines = {REGIME_LABELS.index(r["regime"]): (r["a"], r["b"]) for r in fitted}  # at most one per regime
+
+    def predict(rows):
+        pred = F.lit(None).cast("double")
+        for number, (slope, intercept) in lines.items():
+            pred = F.when(F.col("regime_id") == number, F.lit(intercept) + F.lit(slope) * F.col("value") / 100).otherwise(pred)
+        return rows.withColumn("pred", pred)
+
+    scored_rows = ingest.score_stream(ingest.event_stream(v.spark, v.sf_dir), v.artists, "user_id", predict)
     out = stream_result(v, scored_rows.select("event_id", "regime_id", "pred"), "score")
-    return out.select("event_id", "regime_id", F.round("pred", 6).alias("pred"))
+    return out.select("event_id", "regime_id", F.round("pred", 4).alias("pred"))
 
 
