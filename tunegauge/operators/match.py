@@ -31,8 +31,12 @@ def containment_pairs(needles: DataFrame, hays: DataFrame, within: list[str] | N
     needle, hay = F.col("needle"), F.col("hay")
     needles = needles.select(*within, "needle").where(needle != "").distinct()
     hays = hays.select(*within, "hay").where(hay != "").distinct()
-    pieces = F.flatten(F.array(*[_grams(hay, n) for n in range(1, GRAM + 1)]))
-    postings = hays.select(*within, "hay", F.explode(pieces).alias("gram"))
+    # pieces of one and two letters serve needles of that length only, so they are cut only where there are such needles
+    short = needles.where(F.length(needle) < GRAM).agg(F.collect_set(F.length(needle)).alias("sizes")).scalar()
+    pieces = F.flatten(F.array(_grams(hay, GRAM), *[
+        F.when(F.array_contains(short, n), _grams(hay, n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM)
+    ]))
+    postings = hays.select(*within, "hay", pieces.alias("pieces")).select(*within, "hay", F.explode("pieces").alias("gram"))
     probes = needles.select(
         *within, "needle", F.explode(F.when(F.length(needle) < GRAM, F.array(needle)).otherwise(_grams(needle, GRAM))).alias("gram")
     )
