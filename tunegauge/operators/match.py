@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tunegauge.functions.text import normalize_artist_name, normalize_basic_text, token_score, tokens
 from tunegauge.functions.variants import base_title, is_non_studio
+from tunegauge.session import written
 
 GRAM = 3
 
@@ -175,6 +176,7 @@ def deep_scan_best(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     asked = requests.select("request", "artist_name", F.lower("title_query").alias("q_title"))
     best = catalog.groupBy("artist_name", F.lower("title").alias("c_title")).agg(
         F.min(F.struct((-F.coalesce("popularity", F.lit(0))).alias("p"), "track_key")).alias("b"))
+    asked, best = written(asked, "asked-titles"), written(best, "best-titles")  # each is read several times
     artist = ["artist_name"]
     q_titles, c_titles = asked.select(*artist, "q_title").distinct(), best.select(*artist, "c_title").distinct()
     inside = containment_pairs(
