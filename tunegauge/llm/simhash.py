@@ -218,7 +218,12 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
 
 def classes(fps: DataFrame, bits: int = 3) -> DataFrame:
     """(_fp, _least): for each fingerprint the smallest ``_key`` of its component. ``fps``: stored rows (_key, _fp)."""
-    joined = components(links(fps, bits))
+    return least_keys(fps, links(fps, bits))
+
+
+def least_keys(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``classes`` for any links (a, b) of values in ``_fp``."""
+    joined = components(edges)
     own = fps.groupBy("_fp").agg(F.min("_key").alias("_own"))
     own = stored(own.join(joined.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_own", F.coalesce("root", "_fp").alias("root")), "roots")
     least = stored(own.groupBy("root").agg(F.min("_own").alias("_least")), "least")
