@@ -45,3 +45,11 @@ def test_tags_and_rows(spark, odd, empty):
     rows = spark.createDataFrame([(1, "# SPDX-License-Identifier: MIT OR Apache-2.0\nx"), (2, "no licence"), (2, "SPDX-License-Identifier:")], "doc_id long, text string")
     found = licences.scanned(rows).collect()
     assert [(r.doc_id, r.expressions, r.licences, r.score) for r in found] == [(1, ["mit apache-2.0 or"], ["apache-2.0", "mit"], 1.0), (2, [], [], 0.3), (2, [], [], 0.3)]
+
+
+def test_long_expressions_are_read_to_the_end_of_the_line():
+    names = [f"LicenseRef-{i}-of-many" for i in range(300)]
+    text = f"SPDX-License-Identifier: {' AND '.join(names)}\nAND other"
+    assert len(text) > 5000
+    _, _, expressions, _ = licences.scan(text)
+    assert [x for x in expressions[0].split() if x != "and"] == [n.lower() for n in names]

@@ -36,7 +36,7 @@ TAG = "spdx license identifier"
 PLAIN = bytes(
     b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower()
 )
-EXPRESSION = re.compile(r"\s*[:=]?\s*([A-Za-z0-9.+() \t-]{1,200})")
+EXPRESSION = re.compile(r"\s*[:=]?\s*([A-Za-z0-9.+() \t-]+)")
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
 #: Operators and how strongly they bind.
 BINDS = {"or": 1, "and": 2, "with": 3}
