@@ -51,6 +51,19 @@ def test_messages_carry_a_label_to_distant_repeats(spark):
     assert any(k == "phone" and a > 1000 and text[a:b].endswith("(509) 555-6973") for a, b, k in spans)
 
 
+def test_a_label_reaches_a_hundred_repeats():
+    import numpy as np
+
+    link = np.zeros((2, 5, 5))
+    link[1] = 3 * np.eye(5) - 1
+    found = pii.Field(np.zeros((3 * pii.SHAPES, 5)), np.array([1.0, 0, 0, 0, 0]), link)
+    for order in (1, -1):
+        marked = [" Nothing here at all. ".join((first, *["509-555-6973"] * 100)[::order]) for first in ("+1-509-555-6973", "none")]
+        with_label, without = (found.marginals(pii.graph([t], [pii.base_spans(t)]))[:, 4] for t in marked)
+        far = with_label[1:] if order == 1 else with_label[:-1]
+        assert len(far) == len(without) == 100 and (far > without + 0.1).all()
+
+
 def test_messages_agree_with_exact_sums(spark):
     import itertools
 

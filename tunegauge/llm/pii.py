@@ -2,8 +2,8 @@
 
 The field's nodes are the tokens of a document that hold a digit or an at sign; other tokens count as observed to be no
 personal data. Neighbouring nodes are linked, and so is each node with the next one that repeats it or shares its ending
-digits, however far away. What a pattern found is observed; loopy message passing carries labels along the links, so that a
-document's mentions of the same thing agree. Node and link weights are learned piece by piece from pattern labels on a bounded
+digits, however far away. What a pattern found is observed, and a node is also linked with the last and the next such node that it
+repeats. Loopy message passing runs along the links until messages rest, so that a document's mentions of the same thing agree. Node and link weights are learned piece by piece from pattern labels on a bounded
 sample of documents.
 """
 
@@ -34,7 +34,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 NOISE = re.compile(r"[^a-z0-9@]+")
 SHAPES = 1 << 12
-ROUNDS, DAMPING, CERTAIN = 8, 0.3, 0.9
+STEP, TOLERANCE, CERTAIN = 0.7, 1e-4, 0.9
+#: Rounds after which steps shrink, so that messages that swing come to rest too.
+SETTLE = 50
 
 
 def luhn(digits: str) -> bool:
@@ -101,7 +103,8 @@ def shape(token: str) -> int:
 
 @dataclass
 class Nodes:
-    """Tokens of some documents as one graph. ``links``: rows of (node, node, kind), kind 0 for neighbours, 1 for repeats."""
+    """Tokens of some documents as one graph. ``links``: rows of (node, node, kind), kind 0 for neighbours, 1 for repeats, 2 for
+    repeats of what a pattern found beyond the node before; these have the potential of kind 1 and are not learned from."""
 
     document: np.ndarray
     start: np.ndarray
@@ -114,8 +117,9 @@ class Nodes:
 def graph(texts: list[str], spans: list[list[tuple[int, int, str]]]) -> Nodes:
     document, start, end, features, seen, links = [], [], [], [], [], []
     for d, (text, found) in enumerate(zip(texts, spans)):
-        first, last_end, at = len(document), -9, 0
+        first, first_link, last_end, at = len(document), len(links), -9, 0
         last: dict[str, int] = {}
+        keyed: list[set[str]] = []
         tokens = [m.span() for m in TOKEN.finditer(text)] if MARK.search(text) else []
         outlines = [shape(text[a:b]) for a, b in tokens]
         for i, (a, b) in enumerate(tokens):
@@ -142,7 +146,21 @@ def graph(texts: list[str], spans: list[list[tuple[int, int, str]]]) -> Nodes:
             linked = {last[k] for k in keys if k in last}
             links += [(other, node, 1) for other in linked]
             last.update(dict.fromkeys(keys, node))
+            keyed.append(keys)
             last_end = b
+        direct = {(other, node) for other, node, kind in links[first_link:] if kind == 1}
+        for step in (1, -1):
+            known: dict[str, int] = {}
+            for i in range(len(keyed))[::step]:
+                node, keys = first + i, keyed[i]
+                if seen[node]:
+                    known.update(dict.fromkeys(keys, node))
+                    continue
+                for other in {known[k] for k in keys if k in known}:
+                    pair = (min(node, other), max(node, other))
+                    if pair not in direct:
+                        direct.add(pair)
+                        links.append((*pair, 2))
     whole = lambda x, *s: np.array(x, dtype=np.int64).reshape(*s)
     return Nodes(whole(document, -1), whole(start, -1), whole(end, -1), whole(features, -1, 3), whole(seen, -1), whole(links, -1, 3))
 
@@ -156,7 +174,7 @@ class Field:
     link: np.ndarray
 
     def marginals(self, nodes: Nodes) -> np.ndarray:
-        """Label probabilities by sum-product messages, sent along all links at once for a fixed number of rounds."""
+        """Label probabilities by sum-product messages, sent along all links at once until none changes by more than a tolerance."""
         score = self.node[nodes.features].sum(axis=1) + self.bias
         fixed = nodes.seen > 0
         score[fixed] = -12.0
@@ -164,22 +182,30 @@ class Field:
         if not len(nodes.links):
             return _softmax(score)
         a, b, kind = nodes.links.T
+        kind = np.minimum(kind, 1)
         source, target = np.r_[a, b], np.r_[b, a]
         potential = self.link[np.r_[kind, kind]]
         potential[len(a) :] = potential[len(a) :].transpose(0, 2, 1)
         back = np.r_[np.arange(len(a)) + len(a), np.arange(len(a))]
-        messages = np.zeros((len(source), len(LABELS)))
-        for _ in range(ROUNDS):
-            incoming = np.zeros_like(score)
-            np.add.at(incoming, target, messages)
-            belief = (score + incoming)[source] - messages[back]
-            joint = belief[:, :, None] + potential
+        messages, incoming = np.zeros((len(source), len(LABELS))), np.zeros_like(score)
+        free = ~fixed[target]  # what was observed sends but doesn't listen
+        live, rounds, step = np.flatnonzero(free), 0, STEP
+        while len(live):
+            belief = (score + incoming)[source[live]] - messages[back[live]]
+            joint = belief[:, :, None] + potential[live]
             top = joint.max(axis=1, keepdims=True)
             sent = np.log(np.exp(joint - top).sum(axis=1)) + top[:, 0]
             sent -= sent.max(axis=1, keepdims=True)
-            messages = DAMPING * messages + (1 - DAMPING) * sent
-        incoming = np.zeros_like(score)
-        np.add.at(incoming, target, messages)
+            change = step * (sent - messages[live])
+            messages[live] += change
+            np.add.at(incoming, target[live], change)
+            moved = live[np.abs(change).max(axis=1) > TOLERANCE]
+            awake = np.zeros(len(score), dtype=bool)
+            awake[target[moved]] = True
+            again = awake[source]
+            again[moved] = True
+            live, rounds = np.flatnonzero(again & free), rounds + 1
+            step *= 0.9 if rounds > SETTLE else 1.0
         return _softmax(score + incoming)
 
     def spans(self, texts: list[str], found: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
