@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunegauge.llm import decontaminate, licences, maxent, packing, pii, shards, simhash, topk, toxicity, warc
+from tunegauge.llm import (
+    audit, decontaminate, licences, maxent, packing, pii, ranked, shards, simhash, superminhash, topk, toxicity, warc,
+)
 from tunegauge.llm.tables import share_code, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +170,114 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(F.transform(base, lambda f: f["word"])).alias("last_word"),
         joined(labels).alias("base_labels"), joined(F.concat(labels, more, "licences")).alias("labels"), "score",
     )
+
+
+@query
+def op11_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_superminhash_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) <= 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS g
+  FROM d WHERE len(w) > 0
+), sets AS (
+  SELECT r, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS node FROM s GROUP BY r
+), nodes AS (
+  SELECT node, n, min(r) AS r FROM sets GROUP BY node, n
+), held AS (
+  SELECT node, n, g FROM s JOIN nodes USING (r)
+), linked AS (
+  SELECT a.node AS a, b.node AS b FROM held a JOIN held b ON a.g = b.g AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT node, node AS other FROM nodes
+  UNION SELECT reach.node, linked.b FROM reach JOIN linked ON reach.other = linked.a
+), least AS (
+  SELECT reach.node, min(doc_id) AS id FROM reach JOIN sets ON reach.other = sets.node JOIN d USING (r) GROUP BY reach.node
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE id END AS component_id,
+  doc_id IS NOT DISTINCT FROM CASE WHEN n IS NULL THEN doc_id ELSE id END AS kept
+FROM d LEFT JOIN sets USING (r) LEFT JOIN least USING (node)
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), least AS (
+  SELECT x, min(doc_id) AS first FROM t GROUP BY x
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n,
+    concat(CASE WHEN len(w) < 50 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END,
+      CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x) THEN 'C' ELSE '' END,
+      CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails
+  FROM t JOIN least USING (x) LEFT JOIN l USING (doc_id) GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k
+), orders AS (
+  SELECT concat(a.k, b.k, c.k, d.k, e.k) AS filter_order
+  FROM letters a JOIN letters b ON b.k <> a.k JOIN letters c ON c.k NOT IN (a.k, b.k) JOIN letters d ON d.k NOT IN (a.k, b.k, c.k)
+    JOIN letters e ON e.k NOT IN (a.k, b.k, c.k, d.k)
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+  FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders)
+), marked AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS own, translate(fails, before, '') <> fails AS gone FROM cells, steps
+), counted AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (own AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (own AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (own AND NOT gone AND toxic), 0) AS toxic_lost
+  FROM marked GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@query
+def op13_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+ORACLES["op13_hybrid_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT q, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)
+), whole AS (
+  SELECT CAST(count(*) AS BIGINT) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN b USING (term) GROUP BY r, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, whole GROUP BY term, N
+), lengths AS (
+  SELECT r, doc_id, 50 + (50 * len(w) * N) // L AS m FROM d, whole WHERE len(w) > 0
+), scored AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM b JOIN tf USING (term) JOIN weight USING (term) JOIN lengths USING (r) GROUP BY q, item_id, r, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 50
+"""
