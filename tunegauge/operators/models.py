@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import clip_0_100, regime_id
+from tunegauge.operators import gram
 from tunegauge.operators.evaluate import full_metrics, regression_metrics
 from tunegauge.operators.features import MedianImputer
-from tunegauge.operators.stats import union_all
+from tunegauge.session import written
 
 FEATURES = "features"
 
@@ -75,15 +76,24 @@ class Protocol:
 
 
 def fit_and_score(estimators: dict[str, Estimator], frame: DataFrame, protocol: Protocol, keep: list[str]):
-    """Fit every estimator on ``split = 'train'`` and stack its forecasts for all rows: (model, keep..., y, pred)."""
-    frame = frame.persist()  # read by the fill, the scaler and every model; spills to disk
+    """Fit every estimator on ``split = 'train'`` and stack its forecasts for all rows: (model, keep..., y, pred).
+
+    The frame is stored, as the fill, the scaler and every model read it; all models score a row in one pass.
+    """
+    frame = written(frame, "model-frame")
     prepared = protocol.prepare(frame.where("split = 'train'"))
     vectors = prepared.transform(frame)
     fitted = {name: e.fit(vectors.where("split = 'train'")) for name, e in estimators.items()}
-    scored = union_all([
-        m.transform(vectors).select(F.lit(name).alias("model"), *keep, "y", "pred") for name, m in fitted.items()
-    ])
-    return fitted, scored
+    return fitted, score_all(fitted, vectors, keep)
+
+
+def score_all(fitted: dict, vectors: DataFrame, keep: list[str]) -> DataFrame:
+    """Forecasts of all models, a row per row and model: (model, keep..., y, pred). The rows are read once."""
+    out = vectors.select(*keep, "y", FEATURES)
+    for i, model in enumerate(fitted.values()):
+        out = model.transform(out).withColumnRenamed("pred", f"_pred{i}")
+    each = F.array(*[F.struct(F.lit(name).alias("model"), F.col(f"_pred{i}").alias("pred")) for i, name in enumerate(fitted)])
+    return out.select(*keep, "y", F.explode(each).alias("_m")).select("_m.model", *keep, "y", "_m.pred")
 
 
 def benchmark_models(estimators: dict[str, Estimator], frame: DataFrame, protocol: Protocol) -> DataFrame:
@@ -137,14 +147,59 @@ def hurdle_keep(scored: DataFrame, keep_from: float = 0.5) -> DataFrame:
 
 # ---- search, ablation, refit -----------------------------------------------------------------------------------------
 
+def linear_sets(frame: DataFrame, feature_sets: dict[str, list[str]], protocol: Protocol, weight: str | None = None) -> DataFrame:
+    """Metrics of one linear model per feature set, (model, split, ...): one scan fits all of them, one scores all of them."""
+    columns = protocol.columns
+    frame = written(frame, "model-frame")
+    train = frame.where("split = 'train'")
+    filled = MedianImputer(columns=columns).fit(train)
+    rows = filled.transform(frame)
+    models = gram.fit_groups(
+        rows.where("split = 'train'"), columns, weight=weight, feature_sets=feature_sets, shift=filled.fitted())
+    return full_metrics(gram.score_sets(rows, models, columns, list(feature_sets)), ["model", "split"])
+
+
+def linear_ablation(blocks: dict[str, list[str]], frame: DataFrame, weight: str | None = None) -> DataFrame:
+    """Metrics of linear models on growing sets of feature blocks: (ablation, model, split, ...), all from one scan."""
+    used, sets = [], {}
+    for name, columns in blocks.items():
+        used = used + columns
+        sets[name] = list(used)
+    out = linear_sets(frame, sets, Protocol(used), weight)
+    return out.withColumnRenamed("model", "ablation").withColumn("model", F.lit("linear"))
+
+
+def linear_ab_test(base: list[str], block: list[str], frame: DataFrame, weight: str | None = None) -> DataFrame:
+    """The linear model without and with a feature block, and the change of the error per split; one scan fits both."""
+    out = linear_sets(frame, {"without": base, "with": base + block}, Protocol(base + block), weight)
+    side = lambda name: F.max(F.when(F.col("model") == name, F.col("mae")))
+    both = out.groupBy("split").agg(side("without").alias("mae_without"), side("with").alias("mae_with"))
+    return both.withColumn("delta", F.col("mae_with") - F.col("mae_without"))
+
+
+def lambda_sweep(frame: DataFrame, columns: list[str], weights: dict[str, Column]) -> DataFrame:
+    """Metrics of the linear model under several row weights, (model, split, ...); one scan fits all of them."""
+    frame = written(frame, "model-frame")
+    filled = MedianImputer(columns=columns).fit(frame.where("split = 'train'"))
+    rows = filled.transform(frame)
+    each = F.array(*[F.struct(F.lit(name).alias("model"), w.cast("double").alias("w")) for name, w in weights.items()])
+    train = rows.where("split = 'train'").select("*", F.explode(each).alias("_g")).select("*", "_g.*")
+    models = gram.fit_groups(train, columns, ["model"], weight="w", shift=filled.fitted())
+    return full_metrics(gram.score_sets(rows, models, columns, list(weights), "model"), ["model", "split"])
+
+
 def ablation(blocks: dict[str, list[str]], estimators: dict[str, Estimator], frame: DataFrame) -> DataFrame:
-    """Metrics of every model on growing sets of feature blocks: (ablation, model, split, ...)."""
-    used, parts = [], []
+    """Metrics of every model on growing sets of feature blocks: (ablation, model, split, ...).
+
+    Estimators are refitted for each set; ``linear_ablation`` fits all sets of a linear model at once.
+    """
+    used, out = [], None
+    frame = written(frame, "model-frame")
     for name, columns in blocks.items():
         used = used + columns
-        result = benchmark_models(estimators, frame, Protocol(list(used)))
-        parts.append(result.withColumn("ablation", F.lit(name)))
-    return union_all(parts)
+        result = benchmark_models(estimators, frame, Protocol(list(used))).withColumn("ablation", F.lit(name))
+        out = result if out is None else out.unionByName(result)
+    return out
 
 
 def holdout_search(make, grid: list[dict], frame: DataFrame, protocol: Protocol) -> DataFrame:
@@ -165,22 +220,41 @@ def feature_ab_test(make, base: list[str], block: list[str], frame: DataFrame) -
 # ---- experts ---------------------------------------------------------------------------------------------------------
 
 def gating_router(frame: DataFrame, listeners: str = "listeners_log") -> DataFrame:
-    """Add ``regime_id`` and check that no row lost its regime."""
-    routed = frame.withColumn("regime_id", regime_id(listeners))
-    if not routed.where("regime_id IS NULL").isEmpty():
-        raise ValueError("rows without listeners cannot be routed")
-    return routed
+    """Add ``regime_id``; a row that has no regime fails the job that reads it."""
+    lost = F.raise_error(F.lit("rows without listeners cannot be routed")).cast("int")
+    return frame.withColumn("regime_id", F.coalesce(regime_id(listeners), lost))
+
+
+def linear_experts(frame: DataFrame, columns: list[str], weight: str | None = None, ridge: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(experts, filled frame): a linear model per regime from one scan of the training rows.
+
+    ``frame`` has ``split``, ``regime_id``, ``y`` and the columns; missing inputs are filled with training medians.
+    """
+    frame = written(frame, "expert-frame")
+    filled = MedianImputer(columns=columns).fit(frame.where("split = 'train'"))
+    rows = filled.transform(frame)
+    experts = gram.fit_groups(
+        rows.where("split = 'train'"), columns, ["regime_id"], weight=weight, ridge=ridge, shift=filled.fitted())
+    return experts, rows
+
+
+def score_linear_routed(rows: DataFrame, experts: DataFrame, columns: list[str]) -> DataFrame:
+    """Score each row with the expert of its regime, clipped to 0..100: one join with a row per regime."""
+    return gram.score_groups(rows, experts, columns, ["regime_id"]).withColumn("pred", clip_0_100("pred"))
 
 
 def train_experts(vectors: DataFrame, make, regimes: tuple[int, ...] = (0, 1, 2)) -> dict:
-    """One model per regime, each fitted on the training rows of its regime."""
+    """One model of any kind per regime, each fitted on the training rows of its regime."""
     return {r: make().fit(vectors.where((F.col("split") == "train") & (F.col("regime_id") == r))) for r in regimes}
 
 
 def score_routed(vectors: DataFrame, experts: dict) -> DataFrame:
-    """Score each row with the expert of its regime, clipped to 0..100."""
-    parts = [m.transform(vectors.where(F.col("regime_id") == r)) for r, m in experts.items()]
-    return union_all(parts).withColumn("pred", clip_0_100("pred"))
+    """Score each row with the expert of its regime, clipped to 0..100; the rows are read once."""
+    out, pred = vectors, F.lit(None).cast("double")
+    for r, model in experts.items():
+        out = model.transform(out).withColumnRenamed("pred", f"_pred{r}")
+        pred = F.when(F.col("regime_id") == r, F.col(f"_pred{r}")).otherwise(pred)
+    return out.withColumn("pred", clip_0_100(pred)).where(F.col("regime_id").isin(*experts)).drop(*[f"_pred{r}" for r in experts])
 
 
 # ---- artefacts -------------------------------------------------------------------------------------------------------

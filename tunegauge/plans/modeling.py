@@ -6,12 +6,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import REGIME_LABELS, recency_weight, regime_label
-from tunegauge.operators import diff, discover, evaluate, features, lookup, models, payload, scenario, split, stats
+from tunegauge.operators import boosting, diff, discover, evaluate, features, gram, lookup, models, payload, scenario, split, stats
 from tunegauge.plans.cleaning import EXTRA, hashed, rounded
-from tunegauge.plans.evaluation import EVAL, METRIC_NAMES, scored, with_target
+from tunegauge.plans.evaluation import EVAL, FULL, METRIC_NAMES, scored, with_target
 from tunegauge.plans.registry import query
-from tunegauge.session import shared_folder
-from tunegauge.sources import io
+from tunegauge.session import shared_folder, written
+from tunegauge.sources import io, landing
 from tunegauge.streaming import ingest
 
 
@@ -187,11 +187,34 @@ def _(v):
     def enrich(todo):
         return todo.withColumn("status", F.lit("found"))
 
-    io.append_pending(work.where("artist_name < 'Supplier#000000005'"), folder, ["artist_name", "song_name"], enrich)
-    io.append_pending(work, folder, ["artist_name", "song_name"], enrich)  # a restart goes on with the rest
+    keys = ["artist_name", "song_name"]
+    io.append_pending(work.where("artist_name < 'Supplier#000000005'"), folder, keys, enrich)
+    io.append_pending(work, folder, keys, enrich)  # a restart goes on with the rest
     return v.spark.read.parquet(folder)
 
 
+@query("enrich_in_chunks", "SELECT artist_name, song_name, n, n > 1 AS repeated FROM (SELECT artist_name, song_name, count(*) AS n FROM tracks GROUP BY ALL)")
+def _(v):
+    folder = shared_folder(v.spark, "chunks")
+    work = v.tracks.groupBy("artist_name", "song_name").agg(F.count(F.lit(1)).alias("n"))
+    size = -(-work.count() // 6)
+    done = []
+
+    def enrich(todo):
+        if len(done) == 2:
+            raise ConnectionError("the service is gone")
+        done.append(1)
+        return todo.withColumn("repeated", F.col("n") > 1)
+
+    keys = ["artist_name", "song_name"]
+    try:
+        landing.enrich_in_chunks(work, folder, keys, enrich, size)
+    except ConnectionError:
+        done = [None] * 3  # back again: the finished chunks stay, the rest of the list is looked up
+    landing.enrich_in_chunks(work, folder, keys, enrich, size)
+    return landing.enriched(v.spark, folder, enrich(work).schema)
+
+
 @query("save_model", """
 SELECT row_key, pred FROM scored""", EVAL)
 def _(v):
@@ -253,6 +276,32 @@ def metrics_of(v, estimators, standardize=False):
     return rounded(models.benchmark_models(estimators, model_frame(v), protocol), METRIC_NAMES)
 
 
+# The same frame and the same least-squares fits as SQL: a group's matrix of products is brought to the unit matrix row by row.
+FRAME = f"""
+SELECT row_key, split, CAST(song_popularity AS DOUBLE) AS y, album_release_year, ln(1 + coalesce(listeners, 0)) AS listeners_log,
+ {', '.join(MODEL_COLUMNS)}, loudness, instrumentalness, exp(-5e-2 * greatest(2001 - coalesce(album_release_year, 2001), 0)) AS weight,
+ CASE WHEN ln(1 + coalesce(listeners, 0)) < 881e-2 THEN 0 WHEN ln(1 + coalesce(listeners, 0)) < 1309e-2 THEN 1 ELSE 2 END AS regime_id
+FROM split_tracks LEFT JOIN artists USING (artist_name)"""
+FULL_4 = FULL.replace(", 6)", ", 4)")
+
+
+def fit_sql(rows: str, columns: list[str], key: str, weight: str = "1e0") -> str:
+    """(key, beta): intercept and coefficients of the weighted least-squares fit of y per key."""
+    names = ["1e0", *columns]
+    lines = ", ".join("[" + ", ".join(f"sum({weight} * {a} * {b})" for b in [*names, "y"]) + "]" for a in names)
+    return f"""
+SELECT * FROM (WITH RECURSIVE s AS (
+ SELECT {key}, 1 AS k, [{lines}] AS m FROM {rows} GROUP BY {key}
+ UNION ALL
+ SELECT {key}, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / m[k][k])
+  ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END) FROM s WHERE k <= len(m)
+) SELECT {key}, list_transform(m, lambda r: r[len(r)]) AS beta FROM s WHERE k = len(m) + 1)"""
+
+
+def line_sql(columns: list[str]) -> str:
+    return " + ".join(["beta[1]", *(f"beta[{i}] * {c}" for i, c in enumerate(columns, 2))])
+
+
 @query("linear_regression")
 def _(v):
     return metrics_of(v, {"linear": models.linear(), "linear_weighted": models.linear("weight")})
@@ -285,7 +334,7 @@ def _(v):
 
 @query("hurdle")
 def _(v):
-    frame = model_frame(v).persist()
+    frame = written(model_frame(v), "hurdle-frame")
     vectors = models.Protocol(MODEL_COLUMNS).prepare(frame.where("split = 'train'")).transform(frame)
     fitted = models.hurdle_fit(vectors, "weight", models.forest("weight", 8, 5))
     out = models.hurdle_score(vectors, *fitted)
@@ -295,19 +344,30 @@ def _(v):
     return rounded(evaluate.full_metrics(both, ["model", "split"]), METRIC_NAMES)
 
 
-@query("ablation")
+ABLATION = {"base": ["energy", "tempo"], "mood": ["danceability", "valence"], "reach": ["total_available_markets"]}
+GROWN = {name: [c for used in list(ABLATION.values())[: i + 1] for c in used] for i, name in enumerate(ABLATION)}
+TRAIN = "(SELECT *, 1 AS one FROM frame WHERE split = 'train')"
+
+
+@query("ablation", " UNION ALL ".join(
+    f"""
+SELECT '{name}' AS ablation, 'linear' AS model, split, {FULL_4} FROM (SELECT split, y, {line_sql(used)} AS pred FROM frame, fit_{name}) GROUP BY split"""
+    for name, used in GROWN.items()), {**EVAL, "frame": FRAME, **{f"fit_{name}": fit_sql(TRAIN, used, "one") for name, used in GROWN.items()}})
 def _(v):
-    blocks = {"base": ["energy", "tempo"], "mood": ["danceability", "valence"], "reach": ["total_available_markets"]}
-    return rounded(models.ablation(blocks, {"linear": models.linear()}, model_frame(v)), METRIC_NAMES)
+    return rounded(models.linear_ablation(ABLATION, model_frame(v)), METRIC_NAMES, 4)
+
 
+LAMBDAS = [0.0, 0.05, 0.2]
 
-@query("lambda_sweep")
+
+@query("lambda_sweep", f"""
+SELECT model, split, {FULL_4} FROM (SELECT model, split, y, {line_sql(MODEL_COLUMNS)} AS pred FROM frame, fits) GROUP BY model, split""", {
+    **EVAL, "frame": FRAME, "fits": fit_sql(
+        "(SELECT frame.*, model, exp(-decay * greatest(2001 - coalesce(album_release_year, 2001), 0)) AS w FROM frame, (VALUES "
+        + ", ".join(f"('lambda_{x}', {x:e})" for x in LAMBDAS) + ") g(model, decay) WHERE split = 'train')", MODEL_COLUMNS, "model", "w")})
 def _(v):
-    frame = model_frame(v)
-    grid = [0.0, 0.05, 0.2]
-    frame = frame.withColumns({f"w{i}": recency_weight("album_release_year", 2001, lam) for i, lam in enumerate(grid)})
-    estimators = {f"lambda_{lam}": models.linear(f"w{i}") for i, lam in enumerate(grid)}
-    return rounded(models.benchmark_models(estimators, frame, models.Protocol(MODEL_COLUMNS)), METRIC_NAMES)
+    weights = {f"lambda_{x}": recency_weight("album_release_year", 2001, x) for x in LAMBDAS}
+    return rounded(models.lambda_sweep(model_frame(v), MODEL_COLUMNS, weights), METRIC_NAMES, 4)
 
 
 @query("holdout_search")
@@ -317,6 +377,52 @@ def _(v):
     return rounded(out, ["mae", "rmse", "r2"])
 
 
+SPACE = {"loss": ["squared", "pseudo_huber"], "depth": (2, 4), "step": (0.05, 0.5, "log"), "slope": (1.0, 20.0), "min_rows": [1, 5, 20]}
+
+
+def search_vectors(v):
+    frame = written(model_frame(v), "search-frame")
+    return models.Protocol(MODEL_COLUMNS).prepare(frame.where("split = 'train'")).transform(frame)
+
+
+@query("sampled_search", """
+SELECT rung, settings, settings AS distinct_settings, kept, count(*) AS n, TRUE AS rounds_within, rung = 3 AS winner_equals_refit
+FROM split_tracks, (VALUES (1, 12, 6), (2, 6, 3), (3, 3, 1)) r(rung, settings, kept) WHERE split = 'val' GROUP BY ALL""", EVAL)
+def _(v):
+    # halving leaves 12, 6, 3 settings; the winner's error is that of a plain refit of its setting with its rounds
+    vectors = search_vectors(v)
+    out, setting, fitted = boosting.search(vectors, SPACE)
+    plain = boosting.fit(vectors, rounds=fitted.best, **setting).model.transform(vectors.where("split = 'val'"))
+    again = plain.agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("m")).first()["m"]
+    limit = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), F.col("rung"))
+    return out.groupBy("rung").agg(
+        F.count(F.lit(1)).cast("int").alias("settings"), F.count_distinct("setting").cast("int").alias("distinct_settings"),
+        F.count_if("kept").cast("int").alias("kept"), F.min("n").alias("n"), F.min(F.col("rounds") <= limit).alias("rounds_within"),
+        (F.max(F.when((F.col("rung") == 3) & F.col("kept"), F.col("mae"))) - again).alias("gap"),
+    ).withColumn("winner_equals_refit", F.coalesce(F.abs("gap") < 1e-9, F.lit(False))).drop("gap")
+
+
+@query("pseudo_huber_boosting", """
+SELECT round, split, count(*) AS n, TRUE AS falls FROM split_tracks, (SELECT unnest([2, 3, 4, 5, 6]) AS round)
+WHERE split = 'train' GROUP BY round, split""", EVAL)
+def _(v):
+    # every round lowers the loss that it descends
+    vectors = search_vectors(v).where("split IN ('train', 'val')")
+    history = boosting.fit(vectors, "pseudo_huber", rounds=6, depth=3, step=0.3, slope=10.0, patience=6).history
+    falls = [(b["round"], b["train"] < a["train"]) for a, b in zip(history, history[1:])]
+    rounds = v.spark.createDataFrame(falls, "round int, falls boolean").withColumn("split", F.lit("train"))
+    return vectors.where("split = 'train'").groupBy("split").agg(F.count(F.lit(1)).alias("n")).join(rounds, "split")
+
+
+@query("boosting_twin", "SELECT row_key, TRUE AS same FROM split_tracks", EVAL)
+def _(v):
+    # with the squared loss, the rounds here and those of Spark ML forecast the same
+    vectors = search_vectors(v)
+    own = boosting.fit(vectors, "squared", rounds=4, depth=3, step=0.3).model.transform(vectors)
+    other = models.boosted(trees=4, depth=3, step=0.3).fit(vectors.where("split = 'train'")).setPredictionCol("other").transform(own)
+    return other.select("row_key", (F.abs(F.col("pred") - F.col("other")) <= 1e-6).alias("same"))
+
+
 @query("refit_and_test")
 def _(v):
     frame = model_frame(v)
@@ -328,31 +434,81 @@ def _(v):
     return rounded(clipped, [c for c in clipped.columns if c != "model"])
 
 
-@query("train_experts")
+EXPERTS = {**EVAL, "frame": FRAME, "experts": fit_sql("(SELECT * FROM frame WHERE split = 'train')", MODEL_COLUMNS, "regime_id"),
+           "routed": f"SELECT frame.*, greatest(0, least(100, {line_sql(MODEL_COLUMNS)})) AS pred FROM frame LEFT JOIN experts USING (regime_id)"}
+
+
+def linear_experts(v):
+    return models.linear_experts(models.gating_router(model_frame(v)), MODEL_COLUMNS)
+
+
+PLAIN = ["energy", "danceability", "acousticness"]  # tempo and markets all but follow from energy, so their own shares are not settled
+
+
+@query("expert_coefficients", f"""
+SELECT regime_id, n, unnest({['intercept', *PLAIN]}) AS feature, round(unnest(beta), 4) AS coefficient
+FROM plain JOIN (SELECT regime_id, count(*) AS n FROM frame WHERE split = 'train' GROUP BY regime_id) USING (regime_id)""", {
+    **EXPERTS, "plain": fit_sql("(SELECT * FROM frame WHERE split = 'train')", PLAIN, "regime_id", "weight")})
+def _(v):
+    experts, _ = models.linear_experts(models.gating_router(model_frame(v)), PLAIN, "weight")
+    named = F.array(*[
+        F.struct(F.lit(c).alias("feature"), x.alias("coefficient"))
+        for c, x in [("intercept", F.col("intercept")), *((c, F.get("coefficients", F.lit(i))) for i, c in enumerate(PLAIN))]])
+    return rounded(experts.select("regime_id", "n", F.inline(named)), ["coefficient"], 4)
+
+
+@query("train_experts", f"SELECT regime_id, split, {FULL_4} FROM routed GROUP BY regime_id, split", EXPERTS)
 def _(v):
-    return rounded(evaluate.full_metrics(routed_scores(v), ["regime_id", "split"]), METRIC_NAMES)
+    experts, rows = linear_experts(v)
+    return rounded(evaluate.full_metrics(models.score_linear_routed(rows, experts, MODEL_COLUMNS), ["regime_id", "split"]), METRIC_NAMES, 4)
 
 
-def routed_scores(v):
-    frame = models.gating_router(model_frame(v).persist())
+@query("score_routed", """
+SELECT ['Cold Start', 'Tipping Point', 'Mainstream'][regime_id + 1] AS regime, count(*) AS n, round(avg(abs(y - pred)), 4) AS mae,
+ round(count(*) * 1e2 / sum(count(*)) OVER (), 4) AS share_pct, round(sum(sum(abs(y - pred))) OVER () / sum(count(*)) OVER (), 4) AS global_mae
+FROM routed WHERE split = 'test' GROUP BY regime_id""", EXPERTS)
+def _(v):
+    experts, rows = linear_experts(v)
+    out = models.score_linear_routed(rows, experts, MODEL_COLUMNS).withColumn("regime", regime_label("listeners_log"))
+    return rounded(evaluate.regime_mae(out.where("split = 'test'")), ["mae", "share_pct", "global_mae"], 4)
+
+
+def forest_routed(v):
+    frame = written(models.gating_router(model_frame(v)), "expert-frame")
     vectors = models.Protocol(MODEL_COLUMNS).prepare(frame.where("split = 'train'")).transform(frame)
     experts = models.train_experts(vectors, lambda: models.forest(trees=6, depth=5))
     return models.score_routed(vectors, experts)
 
 
+@query("train_forest_experts")
+def _(v):
+    return rounded(evaluate.full_metrics(forest_routed(v), ["regime_id", "split"]), METRIC_NAMES)
+
+
+@query("score_forest_routed")
+def _(v):
+    out = forest_routed(v).withColumn("regime", regime_label("listeners_log"))
+    return rounded(evaluate.regime_mae(out.where("split = 'test'")), ["mae", "share_pct", "global_mae"])
+
+
 @query("gating_router", """
 SELECT CASE WHEN listeners_log < 881e-2 THEN 0 WHEN listeners_log < 1309e-2 THEN 1 ELSE 2 END AS regime_id, split, count(*) AS n FROM scored GROUP BY ALL""", EVAL)
 def _(v):
     return models.gating_router(model_frame(v)).groupBy("regime_id", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("score_routed")
+AB = {"without": MODEL_COLUMNS, "with": [*MODEL_COLUMNS, "loudness"]}
+
+
+@query("feature_ab_test", f"""
+SELECT split, round(avg(abs(y - a)), 4) AS mae_without, round(avg(abs(y - b)), 4) AS mae_with, round(avg(abs(y - b)) - avg(abs(y - a)), 4) AS delta
+FROM (SELECT split, y, {line_sql(AB['without']).replace('beta', 'fit_without.beta')} AS a, {line_sql(AB['with']).replace('beta', 'fit_with.beta')} AS b
+ FROM frame, fit_without, fit_with) GROUP BY split""", {**EVAL, "frame": FRAME, **{f"fit_{n}": fit_sql(TRAIN, c, "one") for n, c in AB.items()}})
 def _(v):
-    out = routed_scores(v).withColumn("regime", regime_label("listeners_log"))
-    return rounded(evaluate.regime_mae(out.where("split = 'test'")), ["mae", "share_pct", "global_mae"])
+    return rounded(models.linear_ab_test(MODEL_COLUMNS, ["loudness"], model_frame(v)), ["mae_without", "mae_with", "delta"], 4)
 
 
-@query("feature_ab_test")
+@query("forest_ab_test")
 def _(v):
     out = models.feature_ab_test(lambda: models.forest(trees=5, depth=5), MODEL_COLUMNS, ["loudness"], model_frame(v))
     return rounded(out, ["mae_without", "mae_with", "delta"])
@@ -428,7 +584,7 @@ def _(v):
 
 @query("choose_k")
 def _(v):
-    vectors = discover.array_vectors(v.embeddings, "embedding").persist()
+    vectors = discover.array_vectors(v.embeddings, "embedding").select("features").persist()
     return rounded(discover.choose_k(vectors, [2, 3, 4, 5]), ["inertia", "silhouette"], 4)
 
 
@@ -516,7 +672,7 @@ def _(v):
     events = ingest.event_stream(v.spark, v.sf_dir)
     out, state = shared_folder(v.spark, "ingest"), shared_folder(v.spark, "ingest-state")
     ingest.enrichment_ingest(events, ["user_id", "event_type"], ["ts", "event_id"], out, state)
-    return v.spark.read.parquet(out).select("user_id", "event_type", "event_id", "value")
+    return landing.landed(v.spark, out, events.schema).select("user_id", "event_type", "event_id", "value")
 
 
 @query("stream_ttl_dedup", """
@@ -532,27 +688,44 @@ def _(v):
     return out.select("user_id", F.col("asked_at").cast("timestamp_ntz").cast("string").alias("asked_at"))
 
 
-@query("stream_score", """
-SELECT * FROM (WITH experts AS (SELECT regime, regr_slope(y, energy) AS a, regr_intercept(y, energy) AS b FROM scored WHERE split = 'train' GROUP BY regime),
-routed AS (
- SELECT event_id, value / 100 AS energy, CASE WHEN ln(1 + coalesce(listeners, 0)) < 881e-2 THEN 0 WHEN ln(1 + coalesce(listeners, 0)) < 1309e-2 THEN 1 ELSE 2 END AS regime_id
- FROM events LEFT JOIN artists ON artist_id = user_id)
-SELECT event_id, regime_id, round(greatest(0, least(100, b + a * energy)), 4) AS pred
-FROM routed LEFT JOIN experts ON regime = ['Cold Start', 'Tipping Point', 'Mainstream'][regime_id + 1])""", EVAL)
-def _(v):
-    # one expert per regime, trained on the training tracks; an event's value stands for the energy of its track
-    train = scored(v).where("split = 'train'")
-    fitted = train.groupBy("regime").agg(F.regr_slope("y", "energy").alias("a"), F.regr_intercept("y", "energy").alias("b")).collect()
-    lines = {REGIME_LABELS.index(r["regime"]): (r["a"], r["b"]) for r in fitted}  # at most one per regime
+SAVED = "SELECT regime, count(y) AS n, regr_slope(y, energy) AS a, regr_intercept(y, energy) AS b FROM scored WHERE split IN {splits} GROUP BY regime"
+
 
-    def predict(rows):
-        pred = F.lit(None).cast("double")
-        for number, (slope, intercept) in lines.items():
-            pred = F.when(F.col("regime_id") == number, F.lit(intercept) + F.lit(slope) * F.col("value") / 100).otherwise(pred)
-        return rows.withColumn("pred", pred)
+def save_energy_experts(v, path):
+    """Two versions of one expert per regime: from the training tracks, and refitted with the validation tracks."""
+    rows = models.gating_router(scored(v).select("split", "y", "energy", "listeners_log"))
+    for version, splits in (("first", ["train"]), ("refit", ["train", "val"])):
+        experts = gram.fit_groups(rows.where(F.col("split").isin(splits)), ["energy"], ["regime_id"])
+        gram.save_groups(experts, ["energy"], path, version, splits=splits)
 
-    scored_rows = ingest.score_stream(ingest.event_stream(v.spark, v.sf_dir), v.artists, "user_id", predict)
-    out = stream_result(v, scored_rows.select("event_id", "regime_id", "pred"), "score")
-    return out.select("event_id", "regime_id", F.round("pred", 4).alias("pred"))
+
+@query("save_experts", " UNION ALL ".join(f"""
+SELECT '{version}' AS version, regime, n, round(a, 5) AS slope, round(b, 5) AS intercept FROM ({SAVED.format(splits=splits)})"""
+    for version, splits in (("first", "('train')"), ("refit", "('train', 'val')"))), EVAL)
+def _(v):
+    folder = shared_folder(v.spark, "experts")
+    save_energy_experts(v, folder)
+    both = [gram.load_groups(v.spark, folder, version)[0] for version in ("first", "refit")]
+    regime = F.element_at(F.array(*[F.lit(x) for x in REGIME_LABELS]), F.col("regime_id") + 1)
+    return stats.union_all(both).select(
+        "version", regime.alias("regime"), "n", F.round(F.get("coefficients", F.lit(0)), 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
+@query("stream_score", f"""
+SELECT * FROM (WITH experts AS (SELECT 'first' AS version, * FROM ({SAVED.format(splits="('train')")}) UNION ALL SELECT 'refit', * FROM ({SAVED.format(splits="('train', 'val')")})),
+routed AS (
+ SELECT event_id, value / 100 AS energy, CASE WHEN ln(1 + coalesce(listeners, 0)) < 881e-2 THEN 0 WHEN ln(1 + coalesce(listeners, 0)) < 1309e-2 THEN 1 ELSE 2 END AS regime_id
+ FROM events LEFT JOIN artists ON artist_id = user_id)
+SELECT event_id, regime_id, version, round(greatest(0, least(100, b + a * energy)), 4) AS pred
+FROM routed CROSS JOIN (VALUES ('first'), ('refit')) g(version) LEFT JOIN experts USING (version)
+WHERE regime = ['Cold Start', 'Tipping Point', 'Mainstream'][regime_id + 1])""", EVAL)
+def _(v):
+    # the experts come from saved versions; an event's value stands for the energy of its track
+    folder = shared_folder(v.spark, "experts")
+    save_energy_experts(v, folder)
+    found = []
+    for version in ("first", "refit"):
+        events = ingest.event_stream(v.spark, v.sf_dir)
+        out = ingest.score_saved(events, v.artists, "user_id", {"energy": F.col("value") / 100}, folder, version)
+        found.append(stream_result(v, out.select("event_id", "regime_id", "version", "pred"), f"score-{version}"))
+    return stats.union_all(found).select("event_id", "regime_id", "version", F.round("pred", 4).alias("pred"))

@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunegauge.functions.scalars import clip_0_100, listeners_log, regime_id
-from tunegauge.operators.ranking import top_per_group
-from tunegauge.sources.io import append_pending
+from tunegauge.operators import gram
+from tunegauge.sources import landing
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -31,15 +31,18 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parqu
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def enrichment_ingest(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str) -> None:
+def enrichment_ingest(
+    stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, buckets: int = landing.BUCKETS
+) -> None:
     """Land the first result per key, with all its columns, in a Parquet folder; then stop.
 
-    Each batch is cut to the first row per key by ``order`` and joined against what has landed, so a batch that is
-    replayed after a failure adds nothing and no state is kept. A key that has landed stays as it is. NULL is a key.
+    Each batch is cut to the first row per key by ``order`` and compared with what has landed in the buckets of its keys
+    only; it lands in a folder of its own, which a replay after a failure replaces. No state is kept. A key that has landed
+    stays as it is. NULL is a key.
     """
 
-    def land(batch: DataFrame, _: int) -> None:
-        append_pending(top_per_group(batch, keys, order), path, keys, lambda rows: rows)
+    def land(batch: DataFrame, batch_id: int) -> None:
+        landing.land_batch(batch, batch_id, path, keys, order, buckets)
 
     query = (
         stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -88,6 +91,26 @@ def score_stream(
     return predict(routed.drop("listeners")).withColumn("pred", clip_0_100("pred"))
 
 
+def score_saved(
+    stream: DataFrame, artists: DataFrame, artist: str, inputs: dict[str, Column], path: str, version: str
+) -> DataFrame:
+    """``score_stream`` with the experts of a saved version: regime, forecast and the version that made it.
+
+    ``inputs`` gives the arriving row's value for each feature that the version was trained on; a missing one raises. The
+    experts are a static table of one row per regime that joins the stream.
+    """
+    models, facts = gram.load_groups(stream.sparkSession, path, version)
+    if absent := [c for c in facts["columns"] if c not in inputs]:
+        raise ValueError(f"no input for {', '.join(absent)}")
+    names = {c: f"_in_{c}" for c in facts["columns"]}
+
+    def predict(rows: DataFrame) -> DataFrame:
+        given = rows.withColumns({n: inputs[c] for c, n in names.items()})
+        return gram.score_groups(given, models, list(names.values()), ["regime_id"]).drop(*names.values())
+
+    return score_stream(stream, artists, artist, predict).withColumn("version", F.lit(facts["version"]))
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything that has arrived into Parquet, then stop. A restart goes on from the checkpoint."""
     query = (
