@@ -105,8 +105,8 @@ def failures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part:
     given = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(given, SEPARATORS), "")
     capitals = F.octet_length(given) - F.octet_length(F.regexp_replace(given, "[A-Z]+", ""))
-    n, different = F.size(words), F.size(F.array_distinct(words))
-    bits = {1: n < 50, 2: 100 * different < 65 * n, 4: 100 * capitals > 5 * F.length(given), 8: given.rlike(r"[#$%&*|]")}
+    n, different = F.size(words).cast("long"), F.size(F.array_distinct(words)).cast("long")
+    bits = {1: n < 50, 2: 100 * different < 65 * n, 4: 100 * capitals.cast("long") > 5 * F.length(given).cast("long"), 8: given.rlike(r"[#$%&*|]")}
     mask = sum((F.when(c, b).otherwise(0) for b, c in bits.items()), F.lit(0))
     own = stored(docs.select(
         F.col(doc_id).alias("id"), F.coalesce(F.col(part), F.lit("")).alias("part"), mask.alias("mask"),
@@ -122,7 +122,7 @@ def failures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part:
 def filter_audit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
     """``interactions`` of the filters of ``failures``, with the documents that labels call good (quality 1) or toxic (1).
 
-    A document without a label, or with null labels, counts as neither; of several labels for an id any one is enough.
+    A document without a label, with null labels or a null id counts as neither; of several labels for an id any one is enough.
     """
     known = labels.groupBy(F.col(doc_id).alias("_labelled")).agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"),

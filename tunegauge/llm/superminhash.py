@@ -5,10 +5,11 @@ its register at place j the value j plus a random fraction, and a register keeps
 offers are correlated, registers fill more evenly than under independent hashes, and estimates vary less. As soon as all
 registers of a text hold less than the next level, further levels cannot change them and are left out.
 
-Texts of equal shingle sets are one node. Nodes that share the registers of a band share a bucket. Every node is verified
-against the bucket lead that it shares most bands with. Nodes of buckets that then still hold several components are joined on
-their rarest shingles: of two sets that are similar enough, each has one of the other's among its rarest, so this misses none
-of their links, no bucket is ever compared pair by pair, and hot values are spread by the join.
+Texts of equal shingle sets are one node; nodes that share the registers of a band share a bucket. Every member of a bucket is
+verified against its lead, the member that shares most buckets, and those that are unlike it against a second lead. What is
+left are pairs of one bucket of which at least one is unlike the lead. Their distance follows from where each differs from the
+lead, and if they are similar, enough of these differences are common. So they meet in an equality join on a few of the
+differences, which proposes all similar pairs and few others: no bucket is ever compared pair by pair.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ REGISTERS = BANDS * ROWS
 HELD, TEXTS = 1 << 16, 512
 #: Members of a lead that are verified under one key; a lead with more has its set sent under several.
 SPREAD = 1000
+#: Bits of the number of marks that sieve the sets to keep: 2^26 marks are 8 MB.
+MARKS = 26
 STEP = 0x9E3779B97F4A7C15
 _STEP, _A, _B = np.uint64(STEP), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -140,23 +143,36 @@ def sketched(docs: DataFrame, id: str, text: str, width: int = 3, seed: int = 42
     return stored(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema), "sketches")
 
 
+def marks(nodes: DataFrame) -> np.ndarray:
+    """A bit for each wanted node, folded to a fixed number of bits: a first sieve that lets all wanted nodes pass."""
+    at = nodes.select((F.col("node").bitwiseAND((1 << MARKS) - 1)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << MARKS - 6, dtype=np.int64)
+    for word, bits in words.collect():  # at most 2^(MARKS - 6) rows, whatever the data
+        out[word] = bits
+    return out.view(np.uint8)
+
+
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """Stored (node, found): the shingles of each wanted node, once. Texts are read again, so that no table of all sets is kept."""
+    sent = docs.sparkSession.sparkContext.broadcast(marks(wanted))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(seed)
+        known, bits = Words(seed), sent.value
         for batch in slices(batches):
             sets = [shingles(t, width, known) for t in batch.column(0).to_pylist()]
+            nodes = np.array([node_of(s) for s in sets], dtype=np.int64)
+            at = nodes & ((1 << MARKS) - 1)
+            some = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["node", "found"])
+                [pa.array(nodes[some]), pa.array([sets[i].view(np.int64) for i in some], pa.list_(pa.int64()))], names=["node", "found"])
 
     every = docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, found array<long>")
     return stored(every.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found")), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Stored links (a, b): a forest per task over those ``pairs`` (a, b) whose sets are similar enough, in percent.
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored ``pairs`` (a, b) as (a, b, one, two) with the sets of both.
 
     A node ``a`` of many pairs has its set copied under several keys, each for a bounded number of pairs on average.
     """
@@ -165,6 +181,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     one = sets.join(ways.withColumnRenamed("a", "node"), "node").select(
         F.col("node").alias("a"), F.col("found").alias("one"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
     two = some.select("a", "b", "way").join(sets.select(F.col("node").alias("b"), F.col("found").alias("two")), "b")
+    return two.join(one, ["a", "way"]).select("a", "b", "one", "two")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Stored links (a, b): a forest per task over those ``pairs`` (a, b) whose sets are similar enough, in percent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -180,52 +201,88 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
                 forest = Forest()
         yield forest.batch()
 
-    return stored(two.join(one, ["a", "way"]).select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "verified")
+    return stored(with_sets(pairs, sets).mapInArrow(run, "a long, b long"), "verified")
+
+
+def differences(lead: np.ndarray, own: np.ndarray, least: int) -> tuple[bool, np.ndarray, int, int]:
+    """Whether two sets link; where ``own`` differs from ``lead``, in an order that is the same for all; how much of it to look up.
+
+    What it adds comes first, then what it lacks. Write d for the number of differences, and t for the share of two sizes
+    up to which differences keep a link. A set that links with another one x, itself not linked with the lead, has at
+    least (d + t (size of lead - own size)) / 2 differences in common with x, as x has over t (its size + size of lead).
+    Any two sets that link have at least d - t (own size + largest size that can link) in common. If two sets of d
+    differences have c in common, one of them is among the first d - c + 1 of each: these numbers come third (the other
+    one is not linked with the lead) and fourth (the other one may be).
+    """
+    adds, lacks = np.setdiff1d(own, lead, assume_unique=True), np.setdiff1d(lead, own, assume_unique=True)
+    d, both = len(adds) + len(lacks), len(own) - len(adds)
+    linked = 100 * both >= least * (len(own) + len(lead) - both)
+    # in whole numbers: t is (100 - least) / (100 + least), and the largest partner has 100 / least of the own size
+    whole, part = 100 + least, 100 - least
+    any_ = max(1, -(-(d * least - part * len(own)) // least))
+    far = max(1, any_, -(-(d * whole + part * (len(lead) - len(own))) // (2 * whole)))
+    ordered = np.concatenate([adds, lacks])
+    return linked, ordered, max(0, d - far + 1), max(0, d - any_ + 1)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Stored (a, b, n, linked, to_far, to_any, first) of each pair of a lead a and a member b of size n: see ``differences``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [differences(x.values.to_numpy(), y.values.to_numpy(), least) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([len(y) for y in batch.column(3)], pa.int64()), pa.array([f[0] for f in found], pa.bool_()),
+                pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()),
+                pa.array([f[1][: max(f[2:])] for f in found], pa.list_(pa.int64())),
+            ], names=["a", "b", "n", "linked", "to_far", "to_any", "first"])
+
+    return stored(with_sets(pairs, sets).mapInArrow(run, "a long, b long, n long, linked boolean, to_far int, to_any int, first array<long>"), "compared")
 
 
-def rare_pairs(sets: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Stored candidate pairs (a, b) among the nodes of ``roots`` (node, root) with different roots, none similar enough left out.
+def common_differences(seen: DataFrame, roots: DataFrame, least: int, inside: bool) -> DataFrame:
+    """Pairs (a, b) of members of one lead, of different roots, with a common difference among those to look up.
 
-    A set's shingles are put in one order for all, the rarest first. If two sets share the part t of their union, the first
-    shingle that both hold stands so early in each that what follows can still make up the overlap they need.
+    One of the two is outside the lead's component. The other one is in it (``inside``), or anywhere.
     """
-    own = stored(sets.join(roots, "node").select("node", "root", F.size("found").cast("long").alias("n"), "found"), "unresolved")
-    each = own.select("node", F.explode("found").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    # a shingle of one node only comes before all others and proposes nothing: its count is all that is needed
-    shared = each.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
-    prefix = own.select("node", "root", "n").join(shared, "node").select("node", "root", "n", F.posexplode("rare").alias("at", "r"), F.size("rare").alias("m"))
-    prefix = prefix.withColumn("at", F.col("n") - F.col("m") + F.col("at"))
-    # the shorter set of a pair needs least % of its own shingles, so none that starts later can be the first that both hold
-    prefix = prefix.filter(100 * (F.col("n") - F.col("at")) >= least * F.col("n")).select("node", "root", "n", "at", F.col("r.shingle").alias("shingle"))
-    prefix = stored(prefix, "rare-shingles")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    needed = least * (F.col("a.n") + F.col("b.n"))  # (100 + least) times the overlap that a pair needs
-    reach = (100 + least) * F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-                   & (100 * F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n")) & (reach >= needed))
-    return stored(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "rare-pairs")
+    own = seen.join(roots.select(F.col("node").alias("b"), F.col("root").alias("of_b")), "b", "left")
+    own = own.join(roots.select(F.col("node").alias("a"), F.col("root").alias("of_a")), "a", "left")
+    own = own.withColumns({"root": F.coalesce("of_b", "b"), "lead_root": F.coalesce("of_a", "a")})
+    at = lambda rows, upto: rows.select("a", "b", "n", "root", F.explode(F.slice("first", F.lit(1), F.col(upto))).alias("at"))
+    x = at(own.filter("root <> lead_root"), "to_any").alias("x")
+    y = at(own.filter("root = lead_root") if inside else own, "to_far").alias("y")
+    alike = 100 * F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
+    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.root") != F.col("y.root")) & alike)
+    return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
 
 
 def links(docs: DataFrame, text: str, nodes: DataFrame, least: int = 85, width: int = 3, seed: int = 42) -> DataFrame:
     """Stored links (a, b) that connect all nodes (node, n, keys) that share a bucket and are similar enough."""
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
-    leads = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "key").alias("o"), "node", "n")).alias("lead"))
-    leads = stored(leads.filter("size > 1").select("key", F.col("lead.node").alias("a"), F.col("lead.n").alias("a_n")), "leads")
-    members = stored(members.join(leads, "key"), "buckets")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = stored(members.join(sizes, "key").select("key", "node", "n", "size"), "buckets")
+    weight = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+
+    def led(rows: DataFrame, name: str) -> DataFrame:
+        top = rows.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("lead"))
+        return stored(rows.join(top, "key").select("key", "node", "n", "size", F.col("lead.node").alias("a"), F.col("lead.n").alias("a_n")).filter("node <> a"), name)
+
     alike = 100 * F.least("n", "a_n") >= least * F.greatest("n", "a_n")
-    best = members.filter((F.col("node") != F.col("a")) & alike).groupBy("node", "a").agg(F.count("*").alias("bands"))
-    best = best.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("bands", "a")).alias("a"))
-    sets = sets_of(docs, text, members.select("node").distinct(), width, seed)
-    near = verified(stored(best.select("a", "b"), "lead-pairs"), sets, least)
-    joined = components(near)
-    rooted = members.select("node", "key").join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted, "rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    roots = stored(rooted.join(apart, "key", "left_semi").select("node", "root").distinct(), "unresolved-nodes")
-    if roots.isEmpty():
-        return near
-    return stored(near.union(verified(rare_pairs(sets, roots, least), sets, least)), "all-links")
+    first = led(shared, "led")
+    pairs = stored(first.filter((F.col("size") > 2) | alike).select("a", F.col("node").alias("b")).distinct(), "lead-pairs")
+    sets = sets_of(docs, text, stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"), width, seed)
+    one = compared(pairs, sets, least)
+    # members unlike the lead of their bucket, where it has two of them or more
+    unlike = one.filter("not linked").select("a", F.col("b").alias("node"))
+    left = stored(first.filter("size > 2").join(unlike, ["a", "node"], "left_semi").select("key", "node", "n"), "unlike")
+    more = left.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    second = led(left.join(more, "key").select("key", "node", "n", "size"), "led-again")
+    two = compared(stored(second.select("a", F.col("node").alias("b")).distinct(), "second-pairs"), sets, least)
+    near = stored(one.filter("linked").select("a", "b").union(two.filter("linked").select("a", "b")), "lead-links")
+    roots = stored(components(near), "lead-roots")
+    rest = common_differences(one, roots, least, True).union(common_differences(two, roots, least, False))
+    rest = stored(rest.distinct(), "candidates")
+    return near if rest.isEmpty() else stored(near.union(verified(rest, sets, least)), "all-links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 85, width: int = 3, seed: int = 42) -> DataFrame:
