@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from tunegauge.operators import boosting, gram, models
+from tunegauge.operators import boosting, discover, gram, models, stats
 from tunegauge.session import shared_folder
 from tunegauge.sources import landing
 from tunegauge.streaming import ingest
@@ -142,6 +142,38 @@ def test_search_halves_and_its_winner_is_a_plain_fit(vectors):
     assert plain.agg(F.avg(F.abs(F.col("y") - F.col("pred")))).first()[0] == pytest.approx(rows[4]["mae"], rel=1e-12)
 
 
+def test_tree_contributions_add_up_to_the_forecast(vectors):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    train = vectors.where("split = 'train'")
+    kinds = {
+        "tree": DecisionTreeRegressor(labelCol="y", predictionCol="pred", maxDepth=4).fit(train),
+        "forest": models.forest(trees=4, depth=4).fit(train), "boosted": boosting.fit(vectors, rounds=4, depth=3).model}
+    for name, model in kinds.items():
+        out = discover.tree_contributions(model.transform(vectors), model, COLUMNS)
+        assert out.where("abs(base + c_a + c_b + c_c - pred) > 1e-9").count() == 0, name
+        assert out.agg(F.stddev("c_b")).first()[0] > 0 and out.columns[-4:] == ["base", "c_a", "c_b", "c_c"]
+
+
+def test_block_correlations_with_missing_and_constant_columns(spark):
+    rng = np.random.default_rng(5)
+    data = rng.normal(1e6, 1.0, (500, 6))
+    data[:, 1] += 0.5 * data[:, 0]
+    data[:, 5] = 3.0
+    cells = [[None if (rng.random() < 0.2 and j < 4) else float(x) for j, x in enumerate(row)] for row in data]
+    frame = spark.createDataFrame(cells, ", ".join(f"x{j} double" for j in range(6))).repartition(7)
+    got = {(r["feature_1"], r["feature_2"]): r["corr"] for r in stats.correlation_pairs(frame, [f"x{j}" for j in range(6)]).collect()}
+    want = {}
+    for i in range(5):
+        for j in range(i + 1, 5):
+            both = np.array([(r[i], r[j]) for r in cells if r[i] is not None and r[j] is not None])
+            want[f"x{i}", f"x{j}"] = np.corrcoef(both.T)[0, 1]
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+    wide = spark.range(50).select(*[(F.col("id") * (j + 1) % 7).cast("double").alias(f"c{j}") for j in range(80)])
+    plan = stats.correlation_pairs(wide, wide.columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sum(") < 100
+
+
 # ---- landing -------------------------------------------------------------------------------------------------------
 
 def events(spark, rows):

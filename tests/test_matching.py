@@ -60,6 +60,48 @@ def test_best_contained_equals_choice_over_all_hits(music):
     assert fast == slow and fast
 
 
+def test_requests_that_name_an_album_take_any_variant(music):
+    _, asks, catalog_rows, requests = music
+    given = requests.withColumn("album_given", F.when(F.col("request") < "r20", F.col("request") < "r10"))
+    hits = match.title_contains_join(given, catalog_rows).join(given.select("request", "album_given"), "request")
+    slow = {(r["request"], r["track_key"]) for r in catalog.canonical_track_choice(hits).collect()}
+    index = match.catalog_index(catalog_rows)
+    fast = {(r["request"], r["track_key"]) for r in match.best_contained(given, index).collect()}
+    plain = {(r["request"], r["track_key"]) for r in match.best_contained(requests, index).collect()}
+    assert fast == slow and fast != plain and {x for x in fast if x[0] >= "r10"} == {x for x in plain if x[0] >= "r10"}
+
+
+def test_oldest_contained(music):
+    rows, asks, catalog_rows, requests = music
+    years = {k: (None if i % 5 == 0 else 1950 + i * 7 % 60) for i, (k, *_) in enumerate(rows)}
+    known = catalog_rows.withColumn("year", F.when(F.substring("track_key", 2, 3).cast("int") % 5 != 0, 1950 + F.substring("track_key", 2, 3).cast("int") * 7 % 60))
+    wanted = {}
+    for request, key, *_ in accepted(rows, asks):
+        wanted[request] = min((y for y in (wanted.get(request), years[key]) if y is not None), default=None)
+    assert {r["request"]: r["oldest_year"] for r in match.oldest_contained(requests, known).collect()} == wanted
+
+
+def test_inner_texts(spark):
+    got = match.inner_texts(spark.createDataFrame([(h,) for h in HAYS], "hay string"), spark.createDataFrame([(n,) for n in NEEDLES], "needle string"))
+    assert {(r["needle"], r["hay"]) for r in got.collect()} == {(n, h) for n, h in itertools.product(NEEDLES, HAYS) if n and n in h}
+
+
+def test_deep_scan_in_both_directions_and_ways(spark):
+    rng = random.Random(11)
+    words = ["love", "me", "do", "sky", "a", "live", "ox"]
+    title = lambda: " ".join(rng.choices(words, k=rng.randint(1, 4)))
+    rows = [(f"k{i:04}", rng.choice(["Hot", "Hot", "Ann", "Bob", "Cy"]), title(), rng.choice([None, 0, 1, 2, 3])) for i in range(300)]
+    asks = [(f"r{i:03}", rng.choice(["Hot", "Ann", "Bob", "Cy", "None", None]), rng.choice([title(), title(), "a", "ox", "", None])) for i in range(120)]
+    frame = spark.createDataFrame(rows, "track_key string, artist_name string, title string, popularity int")
+    wanted = {}
+    for r, artist, t in asks:
+        found = [(-(p or 0), k) for k, own, title_, p in rows if own == artist and t and (t.lower() in title_ or title_ in t.lower())]
+        if found:
+            wanted[r] = (min(found)[1], -min(found)[0])
+    got = match.deep_scan_best(spark.createDataFrame(asks, "request string, artist_name string, title_query string"), frame).collect()
+    assert {r["request"]: (r["track_key"], r["popularity"]) for r in got} == wanted
+
+
 def python_score(query, candidate):
     q, c = query.lower(), candidate.lower()
     if q == c:

@@ -106,3 +106,15 @@ def test_recency_policies(spark):
     assert row["n"] is None and abs(row["m"] - 2.718281828 ** -0.5) < 1e-6 and row["c"] == 1.0
     with pytest.raises(Exception, match="missing year"):
         frame.select(scalars.recency_weight("y", 2020, null_policy="error").alias("e")).collect()
+
+
+def test_every_letter_is_folded_like_its_decomposition(spark):
+    """All code points up to U+FFFF and some above, alone and in a name."""
+
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF] + [chr(c) for c in range(0x1D400, 0x1D480)] + [chr(0x1F600)]
+    frame = spark.createDataFrame([(c, f"a{c}b") for c in chars] + [(None, None)], "c string, name string").repartition(8)
+    got = frame.select("c", text.fold_accents("c").alias("one"), text.fold_accents("name").alias("two")).collect()
+    fold = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    wrong = [r for r in got if r["c"] is not None and (r["one"] != fold(r["c"]) or r["two"] != fold(f"a{r['c']}b"))]
+    assert not wrong, [(hex(ord(r["c"])), r["one"], fold(r["c"])) for r in wrong[:5]]
+    assert [r["one"] for r in got if r["c"] is None] == [None]

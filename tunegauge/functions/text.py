@@ -6,7 +6,6 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +37,12 @@ def normalize_basic_text(text: str | Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _folds() -> tuple[str, str, str]:
-    """Single-letter accent folds (from, to) and the marks to drop, built from the Unicode character data."""
-    source, target, marks = [], [], []
+def _folds() -> tuple[str, str, str, list[tuple[str, str]]]:
+    """Accent folds from the Unicode character data: single letters (from, to), marks to drop, and expansions.
+
+    An expansion of n letters is in the first n pairs (from, to) of the list: pair k gives the kth letter.
+    """
+    source, target, marks, longer = [], [], [], []
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         if unicodedata.combining(char):
@@ -50,27 +52,52 @@ def _folds() -> tuple[str, str, str]:
         if len(plain) == 1 and plain != char:
             source.append(char)
             target.append(plain)
-    return "".join(source), "".join(target), "".join(marks)
-
-
-def fold_accents(text: str | Column, exact: bool = False) -> Column:
-    """Drop accents. ``exact=True`` also expands ligatures and composed scripts, in an Arrow batch function."""
-    if exact:
-
-        def fold(values: pd.Series) -> pd.Series:
-            forms = values.fillna("").str.normalize("NFKD")
-            plain = forms.map(lambda v: "".join(c for c in v if not unicodedata.combining(c)))
-            return plain.where(values.notna(), None)
-
-        return F.pandas_udf(fold, "string")(col(text))
-    source, target, marks = _folds()
+        elif not plain:
+            marks.append(char)
+        elif len(plain) > 1:
+            longer.append((char, plain))
+    pairs = []
+    for k in range(max(len(plain) for _, plain in longer)):
+        some = [(char, plain[k]) for char, plain in longer if len(plain) > k]
+        pairs.append(("".join(c for c, _ in some), "".join(x for _, x in some)))
+    return "".join(source), "".join(target), "".join(marks), pairs
+
+
+def _ranges(chars: str) -> str:
+    """A character class of the given characters."""
+    codes, parts = sorted(map(ord, chars)), []
+    for code in codes:
+        if parts and code == parts[-1][1] + 1:
+            parts[-1][1] = code
+        else:
+            parts.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in parts) + "]"
+
+
+def fold_accents(text: str | Column) -> Column:
+    """Drop accents, and write ligatures, fractions and composed scripts letter by letter (compatibility decomposition).
+
+    Only texts that hold a character of several letters are taken apart.
+    """
+    source, target, marks, pairs = _folds()
+    given, first = col(text), pairs[0]
+    every = "".join(sorted(set(first[0])))
+
+    def spelled(char: Column) -> Column:
+        letters = [F.translate(char, *first)]
+        for chars, letter in pairs[1:]:  # characters without a kth letter have no letter here: all others are deleted
+            letters.append(F.when(F.lit(chars).contains(char), F.translate(char, chars, letter)).otherwise(""))
+        return F.concat(*letters)
+
+    apart = F.transform(F.sequence(F.lit(1), F.length(given)), lambda i: F.substring(given, i, F.lit(1)))
+    whole = F.array_join(F.transform(apart, lambda c: F.when(F.lit(every).contains(c), spelled(c)).otherwise(c)), "")
     # characters of ``marks`` have no counterpart in the replacement, so translate deletes them
-    return F.translate(col(text), source + marks, target)
+    return F.translate(F.when(given.rlike(_ranges(every)), whole).otherwise(given), source + marks, target)
 
 
-def normalize_artist_name(name: str | Column, exact: bool = False) -> Column:
+def normalize_artist_name(name: str | Column) -> Column:
     """Accent-free lower-case words of an artist name; a missing name becomes ''."""
-    return words_only(fold_accents(F.lower(F.trim(F.coalesce(col(name), F.lit("")))), exact))
+    return words_only(fold_accents(F.lower(F.trim(F.coalesce(col(name), F.lit(""))))))
 
 
 def tokens(normalized: str | Column) -> Column:

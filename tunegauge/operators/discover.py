@@ -6,7 +6,7 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import text_hash
@@ -65,6 +65,45 @@ def linear_contributions(df: DataFrame, coefficients: dict[str, float], means: d
     })
 
 
+def _tree_paths(node, values: Column, size: int) -> tuple[float, Column]:
+    """(mean at the root, array of what each feature adds to it on a row's way down a fitted tree)."""
+
+    def walk(at, added: list[float]) -> Column:
+        if at.getClass().getSimpleName() == "LeafNode":
+            return F.lit(added)
+        split, here = at.split(), at.prediction()
+        feature, sides = split.featureIndex(), []
+        for child in (at.leftChild(), at.rightChild()):
+            more = list(added)
+            more[feature] += child.prediction() - here
+            sides.append(walk(child, more))
+        return F.when(values[feature] <= F.lit(split.threshold()), sides[0]).otherwise(sides[1])
+
+    return node.prediction(), walk(node, [0.0] * size)
+
+
+def tree_contributions(df: DataFrame, model, columns: list[str], features: str = "features") -> DataFrame:
+    """``base`` and ``c_<feature>`` of a fitted tree, forest or boosted model; they add up to its forecast, row by row.
+
+    On the way down a tree, the split on a feature changes the mean of the training rows below; the changes are the
+    feature's contribution. A leaf settles all of them, so a tree is one nested condition over literal arrays.
+    """
+    kind = type(model).__name__
+    if kind.startswith("DecisionTree"):
+        trees, weights = [model], [1.0]
+    else:
+        trees = model.trees
+        weights = [1.0 / len(trees)] * len(trees) if kind.startswith("RandomForest") else model.treeWeights
+    out, base = df.withColumn("_values", vector_to_array(features)), 0.0
+    for i, (tree, weight) in enumerate(zip(trees, weights)):
+        mean, added = _tree_paths(tree._call_java("rootNode"), F.col("_values"), len(columns))
+        base += weight * mean
+        out = out.withColumn(f"_tree{i}", added)
+    total = lambda k: sum((F.get(f"_tree{i}", F.lit(k)) * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
+    return out.withColumns({"base": F.lit(base), **{f"c_{c}": total(k) for k, c in enumerate(columns)}}).drop(
+        "_values", *[f"_tree{i}" for i in range(len(trees))])
+
+
 def permutation_importance(df: DataFrame, columns: list[str], score, key: str, seed: int = 42) -> DataFrame:
     """Rise of the MAE when one feature is shuffled among rows: (feature, mae_base, mae_shuffled, importance).
 

@@ -16,17 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import right_closed_bin
+from tunegauge.operators import lookup
 from tunegauge.operators.quantiles import medians
 from tunegauge.schema import TARGET
 
 YEAR = "album_release_year"
-BLOCKS = ["temporal", "audio_interactions", "non_linear", "market", "year_meta"]
+BLOCKS = ["temporal", "audio_interactions", "non_linear", "market", "year_meta", "lastfm"]
 INPUTS = {
     "temporal": [YEAR],
     "audio_interactions": ["energy", "danceability", "acousticness", "valence", "speechiness", "tempo", "loudness"],
     "non_linear": ["duration_ms", "energy", "danceability", "valence", "tempo"],
     "market": ["total_available_markets"],
     "year_meta": [YEAR],
+    "lastfm": ["artist_name", "track_id"],
 }
 
 
@@ -134,6 +136,26 @@ def year_meta_columns(means: dict[int, float]) -> dict[str, Column]:
     return {"year_popularity_mean": now.cast("float"), "year_trend": (now - prev).cast("float")}
 
 
+def listener_tag_columns(df: DataFrame, tables: dict[str, str], tags: list[str]) -> DataFrame:
+    """Listener, tag and corrected-year columns from landed lookup tables; unknown artists have 0 listeners and no tags.
+
+    ``tables`` names Parquet folders: ``artists`` (artist_name, listeners), ``tags`` (artist_name, tag) and, if there is one,
+    ``proxies`` (track_id, proxy_year). Only fitted tags enter the set of an artist, so that set is bounded.
+    """
+    read = df.sparkSession.read.parquet
+    listeners = read(tables["artists"]).select("artist_name", "listeners")
+    wanted = read(tables["tags"]).select("artist_name", lookup.tag_column("tag").alias("tag")).where(F.col("tag").isin(tags))
+    sets = wanted.groupBy("artist_name").agg(F.collect_set("tag").alias("tags"))
+    name = "artist_lastfm_listeners_log"
+    out = lookup.join_listeners(df, listeners).withColumn(name, F.col("listeners_log").cast("float"))
+    out = TagEncoder(tags=tags).transform(out.join(sets, "artist_name", "left"))
+    if "proxies" in tables:
+        out = lookup.join_proxy(out, read(tables["proxies"]).select("track_id", F.col("proxy_year").alias("lastfm_track_proxy")))
+    else:
+        out = out.withColumn("lastfm_track_proxy", F.lit(None).cast("long"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], name, *[f"tag_{t}" for t in tags], "lastfm_track_proxy")
+
+
 class _FeatureParams(Params):
     blocks = Param(Params._dummy(), "blocks", "feature blocks, in order", TypeConverters.toListString)
     options = Param(Params._dummy(), "options", "block options as JSON", TypeConverters.toString)
@@ -147,7 +169,7 @@ class _FeatureParams(Params):
         return {
             "current_year": None, "age_bins": [2, 5, 10], "year_thresholds": [2015, 2018], "market_buckets": [100, 150],
             "squared": ["energy", "danceability", "valence"], "year_smoothing": 0.0, "min_year_count": 1,
-            "target": TARGET, "optional": False,
+            "target": TARGET, "optional": False, "tables": None, "top_tags": 50,
         } | given
 
     def active_blocks(self, df: DataFrame) -> list[str]:
@@ -155,6 +177,8 @@ class _FeatureParams(Params):
         active = []
         for block in self.getOrDefault("blocks"):
             missing = [c for c in INPUTS[block] if c not in df.columns]
+            if block == "lastfm" and not self.settings()["tables"]:
+                missing.append("of option 'tables'")
             if missing and not self.settings()["optional"]:
                 raise ValueError(f"feature block {block} needs columns {missing}")
             if not missing or block == "audio_interactions":
@@ -191,6 +215,9 @@ class FeatureEstimator(Estimator, _FeatureParams, DefaultParamsReadable, Default
                 state["year_means"] = {
                     str(r["_year"]): self._year_mean(r, state["target_mean"], opts)
                     for r in rows if r["_year"] is not None and r["target_n"]}
+        if "lastfm" in active:
+            tags = train.sparkSession.read.parquet(opts["tables"]["tags"])
+            state["tags"] = [r["tag"] for r in lookup.top_tags(tags, opts["top_tags"]).collect()]  # at most top_tags
         if "temporal" in active and state["current_year"] is None:
             raise ValueError("no training row has a year; give current_year")
         if "temporal" in active and state["year_mean"] is None:
@@ -205,7 +232,7 @@ class FeatureEstimator(Estimator, _FeatureParams, DefaultParamsReadable, Default
 
 
 class FeatureModel(Model, _FeatureParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Replays fitted feature blocks on any rows; a narrow projection without shuffles or joins."""
+    """Replays fitted feature blocks on any rows: a narrow projection, and for ``lastfm`` joins with its lookup tables."""
 
     state = Param(Params._dummy(), "state", "fitted state as JSON", TypeConverters.toString)
 
@@ -230,7 +257,8 @@ class FeatureModel(Model, _FeatureParams, DefaultParamsReadable, DefaultParamsWr
                 out |= market_columns(state, opts["market_buckets"])
             elif block == "year_meta":
                 out |= year_meta_columns({int(y): m for y, m in state["year_means"].items()})
-        return df.withColumns(out)
+        out = df.withColumns(out)
+        return listener_tag_columns(out, opts["tables"], state["tags"]) if "tags" in state else out
 
 
 class TagEncoder(Transformer, DefaultParamsReadable, DefaultParamsWritable):

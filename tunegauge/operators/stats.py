@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,16 +144,39 @@ def target_correlations(df: DataFrame, columns: list[str], target: str = TARGET)
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], min_abs: float = 0.0) -> DataFrame:
-    """Upper triangle of the correlation matrix as (feature_1, feature_2, corr): one pass, one row per column pair."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = df.agg(*[
-        F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs
-    ])
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"{a}__{b}").alias("corr"))
-        for a, b in pairs
-    ])
-    return wide.select(F.inline(rows)).where(F.abs("corr") >= min_abs)
+    """Upper triangle of the correlation matrix as (feature_1, feature_2, corr), one row per column pair.
+
+    A pair counts the rows in which neither column is missing. One pass takes the means; in a second one tasks take products
+    about them, by blocks of rows, so the plan stays small for many columns; a task passes on a row per pair and block. A
+    constant column has no correlation.
+    """
+    size = len(columns)
+    first, second = np.triu_indices(size, 1)
+    names = ["pair", "n", "x", "y", "xx", "yy", "xy"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.float64)
+            there = ~np.isnan(raw)
+            x, m = np.where(there, raw - means, 0.0), there.astype(np.float64)
+            n, sx, sxx, sxy = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+            at = (first, second)
+            values = [n[at], sx[at], sx.T[at], sxx[at], sxx.T[at], sxy[at]]
+            some = values[0] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(some), pa.int64()), *(pa.array(v[some]) for v in values)], names=names)
+
+    rows = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = np.array([x or 0.0 for x in rows.agg(*[F.avg(c) for c in rows.columns]).first()])
+    blocks = rows.mapInArrow(partial, "pair long, " + ", ".join(f"{c} double" for c in names[1:]))
+    about = lambda product, a, b: F.sum(product) - F.sum(a) * F.sum(b) / F.sum("n")
+    sums = blocks.groupBy("pair").agg(about("xx", "x", "x").alias("xx"), about("yy", "y", "y").alias("yy"), about("xy", "x", "y").alias("xy"))
+    corr = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    listed = F.array(*[F.lit(c) for c in columns])
+    at = lambda numbers: F.get(listed, F.get(F.lit([int(i) for i in numbers]), F.col("pair").cast("int")))
+    out = sums.select(at(first).alias("feature_1"), at(second).alias("feature_2"), corr.alias("corr"))
+    return out.where(F.abs("corr") >= min_abs)
 
 
 def split_summary(df: DataFrame, year: str = "album_release_year", target: str = TARGET) -> DataFrame:
@@ -202,6 +228,22 @@ def coverage(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return out.withColumn("hit_pct", F.col("n_hit") * 100.0 / F.col("n_rows"))
 
 
+def coverage_by(df: DataFrame, by: str, tags: str, markets: str) -> DataFrame:
+    """Per group: rows, tags per row (none where unknown), share of rows with tags, mean number of markets."""
+    return df.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col(tags), F.lit(0))).alias("tags_per_track"),
+        (F.avg(F.col(tags).isNotNull().cast("double")) * 100).alias("tagged_pct"), F.avg(markets).alias("mean_markets"))
+
+
+def dtype_audit(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, dtype, n_rows, n_missing) of the columns of a table, one pass."""
+    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(f"n_missing__{c}") for c in columns])
+    types = dict(df.dtypes)
+    kinds = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])
+    out = _long(wide, columns, ["n_missing"], "name", ["n_rows"])
+    return out.select("name", F.element_at(kinds, F.col("name")).alias("dtype"), "n_rows", "n_missing")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Stack result tables by column name; columns absent somewhere are NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

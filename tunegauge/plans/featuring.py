@@ -10,6 +10,7 @@ from tunegauge.functions import scalars, text
 from tunegauge.operators import features, lookup, stats
 from tunegauge.plans.cleaning import EXTRA, prepared, rounded, split_tracks
 from tunegauge.plans.registry import query
+from tunegauge.session import shared_folder
 
 
 def model_for(v, blocks, **options):
@@ -99,7 +100,7 @@ SELECT split, count(*) AS n, round(avg(age), 4) AS age, round(avg(year_zscore),
  SELECT split, album_release_year, {TEMPORAL}, {AUDIO}, {NONLINEAR}, {MARKET} FROM split_tracks, fit) t
  LEFT JOIN year_means m ON m.year = album_release_year LEFT JOIN year_means p ON p.year = album_release_year - 1 GROUP BY split""", FEATURES)
 def _(v):
-    model, rows = model_for(v, features.BLOCKS, age_bins=[2, 3, 10], year_thresholds=[1996, 1998])
+    model, rows = model_for(v, features.BLOCKS[:5], age_bins=[2, 3, 10], year_thresholds=[1996, 1998])
     means = {"age": 4, "year_zscore": 4, "vibe": 4, "log_duration": 3, "tempo_zscore": 3, "year_popularity_mean": 3,
              "year_trend": 3}
     return model.transform(rows).groupBy("split").agg(
@@ -108,6 +109,42 @@ def _(v):
     )
 
 
+PROXIES = """
+SELECT concat('T', CAST(o_orderkey AS VARCHAR)) AS track_id, CAST(year(o_orderdate) AS BIGINT) AS proxy_year FROM orders WHERE o_orderstatus = 'F'"""
+
+
+@query("feature_pipeline", f"""
+SELECT t.* EXCLUDE (artist_name, track_id, album_release_year), round(CAST(CAST(m.year_mean AS FLOAT) AS DOUBLE), 3) AS year_popularity_mean,
+ round(CAST(CAST(m.year_mean - p.year_mean AS FLOAT) AS DOUBLE), 3) AS year_trend,
+ round(CAST(CAST(ln(1 + coalesce(listeners, 0)) AS FLOAT) AS DOUBLE), 4) AS artist_lastfm_listeners_log,
+ CAST(coalesce(list_contains(own, 'pop'), false) AS TINYINT) AS tag_pop, CAST(coalesce(list_contains(own, 'hip_hop'), false) AS TINYINT) AS tag_hip_hop,
+ CAST(coalesce(list_contains(own, 'rock'), false) AS TINYINT) AS tag_rock, CAST(coalesce(list_contains(own, 'indie_pop'), false) AS TINYINT) AS tag_indie_pop,
+ proxy_year AS lastfm_track_proxy
+FROM (SELECT row_key, artist_name, track_id, album_release_year, {TEMPORAL}, {AUDIO}, {NONLINEAR}, {MARKET},
+  round(CAST(CAST(danceability * danceability AS FLOAT) AS DOUBLE), 4) AS danceability_sq, round(CAST(CAST(valence * valence AS FLOAT) AS DOUBLE), 4) AS valence_sq
+  FROM split_tracks, fit) t
+ LEFT JOIN year_means m ON m.year = album_release_year LEFT JOIN year_means p ON p.year = album_release_year - 1
+ LEFT JOIN artists ON artists.artist_name = t.artist_name LEFT JOIN (SELECT artist_name, list(replace(lower(tag), ' ', '_')) AS own FROM artist_tags GROUP BY artist_name) g
+ ON g.artist_name = t.artist_name LEFT JOIN proxies ON proxies.track_id = t.track_id""", {**FEATURES, "proxies": PROXIES})
+def _(v):
+    # all six blocks, every output column of every row; the lookups are landed tables that the fitted model names
+    folder = shared_folder(v.spark, "lookups")
+    v.artists.write.parquet(f"{folder}/artists")
+    v.artist_tags.write.parquet(f"{folder}/tags")
+    v.orders.where("o_orderstatus = 'F'").select(
+        F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("track_id"),
+        F.year("o_orderdate").cast("bigint").alias("proxy_year")).write.parquet(f"{folder}/proxies")
+    model, rows = model_for(
+        v, features.BLOCKS, age_bins=[2, 3, 10], year_thresholds=[1996, 1998],
+        tables={name: f"{folder}/{name}" for name in ("artists", "tags", "proxies")})
+    out = model.transform(rows)
+    made = [c for c in out.columns if c not in rows.columns]
+    digits = {c: 4 for c in made} | {
+        c: 5 for c in ("year_zscore", "vibe", "soft_mood", "emotional_intensity", "rap_speed", "punch")} | {"year_popularity_mean": 3, "year_trend": 3}
+    floats = {f.name for f in out.schema if f.dataType.typeName() in ("float", "double")}
+    return out.select("row_key", *[F.round(F.col(c).cast("double"), digits[c]).alias(c) if c in floats else F.col(c) for c in made])
+
+
 @query("fit_median", """
 SELECT row_key, split, coalesce(album_release_year, (SELECT quantile_cont(album_release_year, 5e-1) FROM split_tracks WHERE split = 'train')) AS album_release_year,
  coalesce(CASE WHEN tempo > 0 THEN tempo END, (SELECT quantile_cont(tempo, 5e-1) FROM split_tracks WHERE split = 'train' AND tempo > 0)) AS tempo
@@ -210,6 +247,26 @@ def _(v):
         "release_found": F.col("mb_prominence_ratio") != 1, "single": F.col("mb_is_single") == 1})
 
 
+@query("regime_coverage", """
+SELECT regime, count(*) AS n, round(avg(coalesce(n_tags, 0)), 6) AS tags_per_track, round(avg(CAST(n_tags IS NOT NULL AS DOUBLE)) * 1e2, 6) AS tagged_pct,
+ round(avg(total_available_markets), 6) AS mean_markets FROM (
+ SELECT t.total_available_markets, n_tags, CASE WHEN ln(1 + coalesce(listeners, 0)) < 881e-2 THEN 'Cold Start' WHEN ln(1 + coalesce(listeners, 0)) < 1309e-2 THEN 'Tipping Point' ELSE 'Mainstream' END AS regime
+ FROM tracks t LEFT JOIN artists USING (artist_name) LEFT JOIN (SELECT artist_name, count(DISTINCT replace(lower(tag), ' ', '_')) AS n_tags FROM artist_tags GROUP BY artist_name) USING (artist_name))
+GROUP BY regime""")
+def _(v):
+    tags = v.artist_tags.groupBy("artist_name").agg(F.count_distinct(text.tag_column("tag")).alias("n_tags"))
+    rows = lookup.join_listeners(v.tracks, v.artists).join(tags, "artist_name", "left")
+    rows = rows.withColumn("regime", scalars.regime_label("listeners_log"))
+    return rounded(stats.coverage_by(rows, "regime", "n_tags", "total_available_markets"), ["tags_per_track", "tagged_pct", "mean_markets"])
+
+
+@query("release_dtypes", """
+SELECT unnest(['mb_is_single', 'mb_track_number', 'mb_prominence_ratio']) AS name, unnest(['int', 'int', 'double']) AS dtype, count(*) AS n_rows,
+ CAST(0 AS BIGINT) AS n_missing FROM v2""", {"v2": V2})
+def _(v):
+    return stats.dtype_audit(with_releases(v), ["mb_is_single", "mb_track_number", "mb_prominence_ratio"])
+
+
 @query("sanity_audit", """
 SELECT 'corr' AS metric, 'mb_is_single' AS name, round(corr(mb_is_single, song_popularity), 6) AS value FROM v2
 UNION ALL SELECT 'corr', 'mb_track_number', round(corr(mb_track_number, song_popularity), 6) FROM v2

@@ -540,30 +540,86 @@ def _(v):
     return rounded(out, ["mae_base", "mae_shuffled", "importance"])
 
 
-@query("temporal_run", """
-SELECT * FROM (WITH w AS (
- SELECT split, energy AS x, CAST(song_popularity AS DOUBLE) AS y, exp(-5e-2 * greatest(2001 - coalesce(album_release_year, 2001), 0)) AS w FROM split_tracks
-), line AS (
- SELECT (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) AS a,
-  sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy FROM w WHERE split = 'train'
-), p AS (SELECT split, y, (sy - a * sx) / s + a * x AS pred FROM w, line)
-SELECT split, count(*) AS n, round(avg(abs(y - pred)), 4) AS mae_raw, round(avg(abs(y - greatest(0, least(100, pred)))), 4) AS mae_clip,
- round(min(pred), 4) AS min_raw, round(max(pred), 4) AS max_raw FROM p GROUP BY split)""", EXTRA)
-def _(v):
-    # prepare, split, weight, fill, fit, save, load, score: raw and clipped errors of the model that was saved
-    frame = model_frame(v)
+def run_sql(pred):
+    return f"""
+SELECT split, count(*) AS n, round(avg(abs(y - p)), 4) AS mae_raw, round(avg(abs(y - greatest(0, least(100, p)))), 4) AS mae_clip,
+ round(min(p), 4) AS min_raw, round(max(p), 4) AS max_raw FROM (SELECT split, y, {pred} AS p FROM frame, fit) GROUP BY split"""
+
+
+def weighted_run(v, columns):
+    """Prepare, split, weight, fill, fit, save, load, score: raw and clipped errors of the model that was saved."""
+    frame = written(model_frame(v), "run-frame")
     train = frame.where("split = 'train'")
-    prepared = models.Protocol(["energy"]).prepare(train)
-    fitted = {"line": models.linear("weight").fit(prepared.transform(train))}
+    prepared = models.Protocol(columns).prepare(train)
     folder = shared_folder(v.spark, "run")
-    models.save_models(v.spark, fitted, {"features": ["energy"], "model": "line", "train_end": 1999}, folder)
-    out = fitted["line"].transform(prepared.transform(frame))
+    facts = {"features": columns, "model": "line", "train_end": 1999}
+    models.save_models(v.spark, {"line": models.linear("weight").fit(prepared.transform(train))}, facts, folder)
+    from pyspark.ml.regression import LinearRegressionModel
+
+    loaded = LinearRegressionModel.load(f"{folder}/models/line")
+    out = loaded.transform(models.Protocol(models.load_metadata(v.spark, folder)["features"]).prepare(train).transform(frame))
     counts = out.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     errors = evaluate.clip_metrics(out, ["split"]).select(F.col("split").alias("_b0"), "mae_raw", "mae_clip", "min_raw", "max_raw")
     joined = counts.join(errors, F.col("split").eqNullSafe(F.col("_b0"))).drop("_b0")
     return rounded(joined, ["mae_raw", "mae_clip", "min_raw", "max_raw"], 4)
 
 
+@query("temporal_run", run_sql(line_sql(MODEL_COLUMNS)), {**EVAL, "frame": FRAME, "fit": fit_sql(TRAIN, MODEL_COLUMNS, "one", "weight")})
+def _(v):
+    return weighted_run(v, MODEL_COLUMNS)
+
+
+@query("temporal_line", run_sql(line_sql(["energy"])), {**EVAL, "frame": FRAME, "fit": fit_sql(TRAIN, ["energy"], "one", "weight")})
+def _(v):
+    return weighted_run(v, ["energy"])
+
+
+# ---- contributions of fitted models --------------------------------------------------------------------------------------
+
+def added_sql(c, i):
+    return f"beta[{i}] * ({c} - m_{c})"
+
+
+@query("fitted_contributions", f"""
+SELECT row_key, round(beta[1] + {' + '.join(f'beta[{i}] * m_{c}' for i, c in enumerate(PLAIN, 2))}, 4) AS base,
+ {', '.join(f"round({added_sql(c, i)}, 4) AS c_{c}" for i, c in enumerate(PLAIN, 2))}, TRUE AS adds_up
+FROM frame, fit, (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in PLAIN)} FROM frame WHERE split = 'train')""", {
+    **EVAL, "frame": FRAME, "fit": fit_sql(TRAIN, PLAIN, "one")})
+def _(v):
+    frame = written(model_frame(v), "contribution-frame")
+    train = frame.where("split = 'train'")
+    fitted = gram.fit_groups(train.withColumn("model", F.lit(1)), PLAIN, ["model"])
+    means = train.agg(*[F.avg(c).alias(c) for c in PLAIN]).first().asDict()
+    joined = frame.withColumn("model", F.lit(1)).join(fitted.drop("n"), "model").withColumn("pred", gram.forecast(PLAIN))
+    out = gram.contributions(joined, PLAIN, means)
+    names = ["base", *[f"c_{c}" for c in PLAIN]]
+    adds = F.abs(sum((F.col(c) for c in names), F.lit(0.0)) - F.col("pred")) < 1e-8
+    return rounded(out.select("row_key", *names, adds.alias("adds_up")), names, 4)
+
+
+def forest_parts(v, columns):
+    """The frame with base, contributions and forecast of a forest fitted on the training rows."""
+    frame = written(model_frame(v), "forest-frame")
+    vectors = models.Protocol(columns).prepare(frame.where("split = 'train'")).transform(frame)
+    fitted = models.forest(trees=6, depth=5).fit(vectors.where("split = 'train'"))
+    return written(discover.tree_contributions(fitted.transform(vectors), fitted, columns).drop("features"), "forest-parts")
+
+
+@query("forest_contributions", """
+SELECT regime_id, split, count(*) AS n, count(*) AS adds_up FROM frame GROUP BY regime_id, split""", {**EVAL, "frame": FRAME})
+def _(v):
+    out = models.gating_router(forest_parts(v, MODEL_COLUMNS))
+    total = sum((F.col(f"c_{c}") for c in MODEL_COLUMNS), F.col("base"))
+    return out.groupBy("regime_id", "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - F.col("pred")) < 1e-9).alias("adds_up"))
+
+
+@query("contribution_ranks")
+def _(v):
+    # mean size of each feature's contributions to the fitted forest, per regime
+    out = forest_parts(v, MODEL_COLUMNS).withColumn("regime", regime_label("listeners_log"))
+    return rounded(evaluate.attribution_by_regime(out, [f"c_{c}" for c in MODEL_COLUMNS], 3), ["mean_abs"])
+
+
 # ---- discovery ---------------------------------------------------------------------------------------------------------
 
 @query("cluster_rows")
@@ -597,10 +653,26 @@ def _(v):
 
 @query("regime_discovery")
 def _(v):
-    rows = scored(v)
-    means = rows.where("split = 'train'").agg(F.avg("listeners_log").alias("listeners_log")).first().asDict()
-    out = discover.linear_contributions(rows, {"listeners_log": 1.5}, means)
-    return rounded(discover.regime_discovery(out, "c_listeners_log", "listeners_log"), ["mean"])
+    # levels of what listeners contribute to a fitted forest, and the thresholds between them
+    parts = forest_parts(v, ["listeners_log", *MODEL_COLUMNS[:4]]).where("split = 'train'")
+    return rounded(discover.regime_discovery(parts, "c_listeners_log", "listeners_log"), ["mean"])
+
+
+@query("regime_levels", "SELECT level, TRUE AS apart, count(*) AS of_rows FROM split_tracks, (SELECT unnest([1, 2, 3]) AS level) WHERE split = 'train' GROUP BY level", EVAL)
+def _(v):
+    # one-dimensional clusters are intervals: no level of the contribution reaches into the next
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import Window
+
+    parts = forest_parts(v, ["listeners_log", *MODEL_COLUMNS[:4]]).where("split = 'train'")
+    vectors = VectorAssembler(inputCols=["c_listeners_log"], outputCol="_c").transform(parts)
+    out = KMeans(featuresCol="_c", predictionCol="cluster", k=3, seed=42).fit(vectors).transform(vectors)
+    levels = out.groupBy("cluster").agg(
+        F.min("c_listeners_log").alias("low"), F.max("c_listeners_log").alias("high"), F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("low")  # three rows
+    apart = F.coalesce(F.lag("high").over(order) < F.col("low"), F.lit(True))
+    return levels.select(F.row_number().over(order).alias("level"), apart.alias("apart"), F.sum("n").over(Window.partitionBy()).alias("of_rows"))
 
 
 # ---- facts that hold for any right fit -----------------------------------------------------------------------------------
