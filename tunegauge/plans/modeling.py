@@ -640,7 +640,7 @@ def _(v):
 
 @query("choose_k")
 def _(v):
-    vectors = discover.array_vectors(v.embeddings, "embedding").select("features").persist()
+    vectors = written(discover.array_vectors(v.embeddings, "embedding").select("features"), "choose-k")
     return rounded(discover.choose_k(vectors, [2, 3, 4, 5]), ["inertia", "silhouette"], 4)
 
 
@@ -699,6 +699,97 @@ def _(v):
     return stats.union_all(parts)
 
 
+def train_vectors(v, columns, standardize=False):
+    frame = written(model_frame(v), "facts-frame")
+    train = frame.where("split = 'train'")
+    return models.Protocol(columns, standardize).prepare(train).transform(train)
+
+
+def stationary(rows, gradient, columns, tolerance, size):
+    """(feature, optimal): the sums of gradient * input over all rows vanish against the sums of ``size`` * input."""
+    inputs = {"intercept": F.lit(1.0), **{c: F.col(c) for c in columns}}
+    sums = rows.agg(*[
+        F.struct(F.abs(F.sum(gradient * x)).alias("s"), F.sum(F.abs(size * x)).alias("size")).alias(c) for c, x in inputs.items()])
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("f")) for c in inputs])
+    return sums.select(F.inline(each)).select("feature", (F.col("f.s") <= tolerance * F.col("f.size")).alias("optimal"))
+
+
+FACT_COLUMNS = ["energy", "danceability", "acousticness"]
+STATIONARY = f"SELECT feature, TRUE AS optimal FROM (SELECT unnest({['intercept', *FACT_COLUMNS]}) AS feature)"
+
+
+@query("huber_optimum", STATIONARY)
+def _(v):
+    # at the optimum the residuals, cut at epsilon times the fitted scale, are orthogonal to every input
+    vectors = train_vectors(v, FACT_COLUMNS)
+    fitted = models.huber(reg=0.0, maxIter=200, tol=1e-10).fit(vectors)
+    limit = F.lit(1.35 * fitted.scale)
+    residual = F.col("y") - F.col("pred")
+    cut = F.greatest(F.least(residual, limit), -limit)
+    return stationary(fitted.transform(vectors), cut, FACT_COLUMNS, 1e-4, F.abs(cut))
+
+
+@query("tweedie_optimum", " UNION ALL ".join(f"SELECT {p!r} AS power, * FROM ({STATIONARY})" for p in (1.0, 1.5)))
+def _(v):
+    # score equations of a log-link model with variance mu^p: sums of (y - mu) * mu^(1 - p) * x are zero
+    vectors, parts = train_vectors(v, FACT_COLUMNS), []
+    for power in (1.0, 1.5):
+        fitted = models.tweedie(power, reg=0.0, tol=1e-10).setMaxIter(60).fit(vectors)
+        residual = (F.col("y") - F.col("pred")) * F.pow("pred", F.lit(1.0 - power))
+        parts.append(stationary(fitted.transform(vectors), residual, FACT_COLUMNS, 1e-6, F.abs(residual)).withColumn("power", F.lit(power)))
+    return stats.union_all(parts).select(F.col("power").cast("decimal(2,1)").alias("power"), "feature", "optimal")
+
+
+@query("hurdle_optimum", STATIONARY)
+def _(v):
+    # the zero classifier: outcome minus probability is orthogonal to every input
+    vectors = train_vectors(v, FACT_COLUMNS)
+    classifier, regressor = models.hurdle_fit(vectors, None, models.linear())
+    out = models.hurdle_score(vectors, classifier, regressor)
+    residual = (F.col("y") == 0).cast("double") - F.col("p_zero")
+    return stationary(out, residual, FACT_COLUMNS, 1e-3, F.abs(residual))
+
+
+@query("tree_leaf_means", "SELECT count(*) AS n, TRUE AS leaves_are_means, TRUE AS several FROM split_tracks WHERE split = 'train'", EVAL)
+def _(v):
+    # one tree without resampling forecasts, in each leaf, the mean of the training rows that fall there
+    vectors = train_vectors(v, FACT_COLUMNS)
+    out = models.forest(trees=1, depth=4, bootstrap=False).fit(vectors).transform(vectors)
+    leaves = out.groupBy("pred").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    return leaves.agg(
+        F.sum("n").alias("n"), (F.max(F.abs(F.col("pred") - F.col("mean"))) < 1e-6).alias("leaves_are_means"),
+        (F.count(F.lit(1)) > 4).alias("several"))
+
+
+@query("refit_linear", f"""
+SELECT count(*) AS n, round(avg(abs(y - pred)), 4) AS mae_raw, round(avg(abs(y - greatest(0, least(100, pred)))), 4) AS mae_clip
+FROM (SELECT y, {line_sql(MODEL_COLUMNS)} AS pred FROM frame, fit WHERE split = 'test')""", {
+    **EVAL, "frame": FRAME, "fit": fit_sql(
+        "(SELECT *, 1 AS one, CASE WHEN split = 'val' THEN 1e0 ELSE weight END AS w FROM frame WHERE split IN ('train', 'val'))", MODEL_COLUMNS, "one", "w")})
+def _(v):
+    # refit on training and validation rows, the latter at full weight; one look at the test rows
+    frame = written(model_frame(v), "refit-frame")
+    rows = split.refit_union(frame).withColumn("split", F.lit("train")).unionByName(frame.where("split = 'test'"))
+    filled = features.MedianImputer(columns=MODEL_COLUMNS).fit(rows.where("split = 'train'"))
+    ready = filled.transform(rows).withColumn("model", F.lit("line"))
+    fitted = gram.fit_groups(ready.where("split = 'train'"), MODEL_COLUMNS, ["model"], weight="weight", shift=filled.fitted())
+    out = gram.score_groups(ready.where("split = 'test'"), fitted, MODEL_COLUMNS, ["model"])
+    errors = evaluate.clip_metrics(out, ["model"])
+    return rounded(out.groupBy("model").agg(F.count(F.lit(1)).alias("n")).join(errors, "model").select("n", "mae_raw", "mae_clip"), ["mae_raw", "mae_clip"], 4)
+
+
+@query("inertia_falls", "SELECT unnest([2, 3, 4, 5]) AS k, TRUE AS falls, count(*) AS n FROM embeddings")
+def _(v):
+    # more centres leave less distance, and never less than none
+    from pyspark.sql import Window
+
+    vectors = discover.array_vectors(v.embeddings, "embedding").select("features")
+    out = discover.choose_k(written(vectors, "choose-k"), [2, 3, 4, 5])
+    before = F.lag("inertia").over(Window.orderBy("k"))  # four rows
+    falls = (F.col("inertia") > 0) & F.coalesce(F.col("inertia") < before, F.lit(True))
+    return out.select("k", falls.alias("falls"), v.embeddings.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n"))
+
+
 @query("cluster_nearest", "SELECT row_key, TRUE AS nearest FROM split_tracks", EVAL)
 def _(v):
     # k-means gives every row the centre nearest to it
