@@ -12,8 +12,10 @@ from tunegauge.functions.variants import (
     MATCH_RANK, TITLE_TERMS, TYPE_RANK, album_words, base_title, canonicality_of_words, full_title, has_album_penalty, has_words,
     is_non_studio, match_quality, rank_in, recording_score, track_type_of_words,
 )
-from tunegauge.operators.match import base_title_join, best_contained, deep_scan_best
+from tunegauge.operators.match import best_contained, deep_scan_best
+from tunegauge.operators.quantiles import same
 from tunegauge.operators.ranking import rank_per_group, top_per_group
+from tunegauge.session import written
 
 # Release filters and preference of release kinds.
 PRIMARY_TYPES = ["Album", "EP", "Single"]
@@ -83,26 +85,33 @@ def variant_candidates(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     ``requests``: (request, artist_name, title_query); ``catalog``: one row per album track with (artist_name,
     track_key, title, popularity, album_id, album_title, album_type, album_popularity, album_year).
     """
-    # all text work is done once per catalog row and once per request, before the join multiplies them
-    worded = catalog.withColumns({"normalized_title": full_title("title"), "_album": album_words("album_title")})
-    year = F.when(F.col("album_year").rlike("^[0-9]+$"), F.col("album_year")).try_cast("int")
+    # titles repeat, so all text work is done once per different (title, album) and title, before joins multiply the rows
+    catalog = written(catalog, "variant-catalog")
+    texts = catalog.select("title", "album_title", "album_type").distinct()
+    worded = texts.withColumns({"normalized_title": full_title("title"), "_album": album_words("album_title")})
     judged = worded.withColumns({
         "_kind": track_type_of_words(F.col("normalized_title"), F.col("_album")),
         "_canon": canonicality_of_words(F.col("_album"), "album_type"),
-        "is_featured_variant": has_words(F.col("normalized_title"), TITLE_TERMS["featured"]),
-        "year": F.coalesce(year, F.lit(0)),
     })
-    judged = judged.withColumns({
-        "track_type": F.col("_kind.track_type"), "track_type_source": F.col("_kind.source"),
-        "canonicality_score": F.col("_canon.canonicality_score"), "canonicality_tags": F.col("_canon.canonicality_tags"),
-        "is_editorial_context": F.col("_canon.is_editorial_context"),
-    }).drop("_kind", "_canon", "_album", "album_year")
-    asked = requests.withColumn("_asked", full_title("title_query"))
-    asked = asked.withColumn("_asked_featured", has_words(F.col("_asked"), TITLE_TERMS["featured"]))
+    judged = judged.select(
+        *[F.col(c).alias(f"_b{i}") for i, c in enumerate(texts.columns)], "normalized_title", base_title("title").alias("variant_group_key"),
+        has_words(F.col("normalized_title"), TITLE_TERMS["featured"]).alias("is_featured_variant"),
+        F.col("_kind.track_type").alias("track_type"), F.col("_kind.source").alias("track_type_source"),
+        F.col("_canon.canonicality_score").alias("canonicality_score"), F.col("_canon.canonicality_tags").alias("canonicality_tags"),
+        F.col("_canon.is_editorial_context").alias("is_editorial_context"))
+    judged = written(judged, "variant-texts")
+    year = F.when(F.col("album_year").rlike("^[0-9]+$"), F.col("album_year")).try_cast("int")
+    rows = catalog.join(judged, same(texts.columns)).withColumn("year", F.coalesce(year, F.lit(0))).drop("_b0", "_b1", "_b2", "album_year")
+    asked_titles = requests.select("title_query").distinct()
+    asked_titles = asked_titles.select(
+        F.col("title_query").alias("_b0"), full_title("title_query").alias("_asked"), base_title("title_query").alias("variant_group_key"))
+    asked_titles = asked_titles.where("variant_group_key <> ''").withColumn("_asked_featured", has_words(F.col("_asked"), TITLE_TERMS["featured"]))
+    asked = requests.join(asked_titles, same(["title_query"])).drop("_b0")
     quality = match_quality(
         F.col("normalized_title"), F.col("_asked"), F.col("is_featured_variant"), F.col("_asked_featured"),
         F.col("track_type"), F.col("track_type_source"))
-    return base_title_join(asked, judged).withColumn("match_quality", quality).drop("_asked", "_asked_featured")
+    found = asked.join(rows, ["artist_name", "variant_group_key"])
+    return found.withColumn("match_quality", quality).drop("_asked", "_asked_featured")
 
 
 def variant_order(unknown_year: int = 9999) -> list[Column]:
@@ -120,17 +129,17 @@ def variant_representative(candidates: DataFrame) -> DataFrame:
     return top_per_group(candidates, keys, variant_order())
 
 
-def variant_ranking(candidates: DataFrame) -> DataFrame:
-    """Rank of each variant within its request."""
-    return rank_per_group(variant_representative(candidates), ["request"], variant_order(), "rank")
+def variant_ranking(candidates: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Rank of each variant within its request, with the columns ``keep``, all by default."""
+    return rank_per_group(variant_representative(candidates), ["request"], variant_order(), "rank", keep)
 
 
-def menu_best_version(rows: DataFrame) -> DataFrame:
+def menu_best_version(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Most popular version per (request, normalised title, album), ranked by popularity within the request."""
     keyed = rows.withColumn("_title", normalize_basic_text("title"))
     best = top_per_group(keyed, ["request", "_title", "album_title"], [F.col("popularity").desc(), "track_key"])
     return rank_per_group(
-        best.drop("_title"), ["request"], [-known("popularity"), F.col("track_key")], "position")
+        best.drop("_title"), ["request"], [-known("popularity"), F.col("track_key")], "position", keep)
 
 
 def menu_projection(variants: DataFrame) -> DataFrame:

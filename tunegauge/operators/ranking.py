@@ -23,14 +23,16 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int = 1) -> Da
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def rank_per_group(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+def rank_per_group(df: DataFrame, keys: list[str], order: list, name: str = "rank", keep: list[str] | None = None) -> DataFrame:
     """Add the position 1.. of each row in its group, by ascending ``order`` expressions that end in a unique key.
 
+    ``keep`` names the columns to carry, all by default: rows are written once, so narrow ones are cheaper.
+
     Rows are range-split on (keys, order), so a group of any size spreads over tasks: a row's rank is its position in
     the group's part of a piece plus what the group has in the pieces before. NULL keys form a group.
     """
-    columns = df.columns
-    with_order = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(_columns(order))])
+    columns = df.columns if keep is None else list(dict.fromkeys([*keys, *keep]))
+    with_order = df.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(f"_o{i}") for i, c in enumerate(_columns(order))])
     by = [f"_o{i}" for i in range(len(order))]
     spread = written(with_order.repartitionByRange(*keys, *by).withColumn("_piece", F.spark_partition_id()), "ranking")
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -306,7 +306,7 @@ def _(v):
 @query("variant_ranking", f"""
 SELECT request, track_key, CAST(row_number() OVER (PARTITION BY request ORDER BY {ORDER}) AS INT) AS rank FROM reps""", M)
 def _(v):
-    return catalog.variant_ranking(candidates(v)).select("request", "track_key", "rank")
+    return catalog.variant_ranking(candidates(v), ["request", "track_key"])
 
 
 @query("menu_projection", """
@@ -320,7 +320,7 @@ def _(v):
 SELECT request, track_key, CAST(row_number() OVER (PARTITION BY request ORDER BY popularity DESC, track_key) AS INT) AS position FROM (
  SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY request, {BASIC.format('title')}, album_title ORDER BY popularity DESC, track_key) = 1)""", M)
 def _(v):
-    return catalog.menu_best_version(candidates(v)).select("request", "track_key", "position")
+    return catalog.menu_best_version(candidates(v), ["request", "track_key"])
 
 
 @query("catalog_rescue", f"""

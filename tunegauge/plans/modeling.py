@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import REGIME_LABELS, recency_weight, regime_label
 from tunegauge.operators import boosting, diff, discover, evaluate, features, gram, lookup, models, payload, scenario, split, stats
-from tunegauge.plans.cleaning import EXTRA, hashed, rounded
+from tunegauge.plans.cleaning import hashed, rounded
 from tunegauge.plans.evaluation import EVAL, FULL, METRIC_NAMES, scored, with_target
 from tunegauge.plans.registry import query
 from tunegauge.session import shared_folder, written
