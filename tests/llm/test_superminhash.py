@@ -95,6 +95,15 @@ def test_similar_sets_unlike_a_lead_share_a_difference_to_look_up():
     assert seen > 1000
 
 
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 30, 400, 5000):
+        one = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)).view(np.int64)
+        two = np.union1d(one[rng.random(len(one)) < 0.9], rng.integers(0, 2**62, n // 20))
+        bits = np.bitwise_count((sm.parities(one) ^ sm.parities(two)).view(np.uint64)).sum()
+        assert bits <= len(np.setxor1d(one, two)) and (bits + len(np.setxor1d(one, two))) % 2 == 0 and len(sm.parities(one)) == sm.PARITIES
+
+
 def test_members_unlike_their_leads_are_found(spark):
     """Three families that share buckets only by chance of their keys: each is unlike the others, and similar within."""
     rng, known, texts = random.Random(2), sm.Words(42), []

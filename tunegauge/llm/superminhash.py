@@ -9,7 +9,7 @@ Texts of equal shingle sets are one node; nodes that share the registers of a ba
 verified against its lead, the member that shares most buckets, and those that are unlike it against a second lead. What is
 left are pairs of one bucket of which at least one is unlike the lead. Their distance follows from where each differs from the
 lead, and if they are similar, enough of these differences are common. So they meet in an equality join on a few of the
-differences, which proposes all similar pairs and few others: no bucket is ever compared pair by pair.
+differences, which proposes all similar pairs; parity bits of the sets sieve out most others. No bucket is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ REGISTERS = BANDS * ROWS
 HELD, TEXTS = 1 << 16, 512
 #: Members of a lead that are verified under one key; a lead with more has its set sent under several.
 SPREAD = 1000
+#: Words of 64 bits that tell sets apart which differ in too many shingles; for large sets they tell less.
+PARITIES = 6
 #: Bits of the number of marks that sieve the sets to keep: 2^26 marks are 8 MB.
 MARKS = 26
 STEP = 0x9E3779B97F4A7C15
@@ -225,8 +227,17 @@ def differences(lead: np.ndarray, own: np.ndarray, least: int) -> tuple[bool, np
     return linked, ordered, max(0, d - far + 1), max(0, d - any_ + 1)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the elements falls on each of a fixed number of bits: sets that differ in d elements differ in d bits at most."""
+    odd = np.bincount((own.view(np.uint64) % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def compared(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Stored (a, b, n, linked, to_far, to_any, first) of each pair of a lead a and a member b of size n: see ``differences``."""
+    """Stored (a, b, n, linked, to_far, to_any, first, odd) of each pair of a lead a and a member b of size n.
+
+    See ``differences`` for the numbers and the first differences, ``parities`` for the bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -235,24 +246,32 @@ def compared(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
                 batch.column(0), batch.column(1), pa.array([len(y) for y in batch.column(3)], pa.int64()), pa.array([f[0] for f in found], pa.bool_()),
                 pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()),
                 pa.array([f[1][: max(f[2:])] for f in found], pa.list_(pa.int64())),
-            ], names=["a", "b", "n", "linked", "to_far", "to_any", "first"])
+                pa.array([parities(y.values.to_numpy()) for y in batch.column(3)], pa.list_(pa.int64())),
+            ], names=["a", "b", "n", "linked", "to_far", "to_any", "first", "odd"])
 
-    return stored(with_sets(pairs, sets).mapInArrow(run, "a long, b long, n long, linked boolean, to_far int, to_any int, first array<long>"), "compared")
+    schema = "a long, b long, n long, linked boolean, to_far int, to_any int, first array<long>, odd array<long>"
+    return stored(with_sets(pairs, sets).mapInArrow(run, schema), "compared")
 
 
-def common_differences(seen: DataFrame, roots: DataFrame, least: int, inside: bool) -> DataFrame:
+def common_differences(seen: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of members of one lead, of different roots, with a common difference among those to look up.
 
-    One of the two is outside the lead's component. The other one is in it (``inside``), or anywhere.
+    One of the two is outside the lead's component, so not linked with the lead; the other one is anywhere.
     """
     own = seen.join(roots.select(F.col("node").alias("b"), F.col("root").alias("of_b")), "b", "left")
     own = own.join(roots.select(F.col("node").alias("a"), F.col("root").alias("of_a")), "a", "left")
     own = own.withColumns({"root": F.coalesce("of_b", "b"), "lead_root": F.coalesce("of_a", "a")})
-    at = lambda rows, upto: rows.select("a", "b", "n", "root", F.explode(F.slice("first", F.lit(1), F.col(upto))).alias("at"))
-    x = at(own.filter("root <> lead_root"), "to_any").alias("x")
-    y = at(own.filter("root = lead_root") if inside else own, "to_far").alias("y")
+    bits = [F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(PARITIES)]
+
+    def at(rows: DataFrame, upto: str) -> DataFrame:
+        each = rows.select("a", "b", "n", "root", *bits, F.explode(F.slice("first", F.lit(1), F.col(upto))).alias("at"))
+        return each.select(F.xxhash64("a", "at").alias("at"), "b", "n", "root", *[f"odd{i}" for i in range(PARITIES)])
+
+    x, y = at(own.filter("root <> lead_root"), "to_any").alias("x"), at(own, "to_far").alias("y")
     alike = 100 * F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.root") != F.col("y.root")) & alike)
+    apart = sum((F.bit_count(F.col(f"x.odd{i}").bitwiseXOR(F.col(f"y.odd{i}"))) for i in range(PARITIES)), F.lit(0))
+    near = (100 + least) * apart <= (100 - least) * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.root") != F.col("y.root")) & alike & near)
     return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
 
 
@@ -280,8 +299,7 @@ def links(docs: DataFrame, text: str, nodes: DataFrame, least: int = 85, width:
     two = compared(stored(second.select("a", F.col("node").alias("b")).distinct(), "second-pairs"), sets, least)
     near = stored(one.filter("linked").select("a", "b").union(two.filter("linked").select("a", "b")), "lead-links")
     roots = stored(components(near), "lead-roots")
-    rest = common_differences(one, roots, least, True).union(common_differences(two, roots, least, False))
-    rest = stored(rest.distinct(), "candidates")
+    rest = stored(common_differences(one, roots, least).distinct(), "candidates")
     return near if rest.isEmpty() else stored(near.union(verified(rest, sets, least)), "all-links")
 
 
