@@ -302,11 +302,6 @@ def line_sql(columns: list[str]) -> str:
     return " + ".join(["beta[1]", *(f"beta[{i}] * {c}" for i, c in enumerate(columns, 2))])
 
 
-@query("linear_regression")
-def _(v):
-    return metrics_of(v, {"linear": models.linear(), "linear_weighted": models.linear("weight")})
-
-
 @query("huber_regression")
 def _(v):
     return metrics_of(v, {"huber": models.huber("weight", maxIter=30)})
@@ -357,6 +352,16 @@ def _(v):
     return rounded(models.linear_ablation(ABLATION, model_frame(v)), METRIC_NAMES, 4)
 
 
+@query("linear_regression", " UNION ALL ".join(f"""
+SELECT '{name}' AS model, split, {FULL_4} FROM (SELECT split, y, {line_sql(MODEL_COLUMNS)} AS pred FROM frame, fit_{name}) GROUP BY split"""
+    for name in ("linear", "linear_weighted")), {
+    **EVAL, "frame": FRAME, "fit_linear": fit_sql(TRAIN, MODEL_COLUMNS, "one"), "fit_linear_weighted": fit_sql(TRAIN, MODEL_COLUMNS, "one", "weight")})
+def _(v):
+    protocol = models.Protocol(MODEL_COLUMNS)
+    fitted = {"linear": models.linear(), "linear_weighted": models.linear("weight")}
+    return rounded(models.benchmark_models(fitted, model_frame(v), protocol), METRIC_NAMES, 4)
+
+
 LAMBDAS = [0.0, 0.05, 0.2]
 
 
