@@ -53,3 +53,25 @@ def test_odd_rows(spark, odd, empty):
     assert all(0 <= r.score <= 1 for r in got.collect())
     assert toxicity.classified(empty, labels).count() == 0
     assert {r.score for r in toxicity.classified(odd, labels.limit(0)).collect()} == {0.5}
+
+
+def test_ratios_are_log_counts_of_all_rows(spark, tables):
+    import math
+
+    import numpy as np
+
+    docs, labels = tables
+    rows = docs.join(labels.filter("toxic is not null").dropDuplicates(["doc_id"]).withColumnRenamed("toxic", "label"), "doc_id").select("text", "label").repartition(5)
+    given = rows.collect()
+    got = toxicity.ratios(rows, 0.0, 4.0)
+    counts, total = {}, [sum(r.label == y for r in given) for y in (0, 1)]
+    for r in given:
+        for at in np.unique(np.concatenate(list(toxicity.ngrams(r.text)))).tolist():
+            counts.setdefault(at, [0, 0])[r.label] += 1
+    want = {}
+    for at, (clean, toxic) in counts.items():
+        ratio = math.log((toxic + 1) / (total[1] + 2)) - math.log((clean + 1) / (total[0] + 2))
+        if abs(ratio) >= 4 * math.sqrt(1 / (clean + 1) + 1 / (toxic + 1)):
+            want[at] = ratio
+    assert set(np.flatnonzero(got).tolist()) == set(want) and want
+    assert all(abs(got[at] - x) < 1e-9 for at, x in want.items()) and any(abs(x) < 1.5 for x in want.values())

@@ -87,10 +87,10 @@ def ratios(rows: DataFrame, least: float, deviations: float) -> np.ndarray:
     return out
 
 
-def fit(rows: DataFrame, sample_rows: int = 20_000, least: float = 1.5, deviations: float = 4.0, passes: int = 30) -> Model:
+def fit(rows: DataFrame, sample_rows: int = 20_000, least: float = 0.0, deviations: float = 4.0, passes: int = 30) -> Model:
     """A model from rows (text, label 0 or 1). Without rows of both kinds every score is 0.5.
 
-    n-grams whose log-count ratio is below ``least`` or fewer than ``deviations`` standard deviations are left out. The linear part is
+    n-grams whose log-count ratio is below ``least`` or within ``deviations`` standard deviations of zero are left out. The linear part is
     fitted on about ``sample_rows`` rows, chosen by a hash of the text; a task gets only their few chosen n-grams.
     """
     rows = rows.filter(F.col("label").isin(0, 1)).select("text", F.col("label").cast("int").alias("label"))
