@@ -232,3 +232,26 @@ def test_champion_passes_over_untested_runs(spark):
         [("baseline_a", None, 5.0), ("b", None, None), ("c", None, 4.0)], "tag string, mae_val double, mae_test double")
     row = evaluate.champion_select(runs, False).first()
     assert row["best_tag"] == "c" and row["champion"] == "c"
+
+
+def test_listener_and_tag_block_replays_fitted_tags(spark):
+    import json
+
+    folder = shared_folder(spark, "lookups-test")
+    spark.createDataFrame([("Ann", 99), ("Bob", None)], "artist_name string, listeners long").write.parquet(f"{folder}/artists")
+    tags = [("Ann", "Hip Hop"), ("Ann", "hip_hop"), ("Ann", "rock"), ("Bob", "rock"), ("Cy", "jazz")]
+    spark.createDataFrame(tags, "artist_name string, tag string").write.parquet(f"{folder}/tags")
+    spark.createDataFrame([("t1", 1970)], "track_id string, proxy_year long").write.parquet(f"{folder}/proxies")
+    rows = spark.createDataFrame([("t1", "Ann"), ("t2", "Bob"), ("t3", None), ("t4", "Cy")], "track_id string, artist_name string")
+    tables = {name: f"{folder}/{name}" for name in ("artists", "tags", "proxies")}
+    options = json.dumps({"tables": tables, "top_tags": 2})
+    fitted = features.FeatureEstimator(blocks=["lastfm"], options=options).fit(rows.limit(1))
+    path = shared_folder(spark, "listener-model")
+    fitted.save(path)
+    out = features.FeatureModel.load(path).transform(rows)
+    assert out.columns == ["track_id", "artist_name", "artist_lastfm_listeners_log", "tag_hip_hop", "tag_rock", "lastfm_track_proxy"]
+    got = {r["track_id"]: (round(r["artist_lastfm_listeners_log"], 4), r["tag_hip_hop"], r["tag_rock"], r["lastfm_track_proxy"]) for r in out.collect()}
+    assert got == {"t1": (4.6052, 1, 1, 1970), "t2": (0.0, 0, 1, None), "t3": (0.0, 0, 0, None), "t4": (0.0, 0, 0, None)}
+    with pytest.raises(ValueError, match="tables"):
+        features.FeatureEstimator(blocks=["lastfm"]).fit(rows)
+    assert features.FeatureEstimator(blocks=["lastfm"], options='{"optional": true}').fit(rows).transform(rows).columns == rows.columns

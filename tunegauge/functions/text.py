@@ -74,10 +74,11 @@ def _ranges(chars: str) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in parts) + "]"
 
 
-def fold_accents(text: str | Column) -> Column:
+def fold_accents(text: str | Column, exact: bool = True) -> Column:
     """Drop accents, and write ligatures, fractions and composed scripts letter by letter (compatibility decomposition).
 
-    Only texts that hold a character of several letters are taken apart.
+    Only texts that hold a character of several letters are taken apart. ``exact`` stays for callers that name it: there is
+    one form of folding, the exact one.
     """
     source, target, marks, pairs = _folds()
     given, first = col(text), pairs[0]
@@ -95,9 +96,9 @@ def fold_accents(text: str | Column) -> Column:
     return F.translate(F.when(given.rlike(_ranges(every)), whole).otherwise(given), source + marks, target)
 
 
-def normalize_artist_name(name: str | Column) -> Column:
+def normalize_artist_name(name: str | Column, exact: bool = True) -> Column:
     """Accent-free lower-case words of an artist name; a missing name becomes ''."""
-    return words_only(fold_accents(F.lower(F.trim(F.coalesce(col(name), F.lit(""))))))
+    return words_only(fold_accents(F.lower(F.trim(F.coalesce(col(name), F.lit("")))), exact))
 
 
 def tokens(normalized: str | Column) -> Column:

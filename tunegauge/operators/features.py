@@ -22,6 +22,8 @@ from tunegauge.schema import TARGET
 
 YEAR = "album_release_year"
 BLOCKS = ["temporal", "audio_interactions", "non_linear", "market", "year_meta", "lastfm"]
+#: Blocks that need no lookup tables.
+PLAIN_BLOCKS = [b for b in BLOCKS if b != "lastfm"]
 INPUTS = {
     "temporal": [YEAR],
     "audio_interactions": ["energy", "danceability", "acousticness", "valence", "speechiness", "tempo", "loudness"],
@@ -162,7 +164,7 @@ class _FeatureParams(Params):
 
     def __init__(self, *args):
         super().__init__(*args)
-        self._setDefault(blocks=BLOCKS, options="{}")
+        self._setDefault(blocks=PLAIN_BLOCKS, options="{}")
 
     def settings(self) -> dict:
         given = json.loads(self.getOrDefault("options"))

@@ -100,7 +100,7 @@ SELECT split, count(*) AS n, round(avg(age), 4) AS age, round(avg(year_zscore),
  SELECT split, album_release_year, {TEMPORAL}, {AUDIO}, {NONLINEAR}, {MARKET} FROM split_tracks, fit) t
  LEFT JOIN year_means m ON m.year = album_release_year LEFT JOIN year_means p ON p.year = album_release_year - 1 GROUP BY split""", FEATURES)
 def _(v):
-    model, rows = model_for(v, features.BLOCKS[:5], age_bins=[2, 3, 10], year_thresholds=[1996, 1998])
+    model, rows = model_for(v, features.PLAIN_BLOCKS, age_bins=[2, 3, 10], year_thresholds=[1996, 1998])
     means = {"age": 4, "year_zscore": 4, "vibe": 4, "log_duration": 3, "tempo_zscore": 3, "year_popularity_mean": 3,
              "year_trend": 3}
     return model.transform(rows).groupBy("split").agg(
