@@ -109,11 +109,14 @@ def fit(rows: DataFrame, sample_rows: int = 20_000, least: float = 0.0, deviatio
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, lists = [], []
+        # few large arrays: a worker gives their memory back when the weights are found
+        labels, sizes, found = [], [], []
         for batch in batches:
-            labels += batch.column(0).to_pylist()
-            lists += [x.values.to_numpy() for x in batch.column(1)]
-        weights, bias = gradient_steps(np.array(labels, dtype=float), lists, held.value, passes)
+            labels.append(batch.column(0).to_numpy().astype(float))
+            sizes.append(np.diff(batch.column(1).offsets.to_numpy()))
+            found.append(batch.column(1).flatten().to_numpy())
+        labels, sizes, found = (np.concatenate(x) if x else np.zeros(0, dtype=np.int32) for x in (labels, sizes, found))
+        weights, bias = gradient_steps(labels, found, np.r_[0, np.cumsum(sizes)], held.value, passes)
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[bias, weights[at]])], names=["bucket", "weight"])
 
@@ -124,13 +127,16 @@ def fit(rows: DataFrame, sample_rows: int = 20_000, least: float = 0.0, deviatio
     return Model((weights * ratio).astype(np.float32), float(weight[bucket < 0].sum()))
 
 
-def gradient_steps(y: np.ndarray, lists: list[np.ndarray], ratio: np.ndarray, passes: int) -> tuple[np.ndarray, float]:
-    """Normalized gradient steps on the logistic loss, row by row, over presence features times their ratio."""
-    w, b, rng = np.zeros(BUCKETS), -2.0, np.random.default_rng(0)
-    values = [ratio[at].astype(float) for at in lists]
+def gradient_steps(y: np.ndarray, found: np.ndarray, starts: np.ndarray, ratio: np.ndarray, passes: int) -> tuple[np.ndarray, float]:
+    """Normalized gradient steps on the logistic loss, row by row, over presence features times their ratio.
+
+    Row i has the features ``found[starts[i] : starts[i + 1]]``.
+    """
+    w, b, rng, ratio = np.zeros(BUCKETS), -2.0, np.random.default_rng(0), ratio.astype(float)
     for _ in range(passes):
         for i in rng.permutation(len(y)):
-            at, x = lists[i], values[i]
+            at = found[starts[i] : starts[i + 1]]
+            x = ratio[at]
             size = 1 + x @ x
             step = 1 / (1 + np.exp(-np.clip(x @ w[at] + b, -30, 30))) - y[i]
             w[at] -= 0.4 * step * x / size + 5e-5 * w[at]
