@@ -166,3 +166,51 @@ def test_missing_popularity_never_wins(spark):
     asks = spark.createDataFrame([("r", "Ann", "ann", "song")], "request string, artist_name string, artist_query string, title_query string")
     assert match.best_contained(asks.drop("artist_name"), rows).first()["track_key"] == "k2"
     assert match.deep_scan_best(asks.drop("artist_query"), rows).first()["track_key"] == "k2"
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """Many copies of few titles on albums of several kinds, with ties, missing popularity and rows that come twice."""
+    rng = random.Random(5)
+    titles = ["Blue Sky", "Blue Sky (Live)", "Blue Sky - Remix", "Blue Sky (feat. Ann)", "BLUE  SKY", "Night", "Night [Demo]", "(Live)", None]
+    albums = [("Best of Ann", "Compilation"), ("Sky", "Album"), ("Live at Reading", "Album"), ("Sky Remixes", "Ep"), ("Sky", "Single"), (None, None)]
+    rows = []
+    for i in range(500):
+        album, kind = rng.choice(albums)
+        rows.append((f"k{i:03}", rng.choice(["Ann", "Ann", "Bob", None]), rng.choice(titles), rng.choice([None, 0, 1, 2, 3]), f"A{i % 9}",
+                     album, kind, rng.choice([None, 0, 1]), rng.choice([None, "0000", "1990", "2001", "x"]), f"C{i % 7}"))
+    rows += rng.sample(rows, 40)
+    frame = spark.createDataFrame(rows, "track_key string, artist_name string, title string, popularity int, album_id string, album_title string, "
+                                        "album_type string, album_popularity int, album_year string, isrc string")
+    asks = [(f"{a} | {t}", a, t) for a in ("Ann", "Bob", None, "Cy") for t in titles]
+    return frame, spark.createDataFrame(asks, "request string, artist_name string, title_query string")
+
+
+def as_rows(frame):
+    return sorted(map(repr, frame.select(sorted(frame.columns)).collect()))
+
+
+def test_thinned_candidates_give_the_results_of_all_candidates(copies):
+    frame, asks = copies
+    every = catalog.variant_candidates(asks, frame)
+    best, best3 = (catalog.variant_candidates(asks, frame, lambda rows, k=k: catalog.best_copies(rows, k)) for k in (1, 3))
+    popular, counted = (catalog.variant_candidates(asks, frame, f) for f in (catalog.popular_copies, catalog.counted_copies))
+    assert best.count() < every.count() / 3 and popular.count() < every.count() / 3
+    wanted = as_rows(catalog.variant_ranking(every))
+    assert as_rows(catalog.variant_ranking(best)) == wanted and wanted
+    assert as_rows(catalog.menu_projection(catalog.variant_representative(best))) == as_rows(catalog.menu_projection(catalog.variant_representative(every)))
+    assert as_rows(catalog.menu_best_version(popular)) == as_rows(catalog.menu_best_version(every))
+    resolvable = frame.where("popularity > 2").select("track_key")
+    assert as_rows(catalog.catalog_rescue(best3, resolvable)) == as_rows(catalog.catalog_rescue(every, resolvable))
+    keys = ["match_quality", "track_type", "track_type_source"]
+    assert as_rows(counted.groupBy(*keys).agg(F.sum("copies").alias("n"))) == as_rows(every.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+
+
+def test_candidates_are_judged_by_title_then_album(copies):
+    from tunegauge.functions.variants import album_canonicality, contextual_track_type
+
+    rows = catalog.judged(copies[0])
+    kind, canon = contextual_track_type("title", "album_title"), album_canonicality("album_title", "album_type")
+    wrong = ~(F.struct("track_type", F.col("track_type_source").alias("source")).eqNullSafe(kind)
+              & F.struct("canonicality_score", "canonicality_tags", "is_editorial_context").eqNullSafe(canon))
+    assert rows.count() == copies[0].count() and rows.where(wrong).isEmpty()
