@@ -214,3 +214,34 @@ def test_candidates_are_judged_by_title_then_album(copies):
     wrong = ~(F.struct("track_type", F.col("track_type_source").alias("source")).eqNullSafe(kind)
               & F.struct("canonicality_score", "canonicality_tags", "is_editorial_context").eqNullSafe(canon))
     assert rows.count() == copies[0].count() and rows.where(wrong).isEmpty()
+
+
+def test_best_artist_in_track_row_by_row(spark):
+    rng = random.Random(9)
+    names = ["Ann", "Bob", "Ann Lee", "lee ann", "Éva", "", None]
+    rows = [(rng.choice(["r1", "r2", None]), rng.choice(["ann", "Lee Ann", "eva", "", None]), f"k{i % 110:03}",
+             rng.choice([None, [], [rng.choice(names) for _ in range(rng.randint(1, 3))]]), rng.choice([None, 0, 5])) for i in range(150)]
+    frame = spark.createDataFrame(rows, "request string, artist_query string, track_key string, artists array<string>, popularity int")
+    plain = {None: "", "Éva": "eva"}
+    wanted = []
+    for request, query, key, artists, popularity in rows:
+        q = plain.get(query, (query or "").lower())
+        options = []
+        for i, a in enumerate(artists or []):
+            c = plain.get(a, (a or "").lower())
+            score = 0 if not q or not c else python_score(q, c)
+            options.append((score, int(i == 0), int(len(artists) == 1), popularity or 0, -i, a))
+        if options:
+            best = max(options, key=lambda o: o[:5])
+            wanted.append((request, key, *best[:4], best[5]))
+    got = catalog.best_artist_in_track(frame).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, wanted)) and wanted
+
+
+def test_ascii_names_are_not_translated(spark):
+    from tunegauge.functions.text import fold_accents, normalize_artist_name
+
+    plan = spark.range(1).select(fold_accents(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN RLIKE" in plan and plan.index("RLIKE") < plan.index("translate")
+    rows = spark.createDataFrame([("plain #1",), ("Súpplier ½ ﬁx",), ("",), (None,)], "name string")
+    assert [r[0] for r in rows.select(normalize_artist_name("name")).collect()] == ["plain 1", "supplier 1 2 fix", "", ""]
