@@ -245,3 +245,24 @@ def test_ascii_names_are_not_translated(spark):
     assert "CASE WHEN RLIKE" in plan and plan.index("RLIKE") < plan.index("translate")
     rows = spark.createDataFrame([("plain #1",), ("Súpplier ½ ﬁx",), ("",), (None,)], "name string")
     assert [r[0] for r in rows.select(normalize_artist_name("name")).collect()] == ["plain 1", "supplier 1 2 fix", "", ""]
+
+
+def test_thinned_hits_give_the_results_of_all_hits(music, spark):
+    rows, asks, catalog_rows, requests = music
+    n = F.substring("track_key", 2, 3).cast("int")
+    every = catalog_rows.unionByName(catalog_rows.where(n % 4 == 0)).withColumns({
+        "text_score": F.when(n % 9 != 0, F.col("popularity") + 60), "disambiguation": F.when(n % 3 == 0, "LIVE in studio"),
+        "release_count": F.when(n % 5 != 0, n % 6), "release_date": F.when(n % 7 != 0, F.concat((F.lit(1990) + n % 13).cast("string"), F.lit("-01")))})
+    requests = requests.union(spark.createDataFrame([("r90", "Sky", "love live"), ("r91", "les", "live"), ("r92", "none", "x")], requests.schema))
+
+    def best(found):
+        return as_rows(top_per_group(catalog.candidate_scores(found), ["request"], [F.col("score").desc(), "track_key"], 3).select("request", "track_key", "score"))
+
+    few = catalog.best_scored(every, 3)
+    assert few.count() < every.count()
+    wanted = best(match.title_contains_join(requests, every))
+    assert best(match.title_contains_join(requests, few)) == wanted and wanted
+    oldest = as_rows(catalog.oldest_release_year(match.title_contains_join(requests, every)))
+    assert as_rows(catalog.oldest_release_year(match.title_contains_join(requests, catalog.oldest_rows(every)))) == oldest and oldest
+    narrow = catalog.candidate_score_order(match.title_contains_join(requests, every), ["request", "track_key"])
+    assert narrow.columns == ["request", "track_key", "position"]
