@@ -3,7 +3,7 @@
 Texts with the same set of shingles are one node. Nodes that share the MinHash values of a band share a bucket. Each is first
 compared with the least node of its bucket; what is then still apart in a bucket is compared there pair by pair, so that of all
 pairs that share a bucket none is left unchecked unless other pairs link it already. A pair at similarity s shares a bucket
-with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, more above.
+with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, more above. The links of near SimHash fingerprints can be added.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from tunegauge.llm import simhash
 from tunegauge.llm.components import components
 from tunegauge.llm.simhash import Forest, least_keys
 from tunegauge.llm.tables import slices, stored, unused
@@ -154,16 +155,35 @@ def links(rows: DataFrame, text: str, node: str, n: str, row: str, keys: str, wi
     return stored(near.union(rest), "near-all")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def fingerprint_links(rows: DataFrame, node: str, fp: str, bits: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of the stored ``rows`` whose fingerprints differ in at most ``bits`` bits."""
+    prints = stored(rows.select(F.col(node).alias("node"), F.col(fp).alias("_fp")).distinct(), "prints")
+    first = stored(prints.groupBy("_fp").agg(F.min("node").alias("first")), "first-nodes")
+    equal = prints.join(first, "_fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(first, bits)
+    for end in ("a", "b"):
+        near = near.join(first.select(F.col("_fp").alias(end), F.col("first").alias(f"_{end}")), end)
+    return stored(equal.union(near.select("_a", "_b")), "fingerprint-links")
+
+
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, seed: int = 42, bits: int | None = None
+) -> DataFrame:
     """The rows of ``docs`` with one row of each component of texts whose shingles have a Jaccard similarity of ``least``.
 
+    With ``bits`` texts also link, as in ``simhash.near_duplicates``, if their SimHash fingerprints differ in at most so many.
     It is the row with the smallest id, then the first one read; rows with a null id go last. Null and empty texts are
     copies of each other. All columns are kept as they are.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
-    node, n, row, keys = unused(docs, "_node", "_n", "_row", "_keys")
-    rows = stored(sketched(docs.select(*own, F.monotonically_increasing_id().alias(row)), text, width, seed, [node, n, keys]), "sketched")
+    node, n, row, keys, fp = unused(docs, "_node", "_n", "_row", "_keys", "_print")
+    rows = docs.select(*own, F.monotonically_increasing_id().alias(row))
+    if bits is not None:
+        rows = simhash.fingerprints(rows, text, seed=seed, into=fp)
+    rows = stored(sketched(rows, text, width, seed, [node, n, keys]), "sketched")
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
     found = links(rows, text, node, n, row, keys, width, least, seed)
+    if bits is not None:
+        found = found.union(fingerprint_links(rows, node, fp, bits))
     kept = least_keys(rows.select(key.alias("_key"), F.col(node).alias("_fp")), found).select(F.col("_least.row").alias(row)).distinct()
     return rows.join(kept, row, "left_semi").select(*own)
