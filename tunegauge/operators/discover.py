@@ -6,16 +6,17 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunegauge.functions.scalars import text_hash
 from tunegauge.operators.evaluate import regime_thresholds
-from tunegauge.operators.ranking import rank_per_group
+from tunegauge.session import written
 
 
 def standardized(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
-    vectors = VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="skip").transform(df)
+    """``df`` with the standardised columns as a vector. The frame is stored, as the scaler and what is fitted on it read it again."""
+    vectors = VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="skip").transform(written(df, "standardized"))
     scaler = StandardScaler(inputCol="_raw", outputCol=out, withMean=True, withStd=True).fit(vectors)
     return scaler.transform(vectors).drop("_raw")
 
@@ -108,23 +109,32 @@ def permutation_importance(df: DataFrame, columns: list[str], score, key: str, s
     """Rise of the MAE when one feature is shuffled among rows: (feature, mae_base, mae_shuffled, importance).
 
     ``score(frame) -> frame with y, pred``. A column is shuffled by pairing two hash orders of the rows;
-    numbering them splits by range, so no task sees all rows.
+    numbering them splits by range, so no task sees all rows. The first order is the same for all columns and numbered once.
+    ``df`` is read several times a column: store it before if it is dear to compute.
     """
     base = score(df).agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("m")).first()["m"]
-    rows = []
+    rows, left = [], _numbered(df, key, seed)
     for i, name in enumerate(columns):
-        left = _numbered(df, key, seed)
-        right = _numbered(df.select(key, F.col(name).alias("_shuffled")), key, seed + i + 1)
-        mixed = left.join(right.drop(key), "_number").withColumn(name, F.col("_shuffled"))
+        right = _numbered(df.select(key, F.col(name).alias("_shuffled")), key, seed + i + 1, ["_shuffled"])
+        mixed = left.join(right, "_number").withColumn(name, F.col("_shuffled"))
         value = score(mixed).agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("m")).first()["m"]
         rows.append((name, base, value, value - base))
     return df.sparkSession.createDataFrame(
         rows, "feature string, mae_base double, mae_shuffled double, importance double")
 
 
-def _numbered(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Number rows 1.. in ``_number`` by a seeded hash of the key."""
-    return rank_per_group(df.withColumn("_hash", text_hash(key, F.lit(seed))), [], ["_hash", key], "_number").drop("_hash")
+def _numbered(df: DataFrame, key: str, seed: int, keep: list[str] | None = None) -> DataFrame:
+    """Number rows 1.. in ``_number`` by a seeded hash of the key, with the columns ``keep``, all by default.
+
+    Rows are range-split and sorted within their piece, so a row's number is its place there plus the rows of the pieces before.
+    """
+    order, columns = [text_hash(key, F.lit(seed)), F.col(key)], keep or df.columns
+    pieces = df.select(*columns, *[c.alias(f"_o{i}") for i, c in enumerate(order)]).repartitionByRange("_o0", "_o1").sortWithinPartitions("_o0", "_o1")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the place within the task's piece
+    spread = written(pieces.select(*columns, F.spark_partition_id().alias("_piece"), place.alias("_place")), "numbered")
+    ends = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per piece
+    before = spread.groupBy("_piece").agg(F.count(F.lit(1)).alias("n")).select("_piece", F.coalesce(F.sum("n").over(ends), F.lit(0)).alias("_before"))
+    return spread.join(F.broadcast(before), "_piece").select(*columns, (F.col("_place") + F.col("_before") + 1).alias("_number"))
 
 
 def regime_discovery(df: DataFrame, contribution: str, feature: str, k: int = 3, seed: int = 42) -> DataFrame:
