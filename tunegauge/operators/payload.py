@@ -53,7 +53,7 @@ PAYLOAD_FIELDS = [
 
 def _sorted_names(names: Column) -> Column:
     """Field names as one sorted, comma-separated text; '' when there is none."""
-    return F.coalesce(F.array_join(F.array_sort(names), ","), F.lit(""))
+    return F.coalesce(F.array_join(F.sort_array(names), ","), F.lit(""))
 
 
 def payload_summary(results: DataFrame, key: str, body: str = "body") -> DataFrame:
