@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -278,8 +278,9 @@ def common_differences(seen: DataFrame, roots: DataFrame, least: int) -> DataFra
 def links(docs: DataFrame, text: str, nodes: DataFrame, least: int = 85, width: int = 3, seed: int = 42) -> DataFrame:
     """Stored links (a, b) that connect all nodes (node, n, keys) that share a bucket and are similar enough."""
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = stored(members.join(sizes, "key").select("key", "node", "n", "size"), "buckets")
+    # counted where the rows of a bucket already are, so that the keys of all texts are shuffled once and not for a join again
+    counted = members.withColumn("size", F.count("*").over(Window.partitionBy("key")))
+    shared = stored(counted.filter("size > 1").select("key", "node", "n", "size"), "buckets")
     weight = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
 
     def led(rows: DataFrame, name: str) -> DataFrame:
