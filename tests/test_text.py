@@ -45,6 +45,20 @@ def test_exact_folding_expands_ligatures(spark):
     assert values(spark, ["ﬁne", "½"], text.fold_accents("t", True)) == ["fine", "1⁄2"]
 
 
+def test_folding_takes_apart_only_where_it_must(spark):
+    source, target, marks, pairs = text._folds()
+    special = pairs[0][0]
+    assert len(text._wide(special)) < 700  # not a range for each run of special characters
+    safe = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), text._wide(special)))
+    assert all(safe.match(c) for c in special)
+
+    def plain(v):
+        return "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
+
+    texts = [f"é{c}a{c}{c} \U0001F600{c}" for c in special[::37]] + ["½", "a½", "½a", "… 가나 \U0001F100é\U0001F600", "à… " * 30_000]
+    assert values(spark, texts, text.fold_accents("t")) == [plain(t) for t in texts]
+
+
 def test_match_score(spark):
     pairs = [("João", "Joao"), ("a b", "B A"), ("a", "a b"), ("a b c", "a x"), ("a", "b"), ("", "b"), ("x", None),
              ("a b c", "a b z")]
