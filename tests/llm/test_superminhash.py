@@ -184,3 +184,21 @@ def test_odd_rows(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     assert got(sm.near_duplicates(odd)) == expected(rows)
     assert sm.near_duplicates(empty).count() == 0
+
+
+def test_sets_go_to_their_leads_in_one_shuffle(spark, monkeypatch):
+    """Each member meets the set of each lead, also of one under several keys; sets are not joined by node for it."""
+    monkeypatch.setattr(sm, "SPREAD", 3)
+    pairs = [(1, b) for b in range(10, 30)] + [(2, 10), (2, 1), (30, 31)]
+    wanted = sm.led_by(spark.createDataFrame(pairs, "a long, b long"))
+    rows = {r["node"]: (sorted(x["a"] for x in r["leads"]), r["ways"]) for r in wanted.collect()}
+    assert rows[1] == ([2], 7) and rows[10] == ([1, 2], None) and rows[31] == ([30], None) and len(rows) == 24
+    sets = wanted.selectExpr("*", "array(node) AS found")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sm.met(sets)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1
+        assert sorted((r["one"][0], r["two"][0]) for r in found.collect()) == sorted((r["a"], r["b"]) for r in found.collect()) == sorted(pairs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

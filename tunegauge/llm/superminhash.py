@@ -156,7 +156,11 @@ def marks(nodes: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """Stored (node, found): the shingles of each wanted node, once. Texts are read again, so that no table of all sets is kept."""
+    """Stored ``wanted`` (node, any more columns) with the shingles ``found`` of each node, one row for a node.
+
+    Texts are read again, so that no table of all sets is kept.
+    """
+    more = [c for c in wanted.columns if c != "node"]
     sent = docs.sparkSession.sparkContext.broadcast(marks(wanted))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +174,36 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame, width: int = 3, seed:
                 [pa.array(nodes[some]), pa.array([sets[i].view(np.int64) for i in some], pa.list_(pa.int64()))], names=["node", "found"])
 
     every = docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, found array<long>")
-    return stored(every.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found")), "sets")
+    return stored(every.join(wanted, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("found", *more)]), "sets")
+
+
+def keyed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (a, b) as (a, b, way), and (a, ways): under how many keys a node ``a`` is met, each for a bounded number of pairs on average."""
+    ways = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("ways"))
+    return pairs.join(ways, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int").alias("way")), ways
+
+
+def led_by(pairs: DataFrame) -> DataFrame:
+    """Stored (node, leads, ways) of each node of the stored ``pairs`` (a, b) of a lead and a member.
+
+    ``leads`` (a, way) are the leads that a member meets, no more than it has bands; a node that leads has ``ways``, others null.
+    """
+    some, ways = keyed(pairs)
+    lead = F.struct("a", "way")
+    ends = some.select(F.col("b").alias("node"), lead.alias("lead"), F.lit(None).cast("int").alias("ways")).unionByName(
+        ways.select(F.col("a").alias("node"), F.lit(None).cast("struct<a: long, way: int>").alias("lead"), "ways"))
+    return stored(ends.groupBy("node").agg(F.collect_list("lead").alias("leads"), F.max("ways").alias("ways")), "wanted")
+
+
+def met(sets: DataFrame) -> DataFrame:
+    """(a, b, one, two): the pairs of ``led_by`` with the sets of both, from rows (node, found, leads, ways).
+
+    Sets know whom they meet, so that they go to their leads without a join that shuffles them by node before.
+    """
+    two = sets.select(F.col("node").alias("b"), F.col("found").alias("two"), F.explode("leads").alias("lead")).select("lead.a", "lead.way", "b", "two")
+    one = sets.filter("ways is not null").select(
+        F.col("node").alias("a"), F.col("found").alias("one"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    return two.join(one, ["a", "way"]).select("a", "b", "one", "two")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -178,11 +211,10 @@ def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     A node ``a`` of many pairs has its set copied under several keys, each for a bounded number of pairs on average.
     """
-    ways = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("ways"))
-    some = pairs.join(ways, "a").withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int"))
+    some, ways = keyed(pairs)
     one = sets.join(ways.withColumnRenamed("a", "node"), "node").select(
         F.col("node").alias("a"), F.col("found").alias("one"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
-    two = some.select("a", "b", "way").join(sets.select(F.col("node").alias("b"), F.col("found").alias("two")), "b")
+    two = some.join(sets.select(F.col("node").alias("b"), F.col("found").alias("two")), "b")
     return two.join(one, ["a", "way"]).select("a", "b", "one", "two")
 
 
@@ -233,8 +265,8 @@ def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Stored (a, b, n, linked, to_far, to_any, first, odd) of each pair of a lead a and a member b of size n.
+def compared(pairs: DataFrame, least: int) -> DataFrame:
+    """Stored (a, b, n, linked, to_far, to_any, first, odd) of each of ``pairs`` (a, b, one, two): a lead a, a member b of size n, their sets.
 
     See ``differences`` for the numbers and the first differences, ``parities`` for the bits.
     """
@@ -250,7 +282,7 @@ def compared(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
             ], names=["a", "b", "n", "linked", "to_far", "to_any", "first", "odd"])
 
     schema = "a long, b long, n long, linked boolean, to_far int, to_any int, first array<long>, odd array<long>"
-    return stored(with_sets(pairs, sets).mapInArrow(run, schema), "compared")
+    return stored(pairs.mapInArrow(run, schema), "compared")
 
 
 def common_differences(seen: DataFrame, roots: DataFrame, least: int) -> DataFrame:
@@ -290,14 +322,14 @@ def links(docs: DataFrame, text: str, nodes: DataFrame, least: int = 85, width:
     alike = 100 * F.least("n", "a_n") >= least * F.greatest("n", "a_n")
     first = led(shared, "led")
     pairs = stored(first.filter((F.col("size") > 2) | alike).select("a", F.col("node").alias("b")).distinct(), "lead-pairs")
-    sets = sets_of(docs, text, stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"), width, seed)
-    one = compared(pairs, sets, least)
+    known = sets_of(docs, text, led_by(pairs), width, seed)
+    one, sets = compared(met(known), least), known.select("node", "found")
     # members unlike the lead of their bucket, where it has two of them or more
     unlike = one.filter("not linked").select("a", F.col("b").alias("node"))
     left = stored(first.filter("size > 2").join(unlike, ["a", "node"], "left_semi").select("key", "node", "n"), "unlike")
     more = left.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     second = led(left.join(more, "key").select("key", "node", "n", "size"), "led-again")
-    two = compared(stored(second.select("a", F.col("node").alias("b")).distinct(), "second-pairs"), sets, least)
+    two = compared(with_sets(stored(second.select("a", F.col("node").alias("b")).distinct(), "second-pairs"), sets), least)
     near = stored(one.filter("linked").select("a", "b").union(two.filter("linked").select("a", "b")), "lead-links")
     roots = stored(components(near), "lead-roots")
     rest = stored(common_differences(one, roots, least).distinct(), "candidates")
