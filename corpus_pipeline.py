@@ -9,13 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tunegauge.llm import decontaminate, packing, pii, shingles, toxicity
-from tunegauge.llm.tables import share_code, stored, table
+from tunegauge.llm.tables import share_code, small_batches, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the n-gram classifier scores below 0.7; it learns from the labelled documents among its input."""
+    small_batches(spark)
     model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
     return toxicity.score(docs.select(COLUMNS), model, into="_score").filter("_score < 0.7").select(COLUMNS)
 
@@ -26,6 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Two link by op1's method, SimHash fingerprints that differ in at most three bits, found at the anchors of a covering code,
     or, as edited copies mostly differ in more, by a Jaccard similarity of 0.8 of five-word shingles.
     """
+    small_batches(spark)
     return shingles.keep_one(docs.select(COLUMNS), width=5, least=0.8, bits=3)
 
 
@@ -36,12 +38,14 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind in brackets; n_chars follows the new text."""
+    small_batches(spark)
     docs = docs.select(COLUMNS)
     return pii.redacted(docs, pii.fit(docs), length="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document with its sequence of at most 2048 tokens and its place there."""
+    small_batches(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=250_000)
 
 

@@ -48,19 +48,28 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
 
 
-def sketched(docs: DataFrame, text: str, width: int, seed: int, names: list[str]) -> DataFrame:
-    """``docs`` with three columns of the given names: node (hash of the set of shingles, 0 for none), its size, its bands."""
+def sketched(docs: DataFrame, text: str, width: int, seed: int, names: list[str], fp: str | None = None) -> DataFrame:
+    """``docs`` with three columns of the given names: node (hash of the set of shingles, 0 for none), its size, its bands.
+
+    With ``fp`` the SimHash fingerprint goes before them in a column of that name, found in the same Python step, so that a
+    task has one Python worker and its texts are sent there once.
+    """
     at = docs.columns.index(text)
-    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(names, (LongType(), LongType(), ArrayType(LongType()))))])
+    fields = [*zip(names, (LongType(), LongType(), ArrayType(LongType())))]
+    if fp is not None:
+        fields = [(fp, LongType()), *fields]
+    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shingles(t, width, seed) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            columns = list(batch.columns)
+            if fp is not None:
+                columns.append(pa.array(np.array([simhash.fingerprint(t, seed=seed) for t in texts], dtype=np.uint64).view(np.int64)))
+            found = [shingles(t, width, seed) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), seed) if len(h) else 0 for h in found], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns, pa.array(node), pa.array([len(h) for h in found], pa.int64()),
-                pa.array([bands(h) for h in found], pa.list_(pa.int64())),
-            ], names=[*batch.schema.names, *names])
+            columns += [pa.array(node), pa.array([len(h) for h in found], pa.int64()), pa.array([bands(h) for h in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -178,9 +187,7 @@ def keep_one(
     own = [F.col(f"`{c}`") for c in docs.columns]
     node, n, row, keys, fp = unused(docs, "_node", "_n", "_row", "_keys", "_print")
     rows = docs.select(*own, F.monotonically_increasing_id().alias(row))
-    if bits is not None:
-        rows = simhash.fingerprints(rows, text, seed=seed, into=fp)
-    rows = stored(sketched(rows, text, width, seed, [node, n, keys]), "sketched")
+    rows = stored(sketched(rows, text, width, seed, [node, n, keys], None if bits is None else fp), "sketched")
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
     found = links(rows, text, node, n, row, keys, width, least, seed)
     if bits is not None:
