@@ -9,13 +9,13 @@ counts decide. Counts and gradient updates cover every training document; tasks
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +33,21 @@ FEATURES = 3
 #: Words whose counts every task holds, and distinct words a task counts before it passes them on.
 LEXICON, COUNTED = 100_000, 400_000
 BATCH = 8192
+#: Rows up to this number are added one by one; numpy sums longer runs in another order.
+SHORT = 8
 MIX = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1))
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of the texts, the place of each word among them, and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    found, lengths = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    at, blank = found.indices.to_numpy(), pc.index(found.dictionary, "").as_py()
+    if blank >= 0:  # before the first and after the last white space of a text
+        full = at != blank
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[full], minlength=len(lengths))
+        at = at[full]
+    return found.dictionary, at, lengths
 
 
 def tail_class(word: bytes) -> int:
@@ -64,21 +74,26 @@ class Lexicon:
         self.hash = np.array([*(zlib.crc32(t) for t in self.tokens), 0], dtype=np.uint32)
         self.slot = np.where(np.arange(n + 1) < min(n, HEAD), np.arange(n + 1) % WIDTH, -1).astype(np.int32)
 
-    def encode(self, texts: list[list[bytes]]):
-        """Place in the lexicon (-1: not there), class, slot, hash and document of each token, ends included."""
-        flat: list[bytes] = []
-        for t in texts:
-            flat += t
-            flat.append(END_BYTES)
-        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+    def encode(self, texts: pa.Array):
+        """Place in the lexicon (-1: not there), class, slot, hash and document of each token, ends included.
+
+        Also the different words, and the place of each token among them (an end's is one past the last).
+        """
+        different, word, lengths = words(texts)
+        document = np.repeat(np.arange(len(lengths)), lengths + 1)
+        token = np.full(len(document), len(different), np.int32)
+        inside = np.ones(len(document), bool)
+        inside[np.cumsum(lengths + 1) - 1] = False
+        token[inside] = word
+        plain = [*different.cast(pa.binary()).to_numpy(zero_copy_only=False), END_BYTES]
+        at = np.fromiter(map(self.place.get, plain, repeat(-1)), np.int64, len(plain))
         kind, slot, code = self.kind.take(at, mode="wrap"), self.slot.take(at, mode="wrap"), self.hash.take(at, mode="wrap")
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            rare = [flat[i] for i in missing.tolist()]
+            rare = [plain[i] for i in missing.tolist()]
             kind[missing] = [tail_class(w) for w in rare]
             code[missing] = np.fromiter(map(zlib.crc32, rare), np.uint32, len(rare))
-        document = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-        return flat, at, kind, slot, code, document
+        return at.take(token), kind.take(token), slot.take(token), code.take(token), document, different, token
 
 
 def contexts(code: np.ndarray, document: np.ndarray) -> np.ndarray:
@@ -91,14 +106,41 @@ def contexts(code: np.ndarray, document: np.ndarray) -> np.ndarray:
     shift = np.uint32(32 - BITS)
     return np.stack([
         (one * MIX[0]) >> shift, ((one * MIX[1]) ^ (two * MIX[2])) * MIX[0] >> shift, ((two + np.uint32(7)) * MIX[3]) >> shift,
-    ], axis=1).astype(np.int64)
+    ]).astype(np.int64).T
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row exp(z - max), in place, and its sum."""
+    half = z.shape[1] // 2
+    # numpy takes maxima of columns many at a time, those of short rows one by one.
+    z -= np.ascontiguousarray(np.maximum(z[:, :half], z[:, half:]).T).max(axis=0)[:, None]
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z, z.sum(axis=1, keepdims=True)
+
+
+def _run_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``order[first : first + size]`` of ``g``.
+
+    The same additions as in ``np.add.reduceat``, which makes a call per run and column, but short runs side by side.
+    """
+    total = g.take(order.take(first), axis=0)
+    run = np.flatnonzero(size > 1)
+    run = run[np.argsort(-size[run], kind="stable")]
+    first, size = first[run], size[run]
+    longer = np.searchsorted(-size, -np.arange(SHORT + 1), side="left")  # runs with more rows than 0, 1, ...
+    long = longer[SHORT]
+    if long:
+        ends = np.cumsum(size[:long])
+        starts = ends - size[:long]
+        inside = np.arange(ends[-1]) + np.repeat(first[:long] - starts, size[:long])
+        total[run[:long]] = np.add.reduceat(g.take(order.take(inside), axis=0), starts, axis=0)
+    if len(run) > long:
+        rest = g.take(order.take(first[long:] + 1), axis=0)
+        for r in range(2, SHORT):
+            if longer[r] > long:
+                rest[: longer[r] - long] += g.take(order.take(first[long : longer[r]] + r), axis=0)
+        total[run[long:]] += rest
+    return total
 
 
 @dataclass
@@ -126,29 +168,41 @@ class Weights:
         mixed = (rows.astype(np.uint32) * MIX[4] + kind.astype(np.uint32)[:, None]) * MIX[1]
         return (mixed >> np.uint32(32 - BITS)).astype(np.int64)
 
-    def outer_probabilities(self, rows: np.ndarray) -> np.ndarray:
+    def _outer(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = self.outer.take(rows[:, 0], axis=0)
         for f in range(1, FEATURES):
             z += self.outer.take(rows[:, f], axis=0)
         z += self.outer_bias
-        return _softmax(z)
+        return _exponentials(z)
 
-    def inner_probabilities(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def _inner(self, rows: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = self.inner.take(rows[:, 0], axis=0)
         for f in range(1, FEATURES):
             z += self.inner.take(rows[:, f], axis=0)
-        z += self.inner_bias[kind]
-        return _softmax(z)
+        z += self.inner_bias.take(kind, axis=0)
+        return _exponentials(z)
+
+    def outer_probabilities(self, rows: np.ndarray) -> np.ndarray:
+        z, total = self._outer(rows)
+        z /= total
+        return z
+
+    def inner_probabilities(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        z, total = self._inner(rows, kind)
+        z /= total
+        return z
 
     def log10(self, kind: np.ndarray, slot: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """log10 probability of each token's class, and of a head token in its class."""
         out = np.empty(len(kind))
         for a in range(0, len(kind), BATCH):
             k, s, r = kind[a : a + BATCH], slot[a : a + BATCH], rows[a : a + BATCH]
-            p = self.outer_probabilities(r)[np.arange(len(k)), k]
+            z, total = self._outer(r)
+            p = z[np.arange(len(k)), k] / total[:, 0]
             head = np.flatnonzero(s >= 0)
             if len(head):
-                p[head] *= self.inner_probabilities(self.inner_rows(r[head], k[head]), k[head])[np.arange(len(head)), s[head]]
+                z, total = self._inner(self.inner_rows(r[head], k[head]), k[head])
+                p[head] *= z[np.arange(len(head)), s[head]] / total[:, 0]
             out[a : a + BATCH] = np.log10(np.maximum(p, 1e-30))
         return out
 
@@ -168,10 +222,14 @@ class Trainer:
             order = np.argsort(row, kind="stable")
             ordered = row[order]
             first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            total = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+            total = _run_sums(g, order, first, np.diff(first, append=len(row)))
             at = ordered[first].astype(np.int64)
-            squares[at] += np.einsum("ij,ij->i", total, total)
-            table[at] -= (self.rate / np.sqrt(squares[at]))[:, None] * total
+            square = squares.take(at)
+            square += np.einsum("ij,ij->i", total, total)
+            squares[at] = square
+            total *= (self.rate / np.sqrt(square))[:, None]
+            np.subtract(table.take(at, axis=0), total, out=total)
+            table[at] = total
 
     def step(self, kind: np.ndarray, slot: np.ndarray, rows: np.ndarray) -> None:
         g = self.w.outer_probabilities(rows)
@@ -185,23 +243,31 @@ class Trainer:
             self._descend("inner", inner, g)
 
 
-def counted(docs: DataFrame, text: str) -> DataFrame:
-    """Stored (token, n) over all texts, ends included."""
+def counted(docs: DataFrame, text: str, most: int = COUNTED) -> DataFrame:
+    """Stored (token, n) over all texts, ends included; a task passes its counts on when more than ``most`` words differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found, held, ends = [], 0, 0
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
+        def merged():
+            return pa.Table.from_batches(found).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
 
         for batch in slices(batches):
-            for t in batch.column(0).to_pylist():
-                found.update(words(t))
-            found[END_BYTES] += batch.num_rows
-            if len(found) > COUNTED:
-                yield out()
-                found.clear()
-        yield out()
+            different, at, _ = words(batch.column(0))
+            times = np.bincount(at, minlength=len(different))
+            used = np.flatnonzero(times)
+            found.append(pa.RecordBatch.from_arrays([different.take(pa.array(used)), pa.array(times[used])], names=["token", "n"]))
+            held, ends = held + len(used), ends + batch.num_rows
+            if held > 2 * most:
+                few = merged()
+                if few.num_rows > most:
+                    yield from few.to_batches()
+                    few = few.slice(0, 0)
+                found, held = few.combine_chunks().to_batches(), few.num_rows
+        if found:
+            yield from merged().to_batches()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends])], names=["token", "n"])
 
     each = docs.select(text).mapInArrow(run, "token string, n long")
     return stored(each.groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
@@ -243,7 +309,7 @@ def train(docs: DataFrame, text: str, found: Lexicon, rounds: int = 2, rate: flo
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(held.value, rate)
             for batch in slices(batches):
-                _, _, kind, slot, code, document = shared.value.encode([words(t) for t in batch.column(0).to_pylist()])
+                _, kind, slot, code, document, _, _ = shared.value.encode(batch.column(0))
                 rows = contexts(code, document)
                 for a in range(0, len(kind), BATCH):
                     trainer.step(kind[a : a + BATCH], slot[a : a + BATCH], rows[a : a + BATCH])
@@ -287,28 +353,26 @@ def scores(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str
         base_of = np.r_[np.log10(lex.counts + 0.5), 0.0]
         mass = np.log10(lex.mass)
         for batch in slices(batches):
-            texts = [words(t) for t in batch.column(1).to_pylist()]
-            flat, at, kinds, slot, code, document = lex.encode(texts)
-            n = len(texts)
+            at, kinds, slot, code, document, different, token = lex.encode(batch.column(1))
+            n = batch.num_rows
             local = model.log10(kinds, slot, contexts(code, document))
             base = base_of[at]
             tail = slot < 0
             local[tail] += base[tail] - mass[kinds[tail]]
             sums = lambda x: np.bincount(document, x, minlength=n)
             missing = np.flatnonzero(at < 0)
-            seen = Counter(zip(document[missing].tolist(), [flat[i] for i in missing.tolist()]))
-            owner = [d for d, _ in seen]
+            seen, times = np.unique(document[missing] * (len(different) + 1) + token[missing], return_counts=True)
+            owner, rare = np.divmod(seen, len(different) + 1)
             row = batch.column(3)
             none = lambda t: pa.nulls(len(seen), t)
             yield pa.RecordBatch.from_arrays([
                 row, batch.column(0), batch.column(2), pa.array(sums(np.ones(len(at))).astype(np.int64)),
                 pa.array(sums(at >= 0).astype(np.int64)), pa.array(sums(base)), pa.array(sums(local)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
             ], names=names)
-            if seen:
+            if len(seen):
                 yield pa.RecordBatch.from_arrays([
-                    row.take(pa.array(owner, pa.int32())), none(batch.schema.field(0).type), none(pa.bool_()), none(pa.int64()), none(pa.int64()),
-                    none(pa.float64()), none(pa.float64()), pa.array([w for _, w in seen], pa.binary()).cast(pa.string()),
-                    pa.array(list(seen.values()), pa.int64()),
+                    row.take(pa.array(owner)), none(batch.schema.field(0).type), none(pa.bool_()), none(pa.int64()), none(pa.int64()),
+                    none(pa.float64()), none(pa.float64()), pa.concat_arrays([different, pa.array([END])]).take(pa.array(rare)), pa.array(times),
                 ], names=names)
 
     names = ["row", "doc_id", "training", "n_tokens", "n_known", "base", "score", "token", "times"]
