@@ -14,7 +14,7 @@ from tunegauge.functions.variants import (
     MATCH_RANK, TITLE_TERMS, TYPE_RANK, album_words, base_title, canonicality_of_words, full_title, has_album_penalty, has_words,
     is_non_studio, match_quality, rank_in, recording_score, track_type_of_words,
 )
-from tunegauge.operators.match import best_contained, best_track, catalog_index, deep_scan_best
+from tunegauge.operators.match import asked_once, best_contained, best_track, catalog_index, deep_scan_best
 from tunegauge.operators.quantiles import same
 from tunegauge.operators.ranking import rank_per_group, top_per_group
 from tunegauge.session import written
@@ -43,7 +43,7 @@ def sortable_year(year: Column) -> Column:
 def catalog_order(albums: DataFrame) -> DataFrame:
     """Position of each album in its artist's catalog, newest first; unknown years last."""
     year = sortable_year(F.col("year")).cast("int")
-    order = [-year, -known("popularity"), F.col("album_id")]
+    order = [-year, -known("popularity"), "album_id"]
     return rank_per_group(albums, ["artist_id"], order, "position")
 
 
@@ -81,46 +81,74 @@ def artist_evolution(albums: DataFrame, tracks: DataFrame, audio: DataFrame) ->
     )
 
 
-def judged(catalog: DataFrame) -> DataFrame:
+def _numbered(frame: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The different values of some columns, as _b0.., with a number each; stored, so that the numbers stay."""
+    different = frame.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(columns)]).distinct()
+    return written(different.withColumn(name, F.monotonically_increasing_id()), name.strip("_"))
+
+
+def judged(catalog: DataFrame, thin: Callable[[DataFrame], DataFrame] | None = None, stored: bool = False) -> DataFrame:
     """The tracks of a catalog with the words, variant and album standing of each, before anything is asked.
 
-    Titles and albums repeat, so all text work is done once per different title and once per different (album title, type).
+    Titles and albums repeat, so all text work is done once per different title and once per different (album title, type). ``thin``
+    sees numbers for texts: ``_variant`` for (base title, normalised title), ``_menu`` for (base title, basic title), ``_named`` for the
+    album's title; the texts are joined to the rows that it keeps. ``stored`` tells that the catalog is a table already.
     """
-    catalog = written(catalog, "variant-catalog")
+    catalog = catalog if stored else written(catalog, "variant-catalog")
     titles = catalog.select("title").distinct().select(
-        F.col("title").alias("_b0"), full_title("title").alias("normalized_title"), base_title("title").alias("variant_group_key"),
+        "title", full_title("title").alias("normalized_title"), base_title("title").alias("variant_group_key"),
         normalize_basic_text("title").alias("basic_title"))
     own = track_type_of_words(F.col("normalized_title"), F.lit(""))
     titles = written(titles.withColumns({
-        "is_featured_variant": has_words(F.col("normalized_title"), TITLE_TERMS["featured"]), "_own": own}), "variant-titles")
-    albums = catalog.select("album_title", "album_type").distinct().withColumn("_album", album_words("album_title"))
+        "is_featured_variant": has_words(F.col("normalized_title"), TITLE_TERMS["featured"]), "_own": own,
+        "_title": F.monotonically_increasing_id()}), "variant-titles")
+    for columns, name in ((["variant_group_key", "normalized_title"], "_variant"), (["variant_group_key", "basic_title"], "_menu")):
+        titles = titles.join(_numbered(titles, columns, name), same(columns)).drop("_b0", "_b1")
+    titles = written(titles, "numbered-titles")
+    albums = catalog.select("album_title", "album_type").distinct().withColumn("_words", album_words("album_title"))
     albums = albums.select(
-        F.col("album_title").alias("_b0"), F.col("album_type").alias("_b1"), track_type_of_words(F.lit(""), F.col("_album")).alias("_context"),
-        canonicality_of_words(F.col("_album"), "album_type").alias("_canon"))
+        "album_title", "album_type", track_type_of_words(F.lit(""), F.col("_words")).alias("_context"),
+        canonicality_of_words(F.col("_words"), "album_type").alias("_canon"), F.monotonically_increasing_id().alias("_album"))
     albums = written(albums, "variant-albums")
+    albums = albums.join(_numbered(albums, ["album_title"], "_named"), same(["album_title"])).drop("_b0")
+    albums = written(albums, "numbered-albums")
     year = F.when(F.col("album_year").rlike("^[0-9]+$"), F.col("album_year")).try_cast("int")
-    rows = catalog.join(titles, same(["title"])).drop("_b0").join(albums, same(["album_title", "album_type"])).drop("_b0", "_b1")
+    rows = catalog.join(
+        titles.select(F.col("title").alias("_b0"), "_title", "_variant", "_menu", "_own"), same(["title"])).drop("_b0")
+    rows = rows.join(
+        albums.select(F.col("album_title").alias("_b0"), F.col("album_type").alias("_b1"), "_album", "_named", "_context", "_canon.canonicality_score"),
+        same(["album_title", "album_type"])).drop("_b0", "_b1")
     kind = F.when(F.col("_own.source") == "default", F.col("_context")).otherwise(F.col("_own"))  # the title decides first
-    return rows.withColumns({
-        "track_type": kind["track_type"], "track_type_source": kind["source"], "canonicality_score": F.col("_canon.canonicality_score"),
-        "canonicality_tags": F.col("_canon.canonicality_tags"), "is_editorial_context": F.col("_canon.is_editorial_context"),
-        "year": F.coalesce(year, F.lit(0)),
-    }).drop("_own", "_context", "_canon", "album_year")
+    rows = rows.withColumns({
+        "track_type": kind["track_type"], "track_type_source": kind["source"], "year": F.coalesce(year, F.lit(0)),
+    }).drop("_own", "_context", "album_year", "title", "album_title", "album_type")
+    rows = thin(rows) if thin else rows
+    words = ["variant_group_key", "normalized_title", "is_featured_variant"]
+    if "_title" not in rows.columns:  # only the variants are left
+        return rows.join(titles.select("_variant", *words).distinct(), "_variant").drop("_variant")
+    canon = [F.col(f"_canon.{c}").alias(c) for c in ("canonicality_tags", "is_editorial_context")]
+    return rows.join(titles.select("_title", "title", *words, "basic_title"), "_title").join(
+        albums.select("_album", "album_title", "album_type", *canon), "_album").drop("_title", "_variant", "_menu", "_album", "_named")
 
 
 #: What a request tells apart among the tracks of an artist and base title: rows equal in these match it equally well.
-MATCHED_BY = ["artist_name", "variant_group_key", "normalized_title", "is_featured_variant", "track_type", "track_type_source"]
+MATCHED_BY = ["artist_name", "_variant", "track_type", "track_type_source"]
 
 
 def best_copies(rows: DataFrame, k: int = 1) -> DataFrame:
-    """The ``k`` best of the judged rows that any request matches equally well: no others are among the ``k`` best of a variant or request."""
-    return top_per_group(rows, MATCHED_BY, copy_order(), k)
+    """The ``k`` best of the judged rows that any request matches equally well: no others are among the ``k`` best of a variant or request.
+
+    A title that names no type of its own leaves it to the album, so a variant and type have one source: one row is the only one
+    of its variant, which column ``_sole`` tells.
+    """
+    best = top_per_group(rows, MATCHED_BY, copy_order(), k)
+    return best.withColumn("_sole", F.lit(True)) if k == 1 else best
 
 
 def popular_copies(rows: DataFrame) -> DataFrame:
-    """The most popular judged row of each base title, normalised title and album of an artist."""
-    keys = ["artist_name", "variant_group_key", "basic_title", "album_title"]
-    return top_per_group(rows, keys, [F.col("popularity").desc(), "track_key"])
+    """The most popular judged row of each base title, normalised title and album of an artist: the only one that a menu shows."""
+    best = top_per_group(rows, ["artist_name", "_menu", "_named"], [F.col("popularity").desc(), "track_key"])
+    return best.withColumn("_sole", F.lit(True))
 
 
 def counted_copies(rows: DataFrame) -> DataFrame:
@@ -128,17 +156,26 @@ def counted_copies(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*MATCHED_BY).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def asked_alike(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``match.alike`` for menus, which requests of one artist and base title share: (asked, members)."""
+    requests = written(requests.select("request", "artist_name", "title_query"), "menu-requests")
+    titles = written(requests.select("title_query").distinct(), "asked-titles").select(
+        F.col("title_query").alias("_b0"), base_title("title_query").alias("variant_group_key"))
+    rows = requests.where("artist_name IS NOT NULL").join(titles.where("variant_group_key <> ''"), same(["title_query"])).drop("_b0")
+    return asked_once(requests, rows, ["artist_name", "variant_group_key"], ["artist_name", "title_query"])
+
+
 def variant_candidates(
-    requests: DataFrame, catalog: DataFrame, thin: Callable[[DataFrame], DataFrame] | None = None
+    requests: DataFrame, catalog: DataFrame, thin: Callable[[DataFrame], DataFrame] | None = None, stored: bool = False
 ) -> DataFrame:
     """Tracks with the base title of a request, classified and scored in their album's context.
 
     ``requests``: (request, artist_name, title_query); ``catalog``: one row per album track with (artist_name,
-    track_key, title, popularity, album_id, album_title, album_type, album_popularity, album_year).
+    track_key, title, popularity, album_title, album_type, album_popularity, album_year), ``stored`` if it is a table already.
     ``thin`` reduces the judged catalog to what can matter to the asker, such as ``best_copies``, before requests multiply it.
+    A column ``_alone`` then tells rows that are the only one of their variant for their request.
     """
-    rows = judged(catalog)
-    rows = thin(rows) if thin else rows
+    rows = judged(catalog, thin, stored)
     requests = written(requests, "variant-requests")
     # stored, as the condition would otherwise be tested, with all its text work, on every row before titles become distinct
     asked_titles = written(requests.select("title_query").distinct(), "asked-titles").select(
@@ -148,19 +185,35 @@ def variant_candidates(
     quality = match_quality(
         F.col("normalized_title"), F.col("_asked"), F.col("is_featured_variant"), F.col("_asked_featured"),
         F.col("track_type"), F.col("track_type_source"))
-    found = asked.join(rows, ["artist_name", "variant_group_key"])
-    return found.withColumn("match_quality", quality).drop("_asked", "_asked_featured")
-
-
-def copy_order(unknown_year: int = 9999) -> list[Column]:
+    alone = None
+    if "_sole" in rows.columns:
+        rows, alone = rows.drop("_sole"), F.lit(True)
+        several = requests.groupBy("request").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        several = written(several.select(F.col("request").alias("_b0"), F.lit(True).alias("_several")), "several")
+        if not several.isEmpty():
+            asked, alone = asked.join(several, same(["request"]), "left").drop("_b0"), F.col("_several").isNull()
+    found = asked.join(rows, ["artist_name", "variant_group_key"]).withColumn("match_quality", quality)
+    found = found if alone is None else found.withColumn("_alone", alone)
+    return found.drop("_asked", "_asked_featured", "_several")
+
+
+def _first_of(candidates: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first candidate of each group; rows known to be the only one of theirs are not shuffled for it."""
+    if "_alone" not in candidates.columns:
+        return top_per_group(candidates, keys, order)
+    alone, others = (candidates.where(c).drop("_alone") for c in ("_alone", "NOT _alone"))
+    return alone.union(top_per_group(others, keys, order))
+
+
+def copy_order(unknown_year: int = 9999) -> list:
     """Best copy first among the tracks that a request matches equally well."""
     return [
         -F.col("canonicality_score"), -known("popularity"), -known("album_popularity"),
-        F.when(F.col("year") > 0, F.col("year")).otherwise(unknown_year), F.col("track_key"),
+        F.when(F.col("year") > 0, F.col("year")).otherwise(unknown_year), "track_key",
     ]
 
 
-def variant_order(unknown_year: int = 9999) -> list[Column]:
+def variant_order(unknown_year: int = 9999) -> list:
     """Best variant first, as ascending expressions that end in a unique key."""
     return [rank_in(F.col("match_quality"), MATCH_RANK), rank_in(F.col("track_type"), TYPE_RANK), *copy_order(unknown_year)]
 
@@ -168,7 +221,7 @@ def variant_order(unknown_year: int = 9999) -> list[Column]:
 def variant_representative(candidates: DataFrame) -> DataFrame:
     """One row per variant of a request: copies on compilations and reissues collapse into the best one."""
     keys = ["request", "variant_group_key", "track_type", "is_featured_variant", "normalized_title"]
-    return top_per_group(candidates, keys, variant_order())
+    return _first_of(candidates, keys, variant_order())
 
 
 def variant_ranking(candidates: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -179,9 +232,9 @@ def variant_ranking(candidates: DataFrame, keep: list[str] | None = None) -> Dat
 def menu_best_version(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Most popular version per (request, normalised title, album), ranked by popularity within the request."""
     keyed = rows.withColumn("_title", F.col("basic_title") if "basic_title" in rows.columns else normalize_basic_text("title"))
-    best = top_per_group(keyed, ["request", "_title", "album_title"], [F.col("popularity").desc(), "track_key"])
+    best = _first_of(keyed, ["request", "_title", "album_title"], [F.col("popularity").desc(), "track_key"])
     return rank_per_group(
-        best.drop("_title"), ["request"], [-known("popularity"), F.col("track_key")], "position", keep)
+        best.drop("_title"), ["request"], [-known("popularity"), "track_key"], "position", keep)
 
 
 def menu_projection(variants: DataFrame) -> DataFrame:
@@ -311,14 +364,14 @@ def best_scored(rows: DataFrame, k: int) -> DataFrame:
 def candidate_score_order(hits: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Position of each hit within its request, best score first, with the columns ``keep``, all by default."""
     return rank_per_group(
-        candidate_scores(hits), ["request"], [-F.col("score"), F.col("track_key")], "position", keep)
+        candidate_scores(hits), ["request"], [-F.col("score"), "track_key"], "position", keep)
 
 
 def prioritise_context(albums: DataFrame, context: str = "context") -> DataFrame:
     """Albums that match a context title first, the rest after; the catalog order is kept within both."""
     hit = two_way_contains(normalize_basic_text("title"), normalize_basic_text(context))
     flagged = albums.withColumn("matches_context", hit)
-    order = [F.when(F.col("matches_context"), 0).otherwise(1), F.col("position")]
+    order = [F.when(F.col("matches_context"), 0).otherwise(1), "position"]
     return rank_per_group(flagged, ["artist_id"], order, "scan_position")
 
 

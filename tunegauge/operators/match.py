@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tunegauge.functions.text import normalize_artist_name, normalize_basic_text, token_score, tokens
 from tunegauge.functions.variants import base_title, is_non_studio
+from tunegauge.operators.quantiles import same
 from tunegauge.session import written
 
 GRAM = 3
@@ -102,6 +103,46 @@ def _normal_requests(requests: DataFrame) -> DataFrame:
     return asked.select("request", "q_title", "q_artist", (F.col("album_given") | F.col("named")).alias("free"))
 
 
+def alike(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, members): requests that read the same once normalised are asked as one, as they have the same hits.
+
+    ``requests`` has (request, artist_query, title_query). ``asked`` has the same columns with a number for ``request``, ``members``
+    (_asked, request) tells which requests each number stands for. A request that comes in several rows has a number of its own
+    and keeps its rows. Requests that match nothing are left out.
+    """
+    raw = written(requests.select("request", "title_query", "artist_query"), "requests")
+    titles, artists = _normal_forms(raw, "title_query", "q_title"), _normal_forms(raw, "artist_query", "q_artist")
+    rows = raw.join(titles.where("q_title <> ''"), "title_query").join(artists.where("q_artist <> ''"), "artist_query")
+    return asked_once(raw, rows, ["q_title", "q_artist"], ["title_query", "artist_query"])
+
+
+def asked_once(requests: DataFrame, rows: DataFrame, keys: list[str], given: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(asked, members): one number as ``request`` for all requests of one row that are equal in ``keys``, with the columns ``given`` of
+    one of them, and (_asked, request), which requests each number stands for.
+
+    ``rows`` are the requests that can match, with ``keys``. A request in several of these rows has a number of its own and keeps
+    all its rows.
+    """
+    fields = list(dict.fromkeys([*keys, *given]))
+    labels = rows.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*fields)).alias("one"))
+    labels = written(labels, "request-labels")
+    single = labels.where("n = 1").select("request", "one.*")
+    number = F.monotonically_increasing_id()
+    readings = single.groupBy(*keys).agg(F.min(F.struct(*given)).alias("_given"))
+    readings = written(readings.select(*keys, "_given", number.alias("_asked")), "readings")
+    several = written(labels.where("n > 1").select(F.col("request").alias("_b0"), (-number - 1).alias("_asked")), "several")
+    asked = readings.select(F.col("_asked").alias("request"), "_given.*").union(
+        requests.join(several, same(["request"])).select("_asked", *given))
+    members = single.join(readings.drop("_given"), keys).select("_asked", "request").union(
+        several.select("_asked", F.col("_b0").alias("request")))
+    return asked, written(members, "members")
+
+
+def for_members(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows found for the requests of ``alike``, for each of the requests that they stand for."""
+    return found.withColumnRenamed("request", "_asked").join(members, "_asked").drop("_asked")
+
+
 @dataclass
 class CatalogIndex:
     """A catalog (artist_name, title, ...) with stored postings of its titles and artists, built once for all lookups.

@@ -73,27 +73,30 @@ JOIN (SELECT *, {BASIC.format('title')} AS c_title, {BASIC.format('artist_name')
 M = {"full_catalog": FULL_CATALOG, "variant_rows": VARIANTS, "rated": RATED, "reps": REPS, "hits": HITS}
 
 
-def full_catalog(v):
-    albums = v.albums.select(
-        "album_id", F.col("title").alias("album_title"), F.col("type").alias("album_type"),
-        F.col("popularity").alias("album_popularity"), F.col("year").alias("album_year"))
-    return v.album_tracks.join(albums, "album_id")
-
-
 def asked(v):
     return v.requests.select("request", "artist_name", "title_query")
 
 
-def candidates(v, thin=catalog.best_copies):
-    return catalog.variant_candidates(asked(v), full_catalog(v), thin)
+def candidates(v, thin=catalog.best_copies, requests=None):
+    return catalog.variant_candidates(asked(v) if requests is None else requests, v.catalog, thin, stored=True)
+
+
+def catalogued(v):
+    """Views over a stored catalog with the columns that candidates are made of."""
+    return v.with_stored_catalog(
+        "track_key", "artist_name", "title", "popularity", "isrc", "album_title", "album_type", "album_popularity", "album_year")
 
 
 def hit_rows(v):
     return v.album_tracks.select("artist_name", "title", "track_key", "popularity", "isrc", "album_id", "track_number")
 
 
-def hits(v, rows=None):
-    return match.title_contains_join(v.requests.drop("artist_name"), hit_rows(v) if rows is None else rows)
+def hits(v, rows=None, asked=None):
+    return match.title_contains_join(v.requests.drop("artist_name") if asked is None else asked, hit_rows(v) if rows is None else rows)
+
+
+def asked_alike(v):
+    return match.alike(v.requests.drop("artist_name"))
 
 
 def named_tracks(v):
@@ -122,7 +125,7 @@ def _(v):
 @query("contextual_track_type", f"""
 SELECT track_key, {TYPE_SQL} AS track_type, {SOURCE_SQL} AS source FROM full_catalog""", M)
 def _(v):
-    worded = full_catalog(v).select(
+    worded = v.catalog.select(
         "track_key", variants.full_title("title").alias("n"), variants.album_words("album_title").alias("a"))
     kind = variants.track_type_of_words(F.col("n"), F.col("a"))
     return worded.select("track_key", kind.alias("k")).select("track_key", "k.*")
@@ -160,7 +163,7 @@ SELECT base AS variant_group_key, {TYPE_SQL} AS track_type, {has('n', 'feat|ft|f
 FROM full_catalog GROUP BY ALL""", M)
 def _(v):
     # titles repeat, so rows are counted per (title, album title) before any text is normalised
-    counted = full_catalog(v).groupBy("title", "album_title").agg(F.count(F.lit(1)).alias("m"))
+    counted = v.catalog.groupBy("title", "album_title").agg(F.count(F.lit(1)).alias("m"))
     kind = variants.contextual_track_type("title", "album_title")
     keys = variants.variant_key(F.col("title"), kind["track_type"])
     return counted.select(*keys, "m").groupBy(
@@ -350,13 +353,13 @@ SELECT request, track_key, title, popularity, q_title, 60 + popularity - CASE WH
  + track_number * 10 AS score FROM hits"""
 
 
-def scored_hits(v, thin=None):
+def scored_hits(v, thin=None, asked=None):
     rows = hit_rows(v).withColumns({
         "text_score": F.col("popularity") + 60,
         "disambiguation": F.when(F.col("track_number") == 3, "LIVE in studio"),
         "release_count": F.col("track_number"),
     })
-    return hits(v, thin(rows) if thin else rows)
+    return hits(v, thin(rows) if thin else rows, asked)
 
 
 @query("recording_score", "SELECT request, track_key, score FROM scores", {**M, "scores": SCORES})
@@ -369,7 +372,8 @@ def _(v):
 SELECT request, track_key, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, track_key) AS INT) AS position FROM scores""", {**M, "scores": SCORES})
 def _(v):
     v = named_tracks(v)
-    return catalog.candidate_score_order(scored_hits(v), ["request", "track_key"])
+    asked, members = asked_alike(v)
+    return match.for_members(catalog.candidate_score_order(scored_hits(v, asked=asked), ["request", "track_key"]), members)
 
 
 @query("top_15_candidates", """
