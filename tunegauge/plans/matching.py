@@ -393,9 +393,10 @@ SELECT request, code, CAST(position AS INT) AS position FROM (
  WHERE code <> '' GROUP BY request, code) QUALIFY row_number() OVER (PARTITION BY request ORDER BY place, code) <= 5""", {**M, "scores": SCORES})
 def _(v):
     v = named_tracks(v)
-    ordered = catalog.candidate_score_order(scored_hits(v), ["request", "isrc"])
+    asked, members = asked_alike(v)
+    ordered = catalog.candidate_score_order(scored_hits(v, asked=asked), ["request", "isrc"])
     codes = F.array("isrc", F.concat("isrc", F.lit("x")), F.lit(""))
-    return catalog.first_k_distinct_codes(ordered.withColumn("codes", codes))
+    return match.for_members(catalog.first_k_distinct_codes(ordered.withColumn("codes", codes)), members)
 
 
 @query("canonical_track_choice", """
