@@ -335,7 +335,10 @@ def _(v):
 SELECT request, track_key, CAST(row_number() OVER (PARTITION BY request ORDER BY popularity DESC, track_key) AS INT) AS position FROM (
  SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY request, {BASIC.format('title')}, album_title ORDER BY popularity DESC, track_key) = 1)""", M)
 def _(v):
-    return catalog.menu_best_version(candidates(v, catalog.popular_copies), ["request", "track_key"])
+    v = catalogued(v)
+    requests, members = catalog.asked_alike(asked(v))
+    menus = catalog.menu_best_version(candidates(v, catalog.popular_copies, requests), ["request", "track_key"])
+    return match.for_members(menus, members)
 
 
 @query("catalog_rescue", f"""
