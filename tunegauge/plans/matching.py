@@ -328,7 +328,7 @@ def _(v):
 SELECT request, track_key AS id, title, popularity, album_title AS album, CASE WHEN year > 0 THEN CAST(year AS VARCHAR) ELSE '????' END AS year, isrc, track_type,
  track_type_source, match_quality, canonicality_score FROM reps""", M)
 def _(v):
-    return catalog.menu_projection(catalog.variant_representative(candidates(v))).drop("canonicality_tags")
+    return catalog.menu_projection(catalog.variant_representative(candidates(catalogued(v)))).drop("canonicality_tags")
 
 
 @query("menu_best_version", f"""
