@@ -321,7 +321,7 @@ def _(v):
 @query("variant_ranking", f"""
 SELECT request, track_key, CAST(row_number() OVER (PARTITION BY request ORDER BY {ORDER}) AS INT) AS rank FROM reps""", M)
 def _(v):
-    return catalog.variant_ranking(candidates(v), ["request", "track_key"])
+    return catalog.variant_ranking(candidates(catalogued(v)), ["request", "track_key"])
 
 
 @query("menu_projection", """
