@@ -314,7 +314,7 @@ def _(v):
 
 @query("variant_representative", "SELECT request, track_key, track_type, match_quality, canonicality_score FROM reps", M)
 def _(v):
-    return catalog.variant_representative(candidates(v)).select(
+    return catalog.variant_representative(candidates(catalogued(v))).select(
         "request", "track_key", "track_type", "match_quality", "canonicality_score")
 
 
