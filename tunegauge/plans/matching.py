@@ -308,7 +308,7 @@ def _(v):
 @query("match_quality", """
 SELECT match_quality, track_type, track_type_source, count(*) AS n FROM rated GROUP BY ALL""", M)
 def _(v):
-    rows = candidates(v, catalog.counted_copies)
+    rows = candidates(catalogued(v), catalog.counted_copies)
     return rows.groupBy("match_quality", "track_type", "track_type_source").agg(F.sum("copies").alias("n"))
 
 
